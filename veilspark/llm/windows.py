@@ -1,0 +1,462 @@
+"""Repeated windows of a corpus, exactly, without shuffling its texts.
+
+The engine under substring dedup (35-word windows) and suffix-array dedup (50-byte windows):
+
+1. Documents are packed into batches of a few MB, compressed, in a table bucketed by batch.
+2. Each batch is cut into *super-k-mers*: rows of windows that share their smallest q-gram
+   (minimum substring partitioning).  A batch sends each distinct one once, as a pair of
+   identifiers (q-gram bucket ``a``, content ``r``), packed by ranges of ``a``.
+3. Each range sorts its buckets.  A content met before settles all its windows at once; only
+   buckets with several contents stay open.  Batches get back an ordinal and a code.
+4. Open contents, a few percent of the corpus, are sent as sequences to the range of their
+   bucket, where all their windows are sorted by a 128-bit identifier.
+5. Batches join both answers by batch id and mark what is covered.
+
+Skew: a batch sends one row for a content however many of its documents hold it, and one
+marker for a bucket with more than ``HOT`` contents; marked buckets are settled window by
+window, spread by the window's own identifier.  No list of documents is ever gathered.
+
+Modes: ``smaller`` (a window that also starts in a document with a smaller id) and
+``anywhere`` (a window that starts at any other place).
+"""
+
+from __future__ import annotations
+
+import struct
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from veilspark.llm import kernels as K
+from veilspark.llm.common import Scratch, input_bytes, parts_for
+
+BATCH_BYTES = 4 << 20
+HOT = 256
+NO_ID = np.iinfo(np.int64).max
+U = np.uint64
+COVERED, SEND, WIDE = 1, 2, 4
+
+
+@dataclass(frozen=True)
+class Plan:
+    """What counts as a window and which of its occurrences go."""
+
+    window: int
+    q: int
+    words: bool
+    smaller: bool
+    range_bits: int = 10
+    hot: int = HOT
+
+
+# ---------------------------------------------------------------- batches
+
+
+def _text_parts(col: pa.Array) -> tuple[np.ndarray, memoryview]:
+    arr = col.cast(pa.large_string())
+    bufs = arr.buffers()
+    off = np.frombuffer(bufs[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+    return off, memoryview(bufs[2]) if bufs[2] is not None else memoryview(b"")
+
+
+def make_batches(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ctx = TaskContext.get()
+        seq, zip_ = (ctx.partitionId() if ctx else 0) << 32, zstandard.ZstdCompressor(level=1)
+        for rb in it:
+            off, data = _text_parts(rb.column(rb.schema.get_field_index(text)))
+            i, n = 0, rb.num_rows
+            rest = rb.drop_columns([text])
+            while i < n:
+                j = int(np.searchsorted(off, off[i] + BATCH_BYTES, side="right")) - 1
+                j = min(n, max(j, i + 1))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rest.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                    w.write_batch(rest.slice(i, j - i))
+                lens = np.diff(off[i : j + 1]).astype(np.int64)
+                body = zip_.compress(lens.tobytes() + bytes(data[off[i] : off[j]]))
+                yield pa.RecordBatch.from_pydict(
+                    {"batch_id": pa.array([seq], pa.int64()), "side": pa.array([sink.getvalue().to_pybytes()], pa.binary()), "body": pa.array([body], pa.binary())}
+                )
+                seq += 1
+                i = j
+
+    return pack
+
+
+class Batch:
+    """One unpacked batch: its documents' bytes, ids and, once asked for, super-k-mers."""
+
+    def __init__(self, side: bytes, body: bytes, plan: Plan, id_col: str):
+        self.plan = plan
+        self.side = pa.ipc.open_stream(side).read_all().combine_chunks()
+        n = self.side.num_rows
+        raw = zstandard.ZstdDecompressor().decompress(body)
+        self.lens = np.frombuffer(raw, np.int64, n)
+        self.buf = np.frombuffer(raw, np.uint8, offset=8 * n)
+        self.at = np.r_[0, np.cumsum(self.lens)]
+        ids = self.side.column(id_col)
+        ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+        self.ids = np.asarray(ids.cast(pa.int64()).fill_null(NO_ID)) if n else np.zeros(0, np.int64)
+        if plan.words:
+            ws, we = K.words(self.buf)
+            ws, we = self._split(ws, we)
+            self.ws, self.we = ws, we
+            self.bounds = np.searchsorted(ws, self.at)
+            self.sym = K.word_ids(self.buf, ws, we)
+        else:
+            self.bounds, self.sym = self.at, K.BYTE_TABLE[self.buf]
+
+    def _split(self, ws: np.ndarray, we: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Documents lie one after another, so a word must also end where its document does."""
+        cuts = self.at[1:-1]
+        inner = cuts[np.searchsorted(ws, cuts, side="left") - 1 >= 0] if len(ws) else cuts[:0]
+        k = np.searchsorted(ws, inner, side="left") - 1
+        inner = np.unique(inner[(we[k] > inner) & (ws[k] < inner)]) if len(inner) else inner
+        if not len(inner):
+            return ws, we
+        return np.sort(np.r_[ws, inner]), np.sort(np.r_[we, inner])
+
+    def scan(self) -> None:
+        p = self.plan
+        self.doc, self.s1, self.s2, a, r = K.runs(self.sym, self.bounds, p.window, p.q)
+        low = U(48)
+        a = (a >> U(64 - p.range_bits) << low) | (a & ((U(1) << low) - U(1)))  # as much as is sent
+        r = r | U(1)
+        self.a, self.r = a, r
+        d = self.ids[self.doc]
+        o = K.by_key(a, r, d)
+        a, r, d = a[o], r[o], d[o]
+        f = K.firsts(a, r)
+        fa = K.firsts(a)
+        kinds = np.add.reduceat(f.astype(np.int64), np.flatnonzero(fa)) if len(a) else np.zeros(0, np.int64)
+        hot = (kinds > p.hot)[np.cumsum(fa) - 1] if len(a) else np.zeros(0, bool)
+        f = np.where(hot, fa, f)
+        at = np.flatnonzero(f)
+        self.key_of = np.empty(len(a), np.int64)  # run -> its key
+        self.key_of[o] = np.cumsum(f) - 1
+        self.ka, self.kr = a[at], np.where(hot[at], U(0), r[at])
+        self.kd = np.minimum.reduceat(d, at) if len(at) else d[:0]
+        self.kn = np.diff(np.r_[at, len(a)])
+
+
+# ---------------------------------------------------------------- step 2 and 3: whole contents
+
+_HEAD = "<IIBq"
+
+
+def _ints(x: np.ndarray) -> tuple[int, int, bytes]:
+    base = int(x.min()) if len(x) else 0
+    wide = len(x) and int(x.max()) - base >= 2**32
+    return 8 if wide else 4, base, (x if wide else (x - base).astype(np.uint32)).tobytes()
+
+
+def send_contents(plan: Plan, id_col: str):
+    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for bid, side, body in zip(rb["batch_id"].to_pylist(), rb["side"], rb["body"]):
+                b = Batch(side.as_py(), body.as_py(), plan, id_col)
+                b.scan()
+                rng = (b.ka >> U(48)).astype(np.int64)
+                cut = np.flatnonzero(K.firsts(rng)) if len(rng) else np.zeros(0, np.int64)
+                ends = np.r_[cut[1:], len(rng)]
+                low6 = b.ka.view(np.uint8).reshape(-1, 8)[:, :6]
+                blobs = []
+                for s, e in zip(cut, ends):
+                    if plan.smaller:
+                        width, base, d = _ints(b.kd[s:e])
+                    else:
+                        width, base, d = 1, 0, np.minimum(b.kn[s:e], 2).astype(np.uint8).tobytes()
+                    blobs.append(struct.pack(_HEAD, e - s, s, width, base) + low6[s:e].tobytes() + b.kr[s:e].tobytes() + d)
+                yield pa.RecordBatch.from_pydict(
+                    {"rng": pa.array(rng[cut], pa.int32()), "batch_id": pa.array([bid] * len(cut), pa.int64()), "blob": pa.array(blobs, pa.binary())}
+                )
+
+    return send
+
+
+def judge_contents(plan: Plan):
+    """One range partition: which contents repeat, which are open; an answer for each batch."""
+
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        A, R, D, I, B = [], [], [], [], []
+        for rb in it:
+            for rng, bid, blob in zip(rb["rng"].to_pylist(), rb["batch_id"].to_pylist(), rb["blob"]):
+                v = blob.as_buffer()
+                n, start, width, base = struct.unpack_from(_HEAD, v)
+                p = struct.calcsize(_HEAD)
+                a = np.zeros((n, 8), np.uint8)
+                a[:, :6] = np.frombuffer(v, np.uint8, 6 * n, p).reshape(n, 6)
+                A.append(a.view(np.uint64).ravel() | U(rng << 48))
+                R.append(np.frombuffer(v, np.uint64, n, p + 6 * n).copy())
+                d = np.frombuffer(v, {1: np.uint8, 4: np.uint32, 8: np.int64}[width], n, p + 14 * n)
+                D.append(d.astype(np.int64) + base if width == 4 else d.astype(np.int64))
+                I.append(np.arange(start, start + n, dtype=np.uint32))
+                B.append(np.full(n, bid, np.int64))
+        if not A:
+            return
+        a, r, d, idx, bid = (np.concatenate(x) for x in (A, R, D, I, B))
+        del A, R, D, I, B
+        o = K.by_key(a, r, d, bid)
+        a, r, d, idx, bid = a[o], r[o], d[o], idx[o], bid[o]
+        f, fa = K.firsts(a, r), K.firsts(a)
+        g, ga = np.cumsum(f) - 1, np.cumsum(fa) - 1
+        kinds = np.bincount(ga, weights=f).astype(np.int64)[ga]
+        hot = np.bincount(ga, weights=(r == 0))[ga] > 0
+        code = np.zeros(len(a), np.uint8)
+        if plan.smaller:
+            code[d > d[np.flatnonzero(f)][g]] |= COVERED
+        else:
+            code[(np.bincount(g, weights=d)[g] >= 2)] |= COVERED
+        code[f & (kinds > 1)] |= SEND
+        code[hot] = WIDE
+        keep = np.flatnonzero(code)
+        keep = keep[np.argsort(bid[keep], kind="stable")]
+        yield from _answers(bid[keep], np.rec.fromarrays([idx[keep], code[keep]], dtype=[("i", "<u4"), ("c", "u1")]))
+
+    return judge
+
+
+def _answers(bid: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    if not len(bid):
+        return
+    cut = np.flatnonzero(K.firsts(bid))
+    ends = np.r_[cut[1:], len(bid)]
+    yield pa.RecordBatch.from_pydict(
+        {"batch_id": pa.array(bid[cut], pa.int64()), "kind": pa.array([1] * len(cut), pa.int32()), "blob": pa.array([rows[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary())}
+    )
+
+
+# ---------------------------------------------------------------- step 4: open contents
+
+_RUN = np.dtype([("k", "<u4"), ("d", "<i8"), ("n", "<u2")])
+_GRAM = np.dtype([("k", "<u4"), ("g", "<u8"), ("h", "<u8"), ("d", "<i8")])
+
+
+def _windows_of(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    n = s2 - s1 + 1
+    first = np.cumsum(n) - n
+    return np.arange(int(n.sum())) - np.repeat(first - s1, n)
+
+
+def open_contents(plan: Plan, id_col: str):
+    """State of a batch (what is settled), and what has to be looked at window by window."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: dict[str, list] = {"batch_id": [], "rng": [], "kind": [], "blob": []}
+        if not left.num_rows:
+            return pa.table(rows, schema=_EXCHANGE)
+        bid = left["batch_id"][0].as_py()
+        b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
+        b.scan()
+        code = np.zeros(len(b.ka), np.uint8)
+        for x in right["blob"]:
+            got = np.frombuffer(x.as_buffer(), dtype=[("i", "<u4"), ("c", "u1")])
+            code[got["i"]] |= got["c"]
+        code[b.kr == 0] = WIDE
+        kc, d = code[b.key_of], b.ids[b.doc]
+        wide = (kc & WIDE) > 0
+        if plan.smaller:
+            gone = ~wide & (((kc & COVERED) > 0) | (d > b.kd[b.key_of]))
+        else:
+            gone = ~wide & (((kc & COVERED) > 0) | (b.kn[b.key_of] >= 2))
+        lo, hi = K.union_of(b.s1[gone], b.s2[gone] + plan.window)
+        ask = ~wide & ((kc & SEND) > 0) & ((d == b.kd[b.key_of]) if plan.smaller else True)
+        at = np.flatnonzero(ask)
+        k = b.key_of[at]
+        first = np.zeros(len(b.ka), np.int64) - 1
+        first[k[::-1]] = at[::-1]
+        sent = first[first >= 0]  # one run for each open key, in the order of keys
+        waiting = at if plan.smaller else at[~gone[at]]
+        spots = [(b.key_of[waiting], b.s1[waiting])]
+        for s, e, rng in _slices(b.a[sent]):
+            x = sent[s:e]
+            head = np.zeros(len(x), _RUN)
+            head["k"], head["n"] = b.key_of[x], b.s2[x] - b.s1[x] + 1
+            head["d"] = b.kd[b.key_of[x]] if plan.smaller else np.where(gone[x], 2, 1)
+            src = b.sym if plan.words else b.buf
+            data = src[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
+            for c, v in (("batch_id", bid), ("rng", rng), ("kind", 1), ("blob", struct.pack("<I", len(x)) + head.tobytes() + data)):
+                rows[c].append(v)
+        w = np.flatnonzero(wide)
+        grams = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        if len(w):
+            at_w = _windows_of(b.s1[w], b.s2[w])
+            dw = np.repeat(d[w], b.s2[w] - b.s1[w] + 1)
+            g, h = _ids128(b.sym, at_w, plan.window)
+            o = K.by_key(g, h, dw)
+            f = K.firsts(g[o], h[o])
+            cut = np.flatnonzero(f)
+            key = np.empty(len(o), np.int64)
+            key[o] = np.cumsum(f) - 1
+            dmin, cnt = dw[o][cut], np.diff(np.r_[cut, len(o)])
+            done = (dw > dmin[key]) if plan.smaller else (cnt >= 2)[key]
+            l2, h2 = K.union_of(at_w[done], at_w[done] + plan.window)
+            lo, hi = K.union_of(np.r_[lo, l2], np.r_[hi, h2])
+            grams = [key[~done], at_w[~done]]
+            ug, uh = g[o][cut], h[o][cut]
+            rec = np.zeros(len(cut), _GRAM)
+            rec["k"], rec["g"], rec["h"], rec["d"] = np.arange(len(cut)), ug, uh, dmin if plan.smaller else np.minimum(cnt, 2)
+            for s, e, rng in _slices(ug >> U(16)):
+                for c, v in (("batch_id", bid), ("rng", int(rng) >> max(0, 16 - plan.range_bits)), ("kind", 2), ("blob", rec[s:e].tobytes())):
+                    rows[c].append(v)
+        state = [lo, hi, *spots[0], *grams]
+        blob = struct.pack("<6I", *map(len, state)) + b"".join(np.asarray(x, np.int64).tobytes() for x in state)
+        for c, v in (("batch_id", bid), ("rng", -1), ("kind", 0), ("blob", zstandard.ZstdCompressor(level=1).compress(blob))):
+            rows[c].append(v)
+        return pa.table(rows, schema=_EXCHANGE)
+
+    return work
+
+
+_EXCHANGE = pa.schema([("batch_id", pa.int64()), ("rng", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+
+
+def _slices(a: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    rng = (a >> U(48)).astype(np.int64)
+    cut = np.flatnonzero(K.firsts(rng)) if len(rng) else np.zeros(0, np.int64)
+    yield from zip(cut.tolist(), np.r_[cut[1:], len(rng)].tolist(), rng[cut].tolist())
+
+
+def _ids128(sym: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent identifiers of the windows that begin at ``at``, in slices of bounded size."""
+    g, h = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+    i = 0
+    while i < len(at):
+        lo = int(at[i])
+        j = max(i + 1, int(np.searchsorted(at, lo + (1 << 21), side="left")))
+        hi = int(at[j - 1]) + window
+        s = sym[lo:hi]
+        x = at[i:j] - lo
+        g[i:j] = K.gram_at(K.prefix(s), x, x + window, 21)
+        h[i:j] = K.gram_at(K.prefix(K.mix(s, 77)), x, x + window, 22)
+        i = j
+    return g, h
+
+
+def judge_windows(plan: Plan):
+    def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        G, H, D, RUN, W = [], [], [], [], []
+        RB, RK, RKIND = [], [], []
+        n_runs = 0
+        for rb in it:
+            for bid, kind, blob in zip(rb["batch_id"].to_pylist(), rb["kind"].to_pylist(), rb["blob"]):
+                v = blob.as_buffer()
+                if kind == 1:
+                    (n,) = struct.unpack_from("<I", v)
+                    head = np.frombuffer(v, _RUN, n, 4)
+                    size = np.uint64 if plan.words else np.uint8
+                    data = np.frombuffer(v, size, offset=4 + n * _RUN.itemsize)
+                    sym = data if plan.words else K.BYTE_TABLE[data]
+                    full = head["n"].astype(np.int64) + plan.window - 1
+                    s1 = np.cumsum(full) - full
+                    at = _windows_of(s1, s1 + head["n"].astype(np.int64) - 1)
+                    g, h = _ids128(sym, at, plan.window)
+                    D.append(np.repeat(head["d"], head["n"]))
+                    RUN.append(np.repeat(np.arange(n) + n_runs, head["n"]))
+                    W.append(at - np.repeat(s1, head["n"]))
+                    k = head["k"]
+                else:
+                    rec = np.frombuffer(v, _GRAM)
+                    n, g, h, k = len(rec), rec["g"].copy(), rec["h"].copy(), rec["k"]
+                    D.append(rec["d"].copy())
+                    RUN.append(np.arange(n) + n_runs)
+                    W.append(np.zeros(n, np.int64))
+                G.append(g)
+                H.append(h)
+                RB.append(np.full(n, bid, np.int64))
+                RK.append(k.astype(np.uint32))
+                RKIND.append(np.full(n, kind, np.uint8))
+                n_runs += n
+        if not n_runs:
+            return
+        g, h, d, run, w = (np.concatenate(x) for x in (G, H, D, RUN, W))
+        del G, H, D, RUN, W
+        o = K.by_key(g, h, d)
+        f = K.firsts(g[o], h[o])
+        grp = np.cumsum(f) - 1
+        if plan.smaller:
+            hit = d[o] > d[o][np.flatnonzero(f)][grp]
+        else:
+            hit = (np.bincount(grp, weights=d[o]) >= 2)[grp]
+        at = o[hit]
+        mask = np.zeros(n_runs, np.uint64)
+        np.bitwise_or.at(mask, run[at], U(1) << w[at].astype(np.uint64))
+        bid, k, kind = (np.concatenate(x) for x in (RB, RK, RKIND))
+        keep = np.flatnonzero(mask)
+        keep = keep[np.argsort(bid[keep], kind="stable")]
+        yield from _answers(bid[keep], np.rec.fromarrays([k[keep], kind[keep], mask[keep]], dtype=_REPLY))
+
+    return judge
+
+
+_REPLY = np.dtype([("k", "<u4"), ("kind", "u1"), ("m", "<u8")])
+
+
+# ---------------------------------------------------------------- step 5: what is covered
+
+
+def covered(state: bytes, replies: list, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merged intervals of a batch's symbols that some removed window covers."""
+    raw = zstandard.ZstdDecompressor().decompress(state)
+    sizes = struct.unpack_from("<6I", raw)
+    cut = 24 + 8 * np.r_[0, np.cumsum(sizes)]
+    lo, hi, key, spot, gkey, gspot = (np.frombuffer(raw, np.int64, n, int(c)) for n, c in zip(sizes, cut))
+    got = np.concatenate([np.frombuffer(x, _REPLY) for x in replies]) if replies else np.zeros(0, _REPLY)
+    runs_, grams = got[got["kind"] == 1], got[got["kind"] == 2]
+    starts = []
+    if len(runs_) and len(key):
+        o = np.argsort(runs_["k"])
+        ks, ms = runs_["k"][o], runs_["m"][o]
+        i = np.minimum(np.searchsorted(ks, key), len(ks) - 1)
+        m = np.where(ks[i] == key, ms[i], U(0))
+        for bit in range(64):
+            on = (m >> U(bit)) & U(1) > 0
+            if on.any():
+                starts.append(spot[on] + bit)
+    if len(grams) and len(gkey):
+        starts.append(gspot[np.isin(gkey, grams["k"])])
+    s = np.concatenate([lo, *starts]) if starts else lo
+    e = np.concatenate([hi, *[x + window for x in starts]]) if starts else hi
+    return K.union_of(s, e)
+
+
+def find(scratch: Scratch, docs: DataFrame, plan: Plan, text: str, id_col: str,
+         finish: Callable[[Batch, np.ndarray, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
+    """Run the five steps; ``finish(batch, lo, hi)`` makes each batch's rows from its covered symbols."""
+    size = input_bytes(docs)
+    ranges = parts_for(4 * size, 8 << 20, 1 << 10, 1 << 16)
+    bits = (ranges - 1).bit_length()
+    parts = parts_for(2 * size, 8 << 20, 16, 1 << 16)
+    buckets = parts_for(size, BATCH_BYTES, 48, 50_000)
+    plan = replace(plan, range_bits=bits)
+    batches = docs.mapInArrow(make_batches(text), "batch_id long, side binary, body binary")
+    batches = scratch.bucketed(batches, "batches", "batch_id", buckets)
+    sent = batches.mapInArrow(send_contents(plan, id_col), "rng int, batch_id long, blob binary")
+    answers = sent.repartition(parts, "rng").mapInArrow(judge_contents(plan), "batch_id long, kind int, blob binary")
+    pairs = batches.groupBy("batch_id").cogroup(answers.groupBy("batch_id"))
+    opened = scratch.table(pairs.applyInArrow(open_contents(plan, id_col), "batch_id long, rng int, kind int, blob binary"), "open")
+    replies = (opened.filter("kind > 0").repartition(parts, "rng")
+               .mapInArrow(judge_windows(plan), "batch_id long, kind int, blob binary"))
+    state = opened.filter("kind = 0").select("batch_id", "kind", "blob").union(replies)
+    width = plan.window
+
+    def last(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return finish_schema.empty_table()
+        b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
+        kinds = right["kind"].to_pylist()
+        blobs = [x.as_py() for x in right["blob"]]
+        state_ = next(x for x, k in zip(blobs, kinds) if k == 0)
+        lo, hi = covered(state_, [x for x, k in zip(blobs, kinds) if k], width)
+        return finish(b, lo, hi).cast(finish_schema)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    finish_schema = to_arrow_schema(schema)
+    return batches.groupBy("batch_id").cogroup(state.groupBy("batch_id")).applyInArrow(last, schema)
