@@ -1,0 +1,99 @@
+"""Substring and suffix-array dedup against brute force."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+
+
+from veilspark.llm import substring_dedup, suffix_dedup, windows
+from llm_util import rows_of, same
+
+BIG = 2**63 - 1
+
+
+def brute_bytes(rows, w=50):
+    key = [BIG if r[0] is None else r[0] for r in rows]
+    raw = [(r[1] or "").encode() for r in rows]
+    least = {}
+    for k, b in zip(key, raw):
+        for p in range(len(b) - w + 1):
+            g = b[p : p + w]
+            least[g] = min(least.get(g, BIG), k)
+    for r, k, b in zip(rows, key, raw):
+        gone = [False] * len(b)
+        for p in range(len(b) - w + 1):
+            if least[b[p : p + w]] < k:
+                gone[p : p + w] = [True] * w
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        n_spans = sum(g and (i == 0 or not gone[i - 1]) for i, g in enumerate(gone))
+        yield r[0], len(b), sum(gone), n_spans, hashlib.sha256(kept).hexdigest()
+
+
+def brute_words(rows, w=35):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
+    seen = Counter(tuple(x[p : p + w]) for x in words for p in range(len(x) - w + 1))
+    for r, x in zip(rows, words):
+        gone = [False] * len(x)
+        for p in range(len(x) - w + 1):
+            if seen[tuple(x[p : p + w])] > 1:
+                gone[p : p + w] = [True] * w
+        yield r[0], len(x), sum(gone), hashlib.sha256(" ".join(a for a, g in zip(x, gone) if not g).encode()).hexdigest()
+
+
+COLS7 = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+COLS2 = ("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_bytes(docs, doc_rows, monkeypatch, hot):
+    monkeypatch.setattr(windows.Plan.__init__, "__defaults__", (10, hot))
+    same(rows_of(suffix_dedup.digests(docs), *COLS7), brute_bytes(doc_rows))
+
+
+@pytest.mark.parametrize("hot", [256, 1])
+def test_words(docs, doc_rows, monkeypatch, hot):
+    monkeypatch.setattr(windows.Plan.__init__, "__defaults__", (10, hot))
+    same(rows_of(substring_dedup.digests(docs), *COLS2), brute_words(doc_rows))
+
+
+def test_empty(no_docs):
+    assert suffix_dedup.digests(no_docs).count() == 0
+    assert substring_dedup.digests(no_docs).count() == 0
+    assert suffix_dedup.remove(no_docs).columns == no_docs.columns
+
+
+def test_remove_keeps_rows_and_columns(docs):
+    out = suffix_dedup.remove(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+
+
+def test_clashing_column(docs):
+    from pyspark.sql import functions as F
+
+    wide = docs.withColumn("n_bytes", F.lit(7)).withColumn("batch_id", F.lit("x"))
+    out = suffix_dedup.remove(wide)
+    assert out.columns == wide.columns
+    assert out.select("n_bytes", "batch_id").distinct().collect() == [(7, "x")]
+
+
+def test_spans_have_source_coordinates(docs, doc_rows):
+    text = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in doc_rows if r[0] not in (None, 9)}
+    got = [r for r in substring_dedup.spans(docs).collect() if r.doc_id in text]
+    assert got
+    for r in got:
+        assert r.path_text == " ".join(text[r.doc_id][r.first_word : r.end_word])
+
+
+def test_long_document_is_cut(spark, monkeypatch):
+    from veilspark.llm import kernels
+    import numpy as np
+
+    monkeypatch.setattr(kernels, "_GROUP", 1000)
+    rng = np.random.default_rng(0)
+    a = rng.integers(97, 123, 5000).astype(np.uint8)
+    sym, bounds = kernels.BYTE_TABLE[a], np.array([0, 5000])
+    doc, s1, s2, _, _ = kernels.runs(sym, bounds, 50, 16)
+    starts = np.sort(np.concatenate([np.arange(x, y + 1) for x, y in zip(s1, s2)]))
+    assert starts.tolist() == list(range(4951))
