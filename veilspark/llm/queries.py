@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, simhash, substring_dedup, suffix_dedup
+from veilspark.llm import bpe, mixing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digests(_read(spark, sf_dir, "documents"))
 
 
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(_read(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_read(spark, sf_dir, "documents"))
 
@@ -29,6 +33,16 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"))
 
 
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(docs)
+
+
+def op10_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.run(pages, _read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op7_suffix_array_dedup, op8_bpe_trie)
+    f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_virtual_slots, op7_suffix_array_dedup, op8_bpe_trie, op9_pfair_mixing, op10_url_gbt)
 }
