@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilspark.llm import bpe, mixing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
+from veilspark.llm import bpe, embed_dedup, langid, media, mixing, sharding, simhash, substring_dedup, suffix_dedup, url_filter
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -25,6 +25,18 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(_read(spark, sf_dir, "documents"))
 
 
+def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digests(_read(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages"))
+
+
+def op6_embedding_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.classes(_read(spark, sf_dir, "embeddings"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_read(spark, sf_dir, "documents"))
 
@@ -44,5 +56,5 @@ def op10_url_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_virtual_slots, op7_suffix_array_dedup, op8_bpe_trie, op9_pfair_mixing, op10_url_gbt)
+    f.__name__: f for f in (op1_simhash_dedup, op2_substring_dedup, op3_virtual_slots, op4_media_archive, op5_language_id, op6_embedding_forest, op7_suffix_array_dedup, op8_bpe_trie, op9_pfair_mixing, op10_url_gbt)
 }
