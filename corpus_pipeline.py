@@ -1,24 +1,67 @@
-"""A corpus pipeline of five stages over ``documents``; each stage calls one operator of veilspark.llm."""
+"""A corpus pipeline of five stages over ``documents``; each stage calls one operator of veilspark.llm.
+
+1. language id: rows whose language cannot be told go;
+2. SimHash near-dedup: one document of each group stays;
+3. suffix-array dedup: bytes of 50-byte strings that a smaller doc_id also has go, rows stay;
+4. mixing: rows are put in the order of the Pfair schedule, none goes;
+5. BPE: rows get their token ids.
+
+Each stage works on all rows of the one before; all but the last return the columns of
+``documents``.  Stages take null and repeated ids, null, empty and long texts and empty tables as
+their operators do.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilspark.llm import suffix_dedup
+from veilspark.llm import bpe, langid, mixing, simhash, suffix_dedup
 from veilspark.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which no language is certain enough go."""
+    return langid.keep_known(docs)
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id.
+
+    Shingles have five words.  Fingerprints within 6 of 64 bits are linked, all of them; a pair of
+    similarity 0.8 differs in 10 bits on average, one of 0.9 in 7, so that the radius finds most
+    pairs over 0.9 and part of those between 0.8 and 0.9 (the README has figures).
+    """
+    return simhash.keep_one(docs, radius=6, shingle=5)
+
+
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes covered by a 50-byte string of a smaller doc_id go; every document stays."""
-    return suffix_dedup.remove(docs)
+    """Passages of 50 bytes and more that a smaller doc_id also has go; every document stays."""
+    return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the order of the schedule of their sources' target weights."""
+    return mixing.mixed(docs)
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with the ids of their tokens."""
+    return bpe.encode(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("suffix_array_dedup", suffix_array_dedup)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("simhash_dedup", simhash_dedup),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("source_mixing", source_mixing),
+    ("bpe_encoding", bpe_encoding),
+]
 
+#: SQL has neither the models nor the graph steps; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
