@@ -1,0 +1 @@
+"""Detection, scoring, masking and restoring of personal data in tables of documents, on Spark."""
