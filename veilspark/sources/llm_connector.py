@@ -1,0 +1,46 @@
+"""Language-model connector: a function from prompts to answers, its errors as columns.
+
+No service is called here.  ``echo`` answers with the prompt; a caller passes its own ``send``,
+made once for each partition.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+Send = Callable[[str, str | None], str]
+
+
+def echo() -> Send:
+    return lambda prompt, system: prompt
+
+
+def offline() -> Send:
+    """Without a key: no answer, no error."""
+    return lambda prompt, system: ""
+
+
+def ask(df: DataFrame, connect: Callable[[], Send], prompt: str = "masked_text", system: str | None = None) -> DataFrame:
+    """Adds response, success and error; a failing request leaves an empty response and goes on."""
+    kept = [c for c in df.columns if c not in ("response", "success", "error")]
+    base = df.select(*kept)
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        send = connect()
+        for f in frames:
+            answers = []
+            for p in f[prompt]:
+                try:
+                    r = send(p, system)
+                    answers.append((r, bool(r), None))
+                except Exception as e:  # noqa: BLE001 - whatever a client raises becomes a row's error
+                    answers.append(("", False, type(e).__name__))
+            yield f.assign(**{k: [a[i] for a in answers] for i, k in enumerate(("response", "success", "error"))})
+
+    from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+
+    schema = StructType([*base.schema, StructField("response", StringType()), StructField("success", BooleanType()), StructField("error", StringType())])
+    return base.mapInPandas(work, schema) if connect is not echo else base.withColumns({"response": F.col(prompt), "success": F.lit(True), "error": F.lit(None).cast("string")})
