@@ -168,7 +168,7 @@ _scored("score_birthdate", "BIRTHDATE", "'05.03.1990'", _choice("дата рож
         "0.2 + CASE WHEN lead = 'дата рождения ' OR trail = ' г.р.' THEN 0.5 ELSE 0 END - CASE WHEN lead = 'выдан ' THEN 0.4 ELSE 0 END")
 _scored("score_telegram", "TELEGRAM", _choice("@ivan_petrov", "t.me/ivan_petrov"), _choice("tg: ", "пишите ", by="o_custkey"), "''",
         "CASE WHEN raw LIKE 't.me/%' THEN 0.8 WHEN lead = 'tg: ' THEN 0.6 ELSE 0.3 END")
-_scored("score_account", "BANK_ACCOUNT", f"concat('407', cast(o_orderkey % 100 as string), {_choice('810', '811', by='o_custkey')}, lpad('', 20 - 6 - length(cast(o_orderkey % 100 as string)), '7'))", _choice("счёт ", "номер ", "заказ "), "''",
+_scored("score_account", "BANK_ACCOUNT", f"concat('407', cast(o_orderkey % 100 as string), {_choice('810', '811', by='o_custkey')}, lpad('', cast(14 - length(cast(o_orderkey % 100 as string)) as int), '7'))", _choice("счёт ", "номер ", "заказ "), "''",
         "0.3 + CASE WHEN lead = 'счёт ' THEN 0.25 ELSE 0 END + CASE WHEN substr(raw, 6, 3) IN ('810','643','840','978','156','392','826','756','398','933') THEN 0.4 ELSE 0 END - CASE WHEN lead = 'заказ ' THEN 0.4 ELSE 0 END")
 _scored("score_coords", "COORDS", _choice("55.751244, 37.618423", "55.75, 37.61", "95.1234, 37.6184", '55°45\'\'07" N 37°37\'\'04" E'), _choice("координаты ", "точка ", by="o_custkey"), "''",
         "CASE WHEN raw LIKE '%°%' THEN 0.7 ELSE 0.3 + CASE WHEN lead = 'координаты ' THEN 0.3 ELSE 0 END + CASE WHEN raw LIKE '55%' THEN 0.1 ELSE 0 END + CASE WHEN raw <> '55.75, 37.61' THEN 0.15 ELSE 0 END END")
@@ -179,7 +179,7 @@ _scored("score_ipv4", "IP", "'192.168.1.10'", _choice("ip ", "версия ", "
 # ------------------------------------------------------------------ span algebra over ranges made from lines
 
 _LINES = """SELECT l_orderkey AS k, l_linenumber AS ord, (l_partkey * 7) % 60 AS s, (l_partkey * 7) % 60 + 1 + l_suppkey % 12 AS e, concat('T', cast(l_suppkey % 5 as string)) AS t FROM lineitem"""
-_ISLANDS = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e DESC, ord) AS n FROM (""" + _LINES + """)),
+_ISLANDS = """WITH l AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e DESC, ord, t) AS n FROM (""" + _LINES + """)),
 m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pe FROM l),
 i AS (SELECT *, sum(CASE WHEN pe IS NULL OR {apart} THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY n) AS g FROM m)
 """
@@ -499,7 +499,7 @@ tm AS (SELECT * FROM (VALUES ('NAME', 'PER'), ('EMAIL', 'EMAIL'), ('INN', 'INN')
 g1 AS (SELECT g.id, g.ord, g.s, g.e, g.t, tm.want,
          (SELECT count(*) FROM pc WHERE pc.id = g.id AND pc.c >= g.s AND pc.c < g.e) AS covered,
          (SELECT count(*) FROM pred p WHERE p.id = g.id AND p.s = g.s AND p.e = g.e AND p.t = tm.want) > 0 AS strict,
-         (SELECT arg_max(p.t, (least(g.e, p.e) - greatest(g.s, p.s)) * 100 - p.ord) FROM pred p WHERE p.id = g.id AND least(g.e, p.e) > greatest(g.s, p.s)) AS best
+         (SELECT min({'n': greatest(g.s, p.s) - least(g.e, p.e), 'o': p.ord, 's': p.s, 'e': p.e, 't': p.t}).t FROM pred p WHERE p.id = g.id AND least(g.e, p.e) > greatest(g.s, p.s)) AS best
        FROM gold g LEFT JOIN tm ON tm.t = g.t),
 p1 AS (SELECT p.id, p.ord, p.s, p.e, p.t,
          p.e - p.s - (SELECT count(*) FROM gc WHERE gc.id = p.id AND gc.c >= p.s AND gc.c < p.e) AS fp,
