@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilspark.llm.common import ship_package
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 BLOCK_CHARS = 1 << 20
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space as Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -60,25 +60,61 @@ class Codec:
             self.parts.setdefault(z, (x, y))
         # ids rise with the merges' order, on which the states rely
         assert all(z > max(p) for z, p in self.parts.items())
-        lens: dict[bytes, set[int]] = {}
-        for k in self.id_of:
-            lens.setdefault(k[-2:], set()).add(len(k))
-        self.lens = {k: sorted(v, reverse=True) for k, v in lens.items()}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self._automaton()
+        self.apart: dict[int, bool] = {}
+        self.raw = {i: i.to_bytes(4, "little") for i in self.bytes_of}
         self.cache: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else lambda t: [t]
 
+    def _automaton(self) -> None:
+        """Nodes are prefixes of tokens; ``ends`` has the tokens that end a node's string, longest first."""
+        step: dict[int, int] = {}
+        token, parent_of = [None], [(0, 0)]
+        for k, t in self.id_of.items():
+            at = 0
+            for b in k:
+                to = step.get(at << 8 | b)
+                if to is None:
+                    step[at << 8 | b] = to = len(token)
+                    token.append(None)
+                    parent_of.append((at, b))
+                at = to
+            token[at] = (t, len(k))
+        self.fall = fall = [0] * len(token)
+        self.step, self.own_steps = step, len(step)
+        ends: list[tuple] = [()] * len(token)
+        depth = [0] * len(token)
+        for n in range(1, len(token)):  # a node's number is above its parent's
+            depth[n] = depth[parent_of[n][0]] + 1
+        for n in sorted(range(1, len(token)), key=depth.__getitem__):
+            at, b = parent_of[n]
+            if at:
+                f = fall[at]
+                while (to := step.get(f << 8 | b)) is None and f:
+                    f = fall[f]
+                fall[n] = to or 0
+            ends[n] = ((token[n],) if token[n] else ()) + ends[fall[n]]
+        self.ends = ends
+        self.shortcuts: dict[int, int] = {}
+
+    def _move(self, key: int) -> int:
+        """A step of the automaton that is not an edge of the tokens' own trie."""
+        f, b = key >> 8, key & 255
+        while (to := self.step.get(f << 8 | b)) is None and f:
+            f = self.fall[f]
+        if len(self.shortcuts) > 1_000_000:
+            self.shortcuts.clear()
+        self.shortcuts[key] = to = to or 0
+        return to
+
     def stays_apart(self, x: int, y: int) -> bool:
         """Whether tokens x, y side by side are the encoding of their bytes.
 
         Undo both tokens' merges, last first, and look for a merge across the border that comes
         before the piece on either side is used up.  Equal merges go from left to right.
         """
-        key = (x, y)
-        known = self.apart.get(key)
-        if known is not None:
-            return known
+        key = x << 20 | y
         x_used = y_used = _FAR
         good = True
         while True:
@@ -94,14 +130,15 @@ class Codec:
                 x_used, x = x, self.parts[x][1]
             else:
                 break
-        if len(self.apart) > 4_000_000:
+        if len(self.apart) > 600_000:
             self.apart.clear()
         self.apart[key] = good
         return good
 
     def learn(self, words: Iterable[str]) -> None:
         """Encode distinct words in trie order and keep their ids as little-endian bytes."""
-        last, id_of, lens, apart = [-1], self.id_of, self.lens, self.apart
+        step, short, ends, apart, raw = self.step.get, self.shortcuts.get, self.ends, self.apart.get, self.raw
+        last, size_of, node = [-1], [0], [0]  # the states along the path of the current word
         before = b""
         for w, s in sorted((s.encode("utf-8", "replace"), s) for s in words):
             n, top = 0, min(len(w), len(before))
@@ -110,30 +147,33 @@ class Codec:
             else:
                 while w[n] == before[n]:
                     n += 1
-            del last[n + 1 :]
-            for d in range(n + 1, len(w) + 1):
-                two = w[max(0, d - 2) : d]
-                sizes = lens.get(two) or lens[two[-1:]]
-                if two in lens and sizes[-1] > 1:
-                    sizes = [*sizes, 1]
-                for size in sizes:
-                    if size > d:
-                        continue
-                    t = id_of.get(w[d - size : d])
-                    if t is None:
-                        continue
+            del last[n + 1 :], size_of[n + 1 :], node[n + 1 :]
+            at = node[n]
+            d = n
+            for b in w[n:]:
+                d += 1
+                key = at << 8 | b
+                at = step(key)
+                if at is None:
+                    at = short(key)
+                    if at is None:
+                        at = self._move(key)
+                for t, size in ends[at]:
                     p = last[d - size]
                     if p < 0:
                         break
-                    ok = apart.get((p, t))
-                    if ok if ok is not None else self.stays_apart(p, t):
+                    ok = apart(p << 20 | t)
+                    if ok or ok is None and self.stays_apart(p, t):
                         break
                 last.append(t)
-            out, d = [], len(w)
+                size_of.append(size)
+                node.append(at)
+            out = []
             while d:
-                out.append(last[d])
-                d -= len(self.bytes_of[last[d]])
-            self.cache[s] = np.array(out[::-1], "<u4").tobytes()
+                out.append(raw[last[d]])
+                d -= size_of[d]
+            out.reverse()
+            self.cache[s] = b"".join(out)
             before = w
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
@@ -147,7 +187,7 @@ class Codec:
         if fresh:
             self.learn(fresh)
         get = self.cache.__getitem__
-        return [b"".join(self.added[x].to_bytes(4, "little") if isinstance(x, str) else b"".join(map(get, x)) for x in ws) for ws in words]
+        return [b"".join(self.raw[self.added[x]] if isinstance(x, str) else b"".join(map(get, x)) for x in ws) for ws in words]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         i = 0
