@@ -45,6 +45,7 @@ def longs(df: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ scans of documents
 
+# RE2 has no look-around: other characters are doubled, so that one can end a match and one begin the next.
 _SCAN = """
 WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '{p}') AS ms, string_split_regex(text, '{p}') AS gs FROM documents),
 r AS (SELECT doc_id, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM m)
@@ -65,13 +66,13 @@ def scan_email_spans(spark, sf):
 
 
 @query(r"""SELECT doc_id, ip AS text FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?:$|[^0-9])', 1)) AS ip FROM documents)""")
+  SELECT doc_id, replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])([0-9]{1,3}\.\.[0-9]{1,3}\.\.[0-9]{1,3}\.\.[0-9]{1,3})(?:$|[^0-9])', 1)), '..', '.') AS ip FROM documents)""")
 def scan_ipv4_spans(spark, sf):
     return _scan(spark, sf, "IP").select("doc_id", "text")
 
 
 @query(r"""SELECT doc_id, ip AS text, 0.45::DOUBLE AS confidence FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})(?:$|[^0-9])', 1)) AS ip FROM documents)
+  SELECT doc_id, replace(unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])([0-9]{1,3}\.\.[0-9]{1,3}\.\.[0-9]{1,3}\.\.[0-9]{1,3})(?:$|[^0-9])', 1)), '..', '.') AS ip FROM documents)
 WHERE list_max(list_transform(string_split(ip, '.'), lambda o: o::INT)) <= 255""")
 def filter_ipv4_min_conf_045(spark, sf):
     df = table(spark, sf, "documents").filter(F.col("text").rlike(P.PATTERNS["IP"]))
@@ -79,7 +80,7 @@ def filter_ipv4_min_conf_045(spark, sf):
 
 
 _CARDS = r"""SELECT doc_id, regexp_replace(c, '[^0-9]', '', 'g') AS n FROM (
-  SELECT doc_id, unnest(regexp_extract_all(text, '(?:^|[^0-9])([0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4}[-\s]?[0-9]{4})(?:$|[^0-9])', 1)) AS c FROM documents)"""
+  SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([^0-9])', '\1\1', 'g'), '(?:^|[^0-9])([0-9]{4}(?:--|\s\s)?[0-9]{4}(?:--|\s\s)?[0-9]{4}(?:--|\s\s)?[0-9]{4})(?:$|[^0-9])', 1)) AS c FROM documents)"""
 _LUHN = "list_sum(list_transform(range(0, length({n})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({n}), i + 1, 1)::INT WHEN substr(reverse({n}), i + 1, 1)::INT * 2 > 9 THEN substr(reverse({n}), i + 1, 1)::INT * 2 - 9 ELSE substr(reverse({n}), i + 1, 1)::INT * 2 END)) % 10 = 0"
 
 
@@ -499,7 +500,7 @@ tm AS (SELECT * FROM (VALUES ('NAME', 'PER'), ('EMAIL', 'EMAIL'), ('INN', 'INN')
 g1 AS (SELECT g.id, g.ord, g.s, g.e, g.t, tm.want,
          (SELECT count(*) FROM pc WHERE pc.id = g.id AND pc.c >= g.s AND pc.c < g.e) AS covered,
          (SELECT count(*) FROM pred p WHERE p.id = g.id AND p.s = g.s AND p.e = g.e AND p.t = tm.want) > 0 AS strict,
-         (SELECT min({'n': greatest(g.s, p.s) - least(g.e, p.e), 'o': p.ord, 's': p.s, 'e': p.e, 't': p.t}).t FROM pred p WHERE p.id = g.id AND least(g.e, p.e) > greatest(g.s, p.s)) AS best
+         (SELECT min({{'n': greatest(g.s, p.s) - least(g.e, p.e), 'o': p.ord, 's': p.s, 'e': p.e, 't': p.t}}).t FROM pred p WHERE p.id = g.id AND least(g.e, p.e) > greatest(g.s, p.s)) AS best
        FROM gold g LEFT JOIN tm ON tm.t = g.t),
 p1 AS (SELECT p.id, p.ord, p.s, p.e, p.t,
          p.e - p.s - (SELECT count(*) FROM gc WHERE gc.id = p.id AND gc.c >= p.s AND gc.c < p.e) AS fp,
