@@ -31,7 +31,8 @@ def test_edges(text):
 
 
 def test_syllables_and_small_cache(monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_WORDS", 50)
+    for k in ("NEW_WORDS", "USED_WORDS", "PAIRS"):
+        monkeypatch.setattr(bpe, k, 50)
     rng = random.Random(1)
     for _ in range(200):
         t = "".join(rng.choice(["ing", "the", "er", "ver", "un", "able", "ation", " ", "ß"]) for _ in range(25))

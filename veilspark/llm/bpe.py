@@ -4,8 +4,8 @@ The distinct words of a block, sorted, are their trie in depth-first order: each
 with the one before it the path of their common prefix.  Every trie node keeps one state, the
 last token of its prefix's encoding; a child's last token is the longest token that ends there
 and stays apart from the last token of what precedes it (exactly one does), so prefixes are
-encoded once and a word's tokens are read by walking back.  Words met before are kept in a
-bounded cache of the Python worker.
+encoded once and a word's tokens are read by walking back.  Words met before are kept in
+bounded caches of the Python worker: new words, and words that a second block has used.
 
 Contract: ids equal those of the tokenizers library (byte-level BPE, no special tokens added,
 added tokens found in the text become their id); decoding joins the tokens' bytes and reads
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilspark.llm.common import ship_package
 
-CACHE_WORDS = 600_000
+NEW_WORDS, USED_WORDS, PAIRS = 200_000, 300_000, 300_000
 BLOCK_CHARS = 1 << 20
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space as Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -63,7 +63,8 @@ class Codec:
         self._automaton()
         self.apart: dict[int, bool] = {}
         self.raw = {i: i.to_bytes(4, "little") for i in self.bytes_of}
-        self.cache: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.used: dict[str, bytes] = {}
         self.find = regex.compile(PATTERN).findall
         self.split = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")").split if self.added else lambda t: [t]
 
@@ -103,7 +104,7 @@ class Codec:
         f, b = key >> 8, key & 255
         while (to := self.step.get(f << 8 | b)) is None and f:
             f = self.fall[f]
-        if len(self.shortcuts) > 1_000_000:
+        if len(self.shortcuts) > PAIRS:
             self.shortcuts.clear()
         self.shortcuts[key] = to = to or 0
         return to
@@ -130,13 +131,14 @@ class Codec:
                 x_used, x = x, self.parts[x][1]
             else:
                 break
-        if len(self.apart) > 600_000:
+        if len(self.apart) > PAIRS:
             self.apart.clear()
         self.apart[key] = good
         return good
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode distinct words in trie order and keep their ids as little-endian bytes."""
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Ids of distinct words, as little-endian bytes, found in trie order."""
+        made: dict[str, bytes] = {}
         step, short, ends, apart, raw = self.step.get, self.shortcuts.get, self.ends, self.apart.get, self.raw
         last, size_of, node = [-1], [0], [0]  # the states along the path of the current word
         before = b""
@@ -173,20 +175,25 @@ class Codec:
                 out.append(raw[last[d]])
                 d -= size_of[d]
             out.reverse()
-            self.cache[s] = b"".join(out)
+            made[s] = b"".join(out)
             before = w
+        return made
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as little-endian unsigned 32-bit integers."""
         pieces = [[p for p in self.split(t)] for t in texts]
         words = [[(p if p in self.added else self.find(p)) for p in ps] for ps in pieces]
-        fresh = {w for ws in words for x in ws if not isinstance(x, str) for w in x} - self.cache.keys()
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache.clear()
-            fresh = {w for ws in words for x in ws if not isinstance(x, str) for w in x}
-        if fresh:
-            self.learn(fresh)
-        get = self.cache.__getitem__
+        here = {w for ws in words for x in ws if not isinstance(x, str) for w in x}
+        known = {w: self.used[w] for w in here & self.used.keys()}
+        again = {w: self.new.pop(w) for w in here & self.new.keys()}
+        fresh = self.learn(here - known.keys() - again.keys())
+        if len(self.used) + len(again) > USED_WORDS:
+            self.used.clear()
+        if len(self.new) + len(fresh) > NEW_WORDS:
+            self.new.clear()
+        self.used |= again
+        self.new |= fresh
+        get = (known | again | fresh).__getitem__
         return [b"".join(self.raw[self.added[x]] if isinstance(x, str) else b"".join(map(get, x)) for x in ws) for ws in words]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
@@ -206,6 +213,11 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
+def forget() -> None:
+    """Drop all vocabularies and caches of this worker."""
+    _CODECS.clear()
+
+
 def codec(path: str) -> Codec:
     """The vocabulary at ``path``, loaded once for each Python worker."""
     if path not in _CODECS:
