@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from veilspark.llm.common import Scratch
+from veilspark.llm.common import Scratch, parts_for
 from veilspark.llm.graph import components
 from veilspark.llm.kernels import mix
 
@@ -122,6 +122,8 @@ def _forests(radius: int):
 def links(scratch: Scratch, nodes: DataFrame, radius: int = RADIUS, cap: int = CAP) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp`` that connect whatever the radius connects."""
     full = 2**64 - 1
+    n = parts_for(nodes.count() * len(masks(full, radius)) * 24, 16 << 20, 8, 1 << 16)
+    nodes = nodes.repartition(n, "fp")  # a small table that is about to grow by the number of masks
     first = [F.struct(F.xxhash64(F.lit(v), F.col("fp").bitwiseAND(_signed(m))).alias("key"), F.lit(_signed(m)).alias("used")) for v, m in enumerate(masks(full, radius))]
     rows = nodes.select("fp", F.explode(F.array(*first)).alias("t")).select("t.key", "t.used", "fp")
     found, level = [], 0
