@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import io
 import math
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -57,6 +60,23 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def fresh_worker(keep: str = "") -> None:
+    """At the start of a task: give back what other operators have cached in this Python worker."""
+    bpe = sys.modules.get("veilspark.llm.bpe")
+    if bpe is not None and keep != "bpe":
+        bpe.forget()
+    trim()
+
+
+def trim() -> None:
+    """Return free memory of this Python worker to the system; workers outlive their tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Scratch:
     """Tables of one run, written under the shared folder so that they outlive executors."""
 

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from veilspark.llm.common import Scratch
+from veilspark.llm.common import Scratch, fresh_worker
 
 BUCKETS, MAX_DOCS, WEIGHT, LEAST, KAPPA = 1 << 15, 4000, 60.0, 0.5, 8.0
 UND = "und"
@@ -114,6 +114,7 @@ def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast((model.langs, model.logp))  # languages by buckets: a fixed size
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         m = TextModel(*shared.value)
         k = len(m.langs)
         for rb in it:

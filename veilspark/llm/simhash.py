@@ -25,7 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from veilspark.llm.common import Scratch, parts_for
+from veilspark.llm.common import Scratch, fresh_worker, parts_for
 from veilspark.llm.graph import components
 from veilspark.llm.kernels import mix
 
@@ -53,6 +53,7 @@ def fingerprint(text: bytes, n: int = SHINGLE, seed: int = 42) -> int:
 
 def _with_fingerprints(text: str, keep_text: bool, n: int):
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         ctx = TaskContext.get()
         at = (ctx.partitionId() if ctx else 0) << 33
         for rb in it:

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilspark.llm import kernels as K
-from veilspark.llm.common import Scratch, input_bytes, parts_for
+from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for
 
 BATCH_BYTES = 4 << 20
 HOT = 256
@@ -66,6 +66,7 @@ def _text_parts(col: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 def make_batches(text: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         ctx = TaskContext.get()
         seq, zip_ = (ctx.partitionId() if ctx else 0) << 32, zstandard.ZstdCompressor(level=1)
         for rb in it:
@@ -158,6 +159,7 @@ def _ints(x: np.ndarray) -> tuple[int, int, bytes]:
 
 def send_contents(plan: Plan, id_col: str):
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for rb in it:
             for bid, side, body in zip(rb["batch_id"].to_pylist(), rb["side"], rb["body"]):
                 b = Batch(side.as_py(), body.as_py(), plan, id_col)
