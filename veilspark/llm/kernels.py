@@ -9,7 +9,7 @@ import numpy as np
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-_GROUP = 1 << 21  # symbols worked on at once; bounds memory whatever a document's length
+_GROUP = 1 << 19  # symbols worked on at once; bounds memory whatever a document's length
 POS_BITS = U(22)
 BYTE_TABLE = np.random.Generator(np.random.PCG64(20240607)).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 
@@ -41,7 +41,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix(sym: np.ndarray) -> np.ndarray:
-    """Prefix sums of sym[i] * base**i; with ``gram`` they give any substring's hash."""
+    """Prefix sums of sym[i] * base**i; with ``gram`` they give any substring's hash.  Bytes get table values."""
+    sym = BYTE_TABLE[sym] if sym.dtype == np.uint8 else sym
     c = np.zeros(len(sym) + 1, np.uint64)
     np.cumsum(sym * powers(len(sym))[0][: len(sym)], out=c[1:])
     return c
@@ -162,7 +163,7 @@ def word_ids(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     while i < len(starts):
         lo = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, lo + _GROUP, side="right")))
-        c = prefix(BYTE_TABLE[buf[lo : int(ends[j - 1])]])
+        c = prefix(buf[lo : int(ends[j - 1])])
         out[i:j] = gram_at(c, starts[i:j] - lo, ends[i:j] - lo, 9)
         i = j
     return out | U(1)

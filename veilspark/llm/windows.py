@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilspark.llm import kernels as K
-from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for
+from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for, trim
 
 BATCH_BYTES = 4 << 20
 HOT = 256
@@ -111,7 +111,7 @@ class Batch:
             self.bounds = np.searchsorted(ws, self.at)
             self.sym = K.word_ids(self.buf, ws, we)
         else:
-            self.bounds, self.sym = self.at, K.BYTE_TABLE[self.buf]
+            self.bounds, self.sym = self.at, self.buf
 
     def _split(self, ws: np.ndarray, we: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Documents lie one after another, so a word must also end where its document does."""
@@ -175,6 +175,8 @@ def send_contents(plan: Plan, id_col: str):
                     else:
                         width, base, d = 1, 0, np.minimum(b.kn[s:e], 2).astype(np.uint8).tobytes()
                     blobs.append(struct.pack(_HEAD, e - s, s, width, base) + low6[s:e].tobytes() + b.kr[s:e].tobytes() + d)
+                del b
+                trim()
                 yield pa.RecordBatch.from_pydict(
                     {"rng": pa.array(rng[cut], pa.int32()), "batch_id": pa.array([bid] * len(cut), pa.int64()), "blob": pa.array(blobs, pa.binary())}
                 )
@@ -219,7 +221,10 @@ def judge_contents(plan: Plan):
         code[hot] = WIDE
         keep = np.flatnonzero(code)
         keep = keep[np.argsort(bid[keep], kind="stable")]
-        yield from _answers(bid[keep], np.rec.fromarrays([idx[keep], code[keep]], dtype=[("i", "<u4"), ("c", "u1")]))
+        out = bid[keep], np.rec.fromarrays([idx[keep], code[keep]], dtype=[("i", "<u4"), ("c", "u1")])
+        del a, r, d, idx, bid, o, f, fa, g, ga, kinds, hot, code, keep
+        trim()
+        yield from _answers(*out)
 
     return judge
 
@@ -311,6 +316,8 @@ def open_contents(plan: Plan, id_col: str):
         blob = struct.pack("<6I", *map(len, state)) + b"".join(np.asarray(x, np.int64).tobytes() for x in state)
         for c, v in (("batch_id", bid), ("rng", -1), ("kind", 0), ("blob", zstandard.ZstdCompressor(level=1).compress(blob))):
             rows[c].append(v)
+        del b
+        trim()
         return pa.table(rows, schema=_EXCHANGE)
 
     return work
@@ -331,12 +338,12 @@ def _ids128(sym: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, n
     i = 0
     while i < len(at):
         lo = int(at[i])
-        j = max(i + 1, int(np.searchsorted(at, lo + (1 << 21), side="left")))
+        j = max(i + 1, int(np.searchsorted(at, lo + (1 << 19), side="left")))
         hi = int(at[j - 1]) + window
         s = sym[lo:hi]
         x = at[i:j] - lo
         g[i:j] = K.gram_at(K.prefix(s), x, x + window, 21)
-        h[i:j] = K.gram_at(K.prefix(K.mix(s, 77)), x, x + window, 22)
+        h[i:j] = K.gram_at(K.prefix(K.mix(s.astype(np.uint64), 77)), x, x + window, 22)
         i = j
     return g, h
 
@@ -354,7 +361,7 @@ def judge_windows(plan: Plan):
                     head = np.frombuffer(v, _RUN, n, 4)
                     size = np.uint64 if plan.words else np.uint8
                     data = np.frombuffer(v, size, offset=4 + n * _RUN.itemsize)
-                    sym = data if plan.words else K.BYTE_TABLE[data]
+                    sym = data
                     full = head["n"].astype(np.int64) + plan.window - 1
                     s1 = np.cumsum(full) - full
                     at = _windows_of(s1, s1 + head["n"].astype(np.int64) - 1)
@@ -392,7 +399,10 @@ def judge_windows(plan: Plan):
         bid, k, kind = (np.concatenate(x) for x in (RB, RK, RKIND))
         keep = np.flatnonzero(mask)
         keep = keep[np.argsort(bid[keep], kind="stable")]
-        yield from _answers(bid[keep], np.rec.fromarrays([k[keep], kind[keep], mask[keep]], dtype=_REPLY))
+        out = bid[keep], np.rec.fromarrays([k[keep], kind[keep], mask[keep]], dtype=_REPLY)
+        del g, h, d, run, w, o, f, grp, hit, at, mask, bid, k, kind, keep
+        trim()
+        yield from _answers(*out)
 
     return judge
 
@@ -456,6 +466,7 @@ def find(scratch: Scratch, docs: DataFrame, plan: Plan, text: str, id_col: str,
         blobs = [x.as_py() for x in right["blob"]]
         state_ = next(x for x, k in zip(blobs, kinds) if k == 0)
         lo, hi = covered(state_, [x for x, k in zip(blobs, kinds) if k], width)
+        trim()
         return finish(b, lo, hi).cast(finish_schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
