@@ -13,8 +13,8 @@ The engine under substring dedup (35-word windows) and suffix-array dedup (50-by
 5. Batches join both answers by batch id and mark what is covered.
 
 Skew: a batch sends one row for a content however many of its documents hold it, and one
-marker for a bucket with more than ``HOT`` contents; marked buckets are settled window by
-window, spread by the window's own identifier.  No list of documents is ever gathered.
+marker for a bucket with more than ``HOT`` contents; marked buckets, and those with more than
+four times as many in all, are settled window by window, spread by the window's own identifier.  No list of documents is ever gathered.
 
 Modes: ``smaller`` (a window that also starts in a document with a smaller id) and
 ``anywhere`` (a window that starts at any other place).
@@ -211,7 +211,7 @@ def judge_contents(plan: Plan):
         f, fa = K.firsts(a, r), K.firsts(a)
         g, ga = np.cumsum(f) - 1, np.cumsum(fa) - 1
         kinds = np.bincount(ga, weights=f).astype(np.int64)[ga]
-        hot = np.bincount(ga, weights=(r == 0))[ga] > 0
+        hot = (np.bincount(ga, weights=(r == 0))[ga] > 0) | (kinds > 4 * plan.hot)
         code = np.zeros(len(a), np.uint8)
         if plan.smaller:
             code[d > d[np.flatnonzero(f)][g]] |= COVERED
@@ -309,8 +309,8 @@ def open_contents(plan: Plan, id_col: str):
             ug, uh = g[o][cut], h[o][cut]
             rec = np.zeros(len(cut), _GRAM)
             rec["k"], rec["g"], rec["h"], rec["d"] = np.arange(len(cut)), ug, uh, dmin if plan.smaller else np.minimum(cnt, 2)
-            for s, e, rng in _slices(ug >> U(16)):
-                for c, v in (("batch_id", bid), ("rng", int(rng) >> max(0, 16 - plan.range_bits)), ("kind", 2), ("blob", rec[s:e].tobytes())):
+            for s, e, rng in _slices(ug >> U(64 - plan.range_bits) << U(48)):
+                for c, v in (("batch_id", bid), ("rng", rng), ("kind", 2), ("blob", rec[s:e].tobytes())):
                     rows[c].append(v)
         state = [lo, hi, *spots[0], *grams]
         blob = struct.pack("<6I", *map(len, state)) + b"".join(np.asarray(x, np.int64).tobytes() for x in state)
