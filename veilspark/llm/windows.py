@@ -188,22 +188,22 @@ def judge_contents(plan: Plan):
     """One range partition: which contents repeat, which are open; an answer for each batch."""
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_ranges(it, 4 << 20):
+            yield from one(rows)
+
+    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         A, R, D, I, B = [], [], [], [], []
-        for rb in it:
-            for rng, bid, blob in zip(rb["rng"].to_pylist(), rb["batch_id"].to_pylist(), rb["blob"]):
-                v = blob.as_buffer()
-                n, start, width, base = struct.unpack_from(_HEAD, v)
-                p = struct.calcsize(_HEAD)
-                a = np.zeros((n, 8), np.uint8)
-                a[:, :6] = np.frombuffer(v, np.uint8, 6 * n, p).reshape(n, 6)
-                A.append(a.view(np.uint64).ravel() | U(rng << 48))
-                R.append(np.frombuffer(v, np.uint64, n, p + 6 * n).copy())
-                d = np.frombuffer(v, {1: np.uint8, 4: np.uint32, 8: np.int64}[width], n, p + 14 * n)
-                D.append(d.astype(np.int64) + base if width == 4 else d.astype(np.int64))
-                I.append(np.arange(start, start + n, dtype=np.uint32))
-                B.append(np.full(n, bid, np.int64))
-        if not A:
-            return
+        for rng, bid, _, v in rows:
+            n, start, width, base = struct.unpack_from(_HEAD, v)
+            p = struct.calcsize(_HEAD)
+            a = np.zeros((n, 8), np.uint8)
+            a[:, :6] = np.frombuffer(v, np.uint8, 6 * n, p).reshape(n, 6)
+            A.append(a.view(np.uint64).ravel() | U(rng << 48))
+            R.append(np.frombuffer(v, np.uint64, n, p + 6 * n).copy())
+            d = np.frombuffer(v, {1: np.uint8, 4: np.uint32, 8: np.int64}[width], n, p + 14 * n)
+            D.append(d.astype(np.int64) + base if width == 4 else d.astype(np.int64))
+            I.append(np.arange(start, start + n, dtype=np.uint32))
+            B.append(np.full(n, bid, np.int64))
         a, r, d, idx, bid = (np.concatenate(x) for x in (A, R, D, I, B))
         del A, R, D, I, B
         o = K.by_key(a, r, d, bid)
@@ -229,6 +229,25 @@ def judge_contents(plan: Plan):
     return judge
 
 
+def _by_ranges(it: Iterator[pa.RecordBatch], least: int) -> Iterator[list[tuple]]:
+    """The rows (range, batch, kind, blob) of a partition, whole ranges at a time, about ``least`` bytes."""
+    held: dict[int, list[tuple]] = {}
+    for rb in it:
+        kinds = rb["kind"].to_pylist() if "kind" in rb.schema.names else [0] * rb.num_rows
+        for rng, bid, kind, blob in zip(rb["rng"].to_pylist(), rb["batch_id"].to_pylist(), kinds, rb["blob"]):
+            held.setdefault(rng, []).append((rng, bid, kind, blob.as_buffer()))
+    chunk, size = [], 0
+    for rng in sorted(held):
+        more = held.pop(rng)
+        chunk += more
+        size += sum(x[3].size for x in more)
+        if size >= least:
+            yield chunk
+            chunk, size = [], 0
+    if chunk:
+        yield chunk
+
+
 def _answers(bid: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
     if not len(bid):
         return
@@ -350,40 +369,40 @@ def _ids128(sym: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, n
 
 def judge_windows(plan: Plan):
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_ranges(it, 1 << 20):
+            yield from one(rows)
+
+    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         G, H, D, RUN, W = [], [], [], [], []
         RB, RK, RKIND = [], [], []
         n_runs = 0
-        for rb in it:
-            for bid, kind, blob in zip(rb["batch_id"].to_pylist(), rb["kind"].to_pylist(), rb["blob"]):
-                v = blob.as_buffer()
-                if kind == 1:
-                    (n,) = struct.unpack_from("<I", v)
-                    head = np.frombuffer(v, _RUN, n, 4)
-                    size = np.uint64 if plan.words else np.uint8
-                    data = np.frombuffer(v, size, offset=4 + n * _RUN.itemsize)
-                    sym = data
-                    full = head["n"].astype(np.int64) + plan.window - 1
-                    s1 = np.cumsum(full) - full
-                    at = _windows_of(s1, s1 + head["n"].astype(np.int64) - 1)
-                    g, h = _ids128(sym, at, plan.window)
-                    D.append(np.repeat(head["d"], head["n"]))
-                    RUN.append(np.repeat(np.arange(n) + n_runs, head["n"]))
-                    W.append(at - np.repeat(s1, head["n"]))
-                    k = head["k"]
-                else:
-                    rec = np.frombuffer(v, _GRAM)
-                    n, g, h, k = len(rec), rec["g"].copy(), rec["h"].copy(), rec["k"]
-                    D.append(rec["d"].copy())
-                    RUN.append(np.arange(n) + n_runs)
-                    W.append(np.zeros(n, np.int64))
-                G.append(g)
-                H.append(h)
-                RB.append(np.full(n, bid, np.int64))
-                RK.append(k.astype(np.uint32))
-                RKIND.append(np.full(n, kind, np.uint8))
-                n_runs += n
-        if not n_runs:
-            return
+        for _, bid, kind, v in rows:
+            if kind == 1:
+                (n,) = struct.unpack_from("<I", v)
+                head = np.frombuffer(v, _RUN, n, 4)
+                size = np.uint64 if plan.words else np.uint8
+                data = np.frombuffer(v, size, offset=4 + n * _RUN.itemsize)
+                sym = data
+                full = head["n"].astype(np.int64) + plan.window - 1
+                s1 = np.cumsum(full) - full
+                at = _windows_of(s1, s1 + head["n"].astype(np.int64) - 1)
+                g, h = _ids128(sym, at, plan.window)
+                D.append(np.repeat(head["d"], head["n"]))
+                RUN.append(np.repeat(np.arange(n) + n_runs, head["n"]))
+                W.append(at - np.repeat(s1, head["n"]))
+                k = head["k"]
+            else:
+                rec = np.frombuffer(v, _GRAM)
+                n, g, h, k = len(rec), rec["g"].copy(), rec["h"].copy(), rec["k"]
+                D.append(rec["d"].copy())
+                RUN.append(np.arange(n) + n_runs)
+                W.append(np.zeros(n, np.int64))
+            G.append(g)
+            H.append(h)
+            RB.append(np.full(n, bid, np.int64))
+            RK.append(k.astype(np.uint32))
+            RKIND.append(np.full(n, kind, np.uint8))
+            n_runs += n
         g, h, d, run, w = (np.concatenate(x) for x in (G, H, D, RUN, W))
         del G, H, D, RUN, W
         o = K.by_key(g, h, d)
