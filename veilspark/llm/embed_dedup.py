@@ -78,25 +78,33 @@ class Tree:
         return node, other
 
 
-def _clean(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the unit vector in double precision (null if it links with nothing)."""
-    for rb in it:
-        out = []
-        for v, label in zip(rb["embedding"].to_pylist(), rb["label"].to_pylist()):
-            x = None if v is None or label is None or not v or None in v else np.array(v, np.float64)
-            with np.errstate(over="ignore", invalid="ignore"):
-                top = np.abs(x).max() if x is not None else 0.0
-                x = x / top if x is not None and np.isfinite(top) and top > 0 else None
-            out.append(None if x is None else (x / np.sqrt((x * x).sum())).tobytes())
-        yield pa.RecordBatch.from_arrays([rb["vec_id"], rb["label"], pa.array(out, pa.binary())], names=["vec_id", "label", "unit"])
-
-
-def _router(trees: list[Tree], dim: int, with_vectors: bool):
+def _clean(kind: str):
+    """Adds the vector's bytes (null if it links with nothing)."""
+
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            vecs = np.frombuffer(b"".join(rb["unit"].to_pylist()), np.float64).reshape(-1, dim)
+            out = []
+            for v, label in zip(rb["embedding"].to_pylist(), rb["label"].to_pylist()):
+                x = None if v is None or label is None or not v or None in v else np.array(v, np.float64)
+                out.append(x.astype(kind).tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+            yield pa.RecordBatch.from_arrays([rb["vec_id"], rb["label"], pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
+
+    return work
+
+
+def units(blobs: list[bytes], dim: int, kind: str) -> np.ndarray:
+    """Unit vectors in double precision."""
+    x = np.frombuffer(b"".join(blobs), kind).reshape(-1, dim).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _router(trees: list[Tree], dim: int, kind: str, with_vectors: bool):
+    def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            vecs = units(rb["vec"].to_pylist(), dim, kind)
             both = [t.leaves(vecs) for t in trees]
-            codes = np.stack([c for pair in both for c in pair], axis=1).astype(np.int32)
+            codes = np.stack([c for pair in both for c in pair], axis=1).astype(_codes(trees[0].depth))
             for t, pair in enumerate(both):
                 for leaf in pair:
                     on = np.flatnonzero(leaf >= 0)
@@ -106,14 +114,18 @@ def _router(trees: list[Tree], dim: int, with_vectors: bool):
                     cols = [rb["label"].take(pa.array(on)), pa.array(key)]
                     names = ["label", "leaf"]
                     if with_vectors:
-                        cols += [rb["node"].take(pa.array(on)), rb["n"].take(pa.array(on)), rb["unit"].take(pa.array(on)), pa.array([c.tobytes() for c in codes[on]], pa.binary())]
-                        names += ["node", "n", "unit", "codes"]
+                        cols += [rb["node"].take(pa.array(on)), rb["n"].take(pa.array(on)), rb["vec"].take(pa.array(on)), pa.array([c.tobytes() for c in codes[on]], pa.binary())]
+                        names += ["node", "n", "vec", "codes"]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return work
 
 
-def _compare(dim: int, cosine: float):
+def _codes(depth: int) -> str:
+    return "<i2" if depth < 15 else "<i4"
+
+
+def _compare(dim: int, kind: str, depth: int, cosine: float):
     """Links of one leaf, or one pair of its blocks: weights linked to each node, a spanning forest."""
 
     def work(t: pa.Table) -> pa.Table:
@@ -123,8 +135,8 @@ def _compare(dim: int, cosine: float):
         a, b = t["a"][0].as_py(), t["b"][0].as_py()
         block = np.asarray(t["block"])
         node, n = np.asarray(t["node"]), np.asarray(t["n"])
-        vec = np.frombuffer(b"".join(t["unit"].to_pylist()), np.float64).reshape(-1, dim)
-        codes = np.frombuffer(b"".join(t["codes"].to_pylist()), np.int32).reshape(len(node), -1)
+        vec = units(t["vec"].to_pylist(), dim, kind)
+        codes = np.frombuffer(b"".join(t["codes"].to_pylist()), _codes(depth)).reshape(len(node), -1)
         here = leaf & ((1 << 40) - 1)
         row = np.flatnonzero(block == a) if a != b else np.arange(len(node))
         col = np.flatnonzero(block == b) if a != b else row
@@ -181,20 +193,21 @@ def classes(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, cap: i
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "forest")
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
-    rows = scratch.table(rows.mapInArrow(_clean, "vec_id long, label string, unit binary"), "rows")
-    nodes = rows.filter("unit is not null").groupBy("label", "unit").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("unit") / 8), "nodes")
+    rows = scratch.table(rows.mapInArrow(_clean(kind), "vec_id long, label string, vec binary"), "rows")
+    nodes = rows.filter("vec is not null").groupBy("label", "vec").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    nodes = scratch.table(nodes.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.octet_length("vec") / int(kind[2])), "nodes")
     partials = None
     for dim in sorted(int(r.dim) for r in nodes.select("dim").distinct().collect()):
-        mine = nodes.filter(F.col("dim") == dim).select("label", "unit", "n", "node")
+        mine = nodes.filter(F.col("dim") == dim).select("label", "vec", "n", "node")
         total, largest = mine.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
         depth, n_trees = forest_shape(largest, leaf)
-        some = mine.filter(F.pmod(F.xxhash64("unit"), F.lit(total)) < sample).select("unit").limit(2 * sample).collect()
-        base = np.frombuffer(b"".join(bytes(r.unit) for r in some), np.float64).reshape(-1, dim)
+        some = mine.filter(F.pmod(F.xxhash64("vec"), F.lit(total)) < sample).select("vec").limit(2 * sample).collect()
+        base = units([bytes(r.vec) for r in some], dim, kind)
         trees = [Tree(t, depth, base) for t in range(n_trees)]
-        routed = mine.mapInArrow(_router(trees, dim, True), "label string, leaf long, node long, n long, unit binary, codes binary")
-        big = mine.mapInArrow(_router(trees, dim, False), "label string, leaf long").groupBy("label", "leaf").count().filter(F.col("count") > cap)
+        routed = mine.mapInArrow(_router(trees, dim, kind, True), "label string, leaf long, node long, n long, vec binary, codes binary")
+        big = mine.mapInArrow(_router(trees, dim, kind, False), "label string, leaf long").groupBy("label", "leaf").count().filter(F.col("count") > cap)
         big = scratch.table(big.select("label", "leaf", F.ceil(F.col("count") / cap).alias("blocks")), f"big-{dim}")
         if not big.isEmpty():
             routed = routed.join(big, ["label", "leaf"], "left")
@@ -204,7 +217,7 @@ def classes(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, cap: i
         pairs = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("blocks", F.lit(1)) - 1))
         routed = routed.withColumn("block", block).withColumn("other", pairs)
         routed = routed.withColumn("a", F.least("block", "other")).withColumn("b", F.greatest("block", "other"))
-        got = routed.select("label", "leaf", "a", "b", "block", "node", "n", "unit", "codes").groupBy("label", "leaf", "a", "b").applyInArrow(_compare(dim, cosine), "a long, b long, n long")
+        got = routed.select("label", "leaf", "a", "b", "block", "node", "n", "vec", "codes").groupBy("label", "leaf", "a", "b").applyInArrow(_compare(dim, kind, depth, cosine), "a long, b long, n long")
         partials = got if partials is None else partials.union(got)
     if partials is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -212,9 +225,9 @@ def classes(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, cap: i
     counted = partials.filter("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("linked"))
     cc = components(scratch, partials.filter("n < 0").select("a", "b"))
     joined = nodes.join(counted, "node", "left").join(cc, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    joined = scratch.table(joined.select("label", "unit", "root", "least", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")), "joined")
+    joined = scratch.table(joined.select("label", "vec", "root", "least", (F.coalesce("linked", F.lit(0)) + F.col("n") - 1).alias("n_links")), "joined")
     tops = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = joined.join(tops, "root").select("label", "unit", "n_links", "component_id")
-    out = rows.join(labelled, ["label", "unit"], "left")
-    component = F.when(F.col("unit").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    labelled = joined.join(tops, "root").select("label", "vec", "n_links", "component_id")
+    out = rows.join(labelled, ["label", "vec"], "left")
+    component = F.when(F.col("vec").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
