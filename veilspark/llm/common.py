@@ -8,6 +8,7 @@ import ctypes
 import io
 import math
 import os
+import re
 import shutil
 import sys
 import tempfile
@@ -17,6 +18,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _SHIPPED: set[str] = set()
+ARROW_BATCH = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +41,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable on executors, once for each Spark application."""
+    """Make this package importable on executors, once for each Spark application.
+
+    Also bounds the bytes of an Arrow batch where the session has no bound: the usual bound on rows
+    lets a batch of long texts grow without limit.
+    """
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.match("[0-9]+", spark.conf.get(key, "1"))[0]) in (1, 2**31 - 1):  # unset, or without a bound
+        spark.conf.set(key, str(ARROW_BATCH))
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
