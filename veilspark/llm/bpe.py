@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilspark.llm.common import ship_package
 
-NEW_WORDS, USED_WORDS, PAIRS = 200_000, 300_000, 300_000
+NEW_WORDS, USED_WORDS, PAIRS = 100_000, 250_000, 200_000
 BLOCK_CHARS = 1 << 20
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space as Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
