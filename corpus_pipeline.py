@@ -13,6 +13,7 @@ their operators do.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,13 +22,31 @@ from veilspark.llm import bpe, langid, mixing, simhash, suffix_dedup
 from veilspark.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_held: list[Scratch] = []
 
 
+def _stage(f: Stage) -> Stage:
+    """A stage begins by deleting what the one before has left: its result has been written by then."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _held:
+            _held.pop().clear()
+        known = list(Scratch.made)
+        out = f(spark, docs, sf_dir)
+        _held.extend(s for s in Scratch.made if s not in known)
+        return out
+
+    return run_stage
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language is certain enough go."""
     return langid.keep_known(docs)
 
 
+@_stage
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
@@ -38,16 +57,19 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return simhash.keep_one(docs, radius=6, shingle=5)
 
 
+@_stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that a smaller doc_id also has go; every document stays."""
     return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the schedule of their sources' target weights."""
     return mixing.mixed(docs)
 
 
+@_stage
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their tokens."""
     return bpe.encode(docs)

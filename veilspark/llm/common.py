@@ -87,10 +87,17 @@ def trim() -> None:
 
 
 class Scratch:
-    """Tables of one run, written under the shared folder so that they outlive executors."""
+    """Tables of one run, written under the shared folder so that they outlive executors.
+
+    They stay until ``clear``, since an operator's result may read them; ``made`` lists those of
+    this process, for callers that know when a result has been written.
+    """
+
+    made: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         ship_package(spark)
+        Scratch.made.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -109,11 +116,21 @@ class Scratch:
         df.write.bucketBy(buckets, key).option("path", self.path(name)).format("parquet").saveAsTable(full)
         return self.spark.table(full)
 
+    def clear(self) -> None:
+        """Delete everything."""
+        self.drop("")
+        if self in Scratch.made:
+            Scratch.made.remove(self)
+
+    def free_shuffles(self) -> None:
+        """Have the driver notice unused shuffles now, so that executors delete their files."""
+        self.spark._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables whose rows have all been used."""
         jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
         for n in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(n))
+            p = jvm.org.apache.hadoop.fs.Path(self.path(n) if n else self.root)
             p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
 
 

@@ -14,7 +14,8 @@ The engine under substring dedup (35-word windows) and suffix-array dedup (50-by
 
 Skew: a batch sends one row for a content however many of its documents hold it, and one
 marker for a bucket with more than ``HOT`` contents; marked buckets, and those with more than
-four times as many in all, are settled window by window, spread by the window's own identifier.  No list of documents is ever gathered.
+four times as many in all, are settled window by window, spread by the window's own identifier.
+No list of documents is ever gathered.
 
 Modes: ``smaller`` (a window that also starts in a document with a smaller id) and
 ``anywhere`` (a window that starts at any other place).
@@ -472,6 +473,8 @@ def find(scratch: Scratch, docs: DataFrame, plan: Plan, text: str, id_col: str,
     answers = sent.repartition(parts, "rng").mapInArrow(judge_contents(plan), "batch_id long, kind int, blob binary")
     pairs = batches.groupBy("batch_id").cogroup(answers.groupBy("batch_id"))
     opened = scratch.table(pairs.applyInArrow(open_contents(plan, id_col), "batch_id long, rng int, kind int, blob binary"), "open")
+    del sent, answers, pairs
+    scratch.free_shuffles()
     replies = (opened.filter("kind > 0").repartition(parts, "rng")
                .mapInArrow(judge_windows(plan), "batch_id long, kind int, blob binary"))
     state = opened.filter("kind = 0").select("batch_id", "kind", "blob").union(replies)
