@@ -18,7 +18,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from veilspark.llm import bpe, langid, mixing, simhash, suffix_dedup
+from veilspark.llm import bpe, langid, mixing, similar, suffix_dedup
 from veilspark.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -50,11 +50,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
-    Shingles have five words.  Fingerprints within 6 of 64 bits are linked, all of them; a pair of
-    similarity 0.8 differs in 10 bits on average, one of 0.9 in 7, so that the radius finds most
-    pairs over 0.9 and part of those between 0.8 and 0.9 (the README has figures).
+    Texts whose sets of five-word shingles have a similarity of 0.8 or more are linked.  SimHashes within
+    6 of 64 bits and MinHash bands only propose pairs; each link is verified by the shingle sets.
     """
-    return simhash.keep_one(docs, radius=6, shingle=5)
+    return similar.keep_one(docs, radius=6, shingle=5, least=0.8)
 
 
 @_stage
