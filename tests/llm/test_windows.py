@@ -97,3 +97,17 @@ def test_long_document_is_cut(spark, monkeypatch):
     doc, s1, s2, _, _ = kernels.runs(sym, bounds, 50, 16)
     starts = np.sort(np.concatenate([np.arange(x, y + 1) for x, y in zip(s1, s2)]))
     assert starts.tolist() == list(range(4951))
+
+
+@pytest.mark.parametrize("same_id", [None, 9])
+def test_equal_rows_of_one_id_in_different_batches(spark, same_id):
+    import random
+
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for i in range(12):
+        p, x, y = word(300), word(200), word(200)
+        rows += [(1, word(90) + p + word(90)), (same_id, x + p + y), (same_id, x + p + y)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
+    same(rows_of(suffix_dedup.digests(docs), *COLS7), brute_bytes(rows))

@@ -215,10 +215,12 @@ def judge_contents(plan: Plan):
         hot = (np.bincount(ga, weights=(r == 0))[ga] > 0) | (kinds > 4 * plan.hot)
         code = np.zeros(len(a), np.uint8)
         if plan.smaller:
-            code[d > d[np.flatnonzero(f)][g]] |= COVERED
+            least = d == d[np.flatnonzero(f)][g]  # in several batches, if ids repeat: each needs the answer
+            code[~least] |= COVERED
+            code[least & (kinds > 1)] |= SEND
         else:
             code[(np.bincount(g, weights=d)[g] >= 2)] |= COVERED
-        code[f & (kinds > 1)] |= SEND
+            code[f & (kinds > 1)] |= SEND
         code[hot] = WIDE
         keep = np.flatnonzero(code)
         keep = keep[np.argsort(bid[keep], kind="stable")]
