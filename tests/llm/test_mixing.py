@@ -42,3 +42,18 @@ def test_weights_and_clashing_columns(docs):
 def test_empty_and_order(docs, no_docs):
     assert mixing.schedule(no_docs).count() == 0
     assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == docs.count()
+
+
+def test_more_sources_than_half_a_period(spark):
+    rows = [(i, "t", f"s{i % 501}") for i in range(1100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.schedule(docs, block=1)
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == list(range(1100))
+    assert len({r.mix_slot for r in got}) == 1100
+    assert all(r.release_slot <= r.mix_slot < r.deadline_slot for r in got)
+    assert mixing.mixed(docs).count() == 1100
+    many = [(i, "t", f"s{min(i, 40)}") for i in range(300)]
+    got = mixing.schedule(spark.createDataFrame(many, "doc_id long, text string, source string"), block=1, period=10).collect()
+    assert len(got) == len({r.mix_slot for r in got}) == 300
+    assert all(r.release_slot <= r.mix_slot < r.deadline_slot for r in got)

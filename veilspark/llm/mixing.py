@@ -11,6 +11,9 @@ A source that runs out leaves its later slots empty; the rest keep their order.
 kept.  Rows are numbered within (source, salt) groups of bounded size, so that a source with a
 third of all rows is ranked by many tasks.
 
+A source has one block in a period at least, so the period is twice the number of sources where that is
+more than ``period``: any number of sources is mixed.  The fold takes period x sources steps in one task.
+
 Contract: a null source is a source of its own; null and repeated ids are kept and ordered among
 themselves; an empty table gives an empty result.  Target weights come from ``weights`` (source to
 weight, for all sources) or are the rows of a source to the power ``alpha``.
@@ -25,29 +28,35 @@ _NONE = "\u0001"
 
 
 def units(counts: DataFrame, weights: dict[str | None, float] | None, period: int, alpha: float) -> DataFrame:
-    """(key, rows, n): each source's blocks in a period; largest remainders, at least one, sum = period."""
+    """(key, rows, n): each source's blocks in a period; largest remainders, at least one.
+
+    They sum to ``period``, or to twice the number of sources if that is more.
+    """
     if weights:
         given = F.create_map(*[F.lit(x) for k, w in weights.items() for x in (_NONE if k is None else k, float(w))])
         raw: Column = F.coalesce(F.element_at(given, F.col("key")), F.lit(0.0))
     else:
         raw = F.pow(F.col("rows").cast("double"), F.lit(alpha))
     every = Window.partitionBy()
-    full = F.raise_error(F.lit(f"more than {period // 2} sources; choose a longer period")).cast("double")
-    share = F.when(F.count("*").over(every) > period // 2, full).otherwise(F.col("w") / F.sum("w").over(every))
-    got = counts.withColumn("w", raw).withColumn("w", share)
-    got = got.withColumn("small", F.round(F.col("w") * period, 6) < 2)  # these get one block each
-    rest = F.lit(period) - F.count_if("small").over(every)
+    length = F.col("length")
+    got = counts.withColumn("w", raw).withColumn("length", F.greatest(F.lit(period).cast("long"), 2 * F.count("*").over(every)))
+    got = got.withColumn("w", F.col("w") / F.sum("w").over(every))
+    got = got.withColumn("small", F.round(F.col("w") * length, 6) < 2)  # these get one block each
+    rest = length - F.count_if("small").over(every)
     exact = F.col("w") / F.sum(F.when(~F.col("small"), F.col("w"))).over(every) * rest
     got = got.withColumn("exact", F.when(F.col("small"), 1.0).otherwise(F.round(exact, 6))).withColumn("low", F.floor("exact"))
-    left = F.lit(period) - F.sum("low").over(every)
+    left = length - F.sum("low").over(every)
     order = F.row_number().over(every.orderBy("small", F.col("low") - F.col("exact"), "key"))
     return got.select("key", "rows", (F.col("low") + (order <= left).cast("long")).cast("int").alias("n"))
 
 
 def period_schedule(unit: DataFrame, period: int) -> DataFrame:
-    """(key, n, i, t): the i-th block of a source within a period goes at slot t."""
-    table = unit.agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("s"))  # sources, at most ``period``
-    length = F.lit(period)
+    """(key, n, length, i, t): the i-th block of a source within a period goes at slot t.
+
+    The length is ``period`` or the sum of ``n``, whichever is more.
+    """
+    table = unit.agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("s"), F.greatest(F.lit(period).cast("long"), F.sum("n")).alias("length"))
+    length = F.col("length")
 
     def step(acc: Column, t: Column) -> Column:
         def rank(x: Column, i: Column) -> Column:
@@ -56,14 +65,18 @@ def period_schedule(unit: DataFrame, period: int) -> DataFrame:
             return F.when(open_, F.struct(F.ceil((done + 1) * length / n).alias("d"), i.alias("i")))
 
         best = F.array_min(F.transform(F.col("s"), rank)).i
-        return F.struct(F.transform(acc.done, lambda d, i: F.when(i == best, d + 1).otherwise(d)).alias("done"), F.concat(acc.out, F.array(best)).alias("out"))
+
+        def taken(b: Column) -> Column:
+            return F.struct(F.transform(acc.done, lambda d, i: F.when(i == b, d + 1).otherwise(d)).alias("done"), F.concat(acc.out, F.array(b)).alias("out"))
+
+        return F.get(F.transform(F.array(best), taken), F.lit(0))  # a lambda, so that ``best`` is computed once
 
     start = F.struct(F.transform("s", lambda x: F.lit(0)).alias("done"), F.array().cast("array<int>").alias("out"))
-    run = F.aggregate(F.sequence(F.lit(0), F.lit(period - 1)), start, step, lambda a: a.out)
-    slots = table.filter(F.size("s") > 0).select("s", F.posexplode(run).alias("t", "which"))
-    slots = slots.select(F.get("s", F.col("which")).alias("x"), "t")
+    run = F.aggregate(F.sequence(F.lit(0), (length - 1).cast("int")), start, step, lambda a: a.out)
+    slots = table.filter(F.size("s") > 0).select("s", "length", F.posexplode(run).alias("t", "which"))
+    slots = slots.select(F.get("s", F.col("which")).alias("x"), "length", "t")
     nth = F.row_number().over(Window.partitionBy("x.key").orderBy("t")) - 1
-    return slots.select(F.col("x.key").alias("key"), F.col("x.n").alias("n"), nth.alias("i"), "t")
+    return slots.select(F.col("x.key").alias("key"), F.col("x.n").alias("n"), "length", nth.alias("i"), "t")
 
 
 def schedule(docs: DataFrame, source: str = "source", id_col: str = "doc_id", weights: dict[str | None, float] | None = None,
@@ -88,10 +101,10 @@ def schedule(docs: DataFrame, source: str = "source", id_col: str = "doc_id", we
     nth = F.row_number().over(Window.partitionBy("key", "salt").orderBy("id")) - 1
     rows = rows.withColumn("nth", nth).join(bases, ["key", "salt"])
     rows = rows.withColumn("b", F.col("base") + F.floor(F.col("nth") / block))
-    first = slots.select("key", "n").distinct()
+    first = slots.select("key", "n", "length").distinct()
     rows = rows.join(F.broadcast(first), "key").withColumn("i", F.pmod(F.col("b"), F.col("n")).cast("int"))
-    rows = rows.join(F.broadcast(slots.drop("n")), ["key", "i"])
-    length = F.lit(period)
+    rows = rows.join(F.broadcast(slots.drop("n", "length")), ["key", "i"])
+    length = F.col("length")
     return rows.select(
         "row.*", F.col("b").cast("long").alias("block_no"), F.pmod("nth", F.lit(block)).cast("long").alias("block_seq"),
         F.floor(F.col("b") * length / F.col("n")).alias("release_slot"), F.ceil((F.col("b") + 1) * length / F.col("n")).alias("deadline_slot"),
