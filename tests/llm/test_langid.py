@@ -58,3 +58,18 @@ def test_empty_and_unlabelled(spark, no_docs):
     assert langid.identify(df).count() == 0 and langid.keep_known(df).count() == 0
     one = spark.createDataFrame([(1, "abc", None, "s")], "doc_id long, text string, lang string, source string")
     assert langid.identify(one).first().lang == "und"
+
+
+def test_every_labelled_language_has_a_class(spark):
+    import random
+
+    def texts(k, n):
+        rng = random.Random(k)
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(30)]
+        return [" ".join(rng.choice(words) for _ in range(40)) for _ in range(n)]
+
+    rows = [(f"l{k:02}", t) for k in range(70) for t in texts(k, 4 if k < 68 else 3)]
+    docs = spark.createDataFrame([(i, t, k, "s") for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    got = langid.identify(docs).collect()
+    assert len(got) == len(rows) and all(r.lang == r.declared and not r.rejected for r in got)
+    assert len(langid.train(docs, max_docs=5).langs) == 70

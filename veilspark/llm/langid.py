@@ -5,8 +5,9 @@ log P(lang | row) = text likelihood + log P(declared markup language | lang)
 
 Text likelihood: letter trigrams hashed to ``BUCKETS``, tempered to ``WEIGHT`` trigrams at most so
 that a long text does not drown the rest.  Trained on a sample of labelled rows of at most
-``2 * MAX_DOCS`` whole texts.  The other tables come from grouped sums of the text-only posterior
-over *all* rows: markup and suffix confusions (languages by languages, a fixed size) and host
+``2 * MAX_DOCS`` whole texts, and ``RARE`` of each language the sample has missed, so that every
+labelled language has a class, however many there are.  The other tables come from grouped sums of the text-only posterior
+over *all* rows: markup and suffix confusions (languages by languages) and host
 priors, smoothed along host, domain and everything.  Host tables are joined, never collected.
 
 Contract: a text without letters (null, empty, digits) is decided by the other evidence, and is
@@ -22,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from veilspark.llm.common import Scratch, fresh_worker
 
-BUCKETS, MAX_DOCS, WEIGHT, LEAST, KAPPA = 1 << 15, 4000, 60.0, 0.5, 8.0
+BUCKETS, MAX_DOCS, WEIGHT, LEAST, KAPPA, RARE = 1 << 15, 4000, 60.0, 0.5, 8.0, 32
 UND = "und"
 #: Languages that an address suffix points to.
 SUFFIXES = {"de": "de", "at": "de", "ch": "de", "fr": "fr", "es": "es", "mx": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
@@ -89,17 +90,24 @@ class TextModel:
         return out * (np.minimum(m, WEIGHT) / m)[:, None], n
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, max_langs: int = 64) -> TextModel:
-    """Fit on whole texts of a hash sample of about ``max_docs`` rows, twice as many at most."""
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, rare: int = RARE) -> TextModel:
+    """Fit on whole texts of a hash sample of about ``max_docs`` rows, twice as many at most, and ``rare`` of each language it misses."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = max(1, rows.count())
+    sizes = {k: m for k, m in rows.groupBy(lang).count().collect()}
+    n = max(1, sum(sizes.values()))
     pick = F.pmod(F.xxhash64(text), F.lit(n)) < max_docs
     some = rows.filter(pick).select(F.col(text).alias("text"), F.col(lang).alias("lang")).limit(2 * max_docs)
-    got = some.mapInArrow(_count, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n"))
-    t = got.toArrow()  # languages by buckets at most
+
+    def counted(sample: DataFrame) -> pa.Table:  # languages by buckets at most
+        return sample.mapInArrow(_count, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
+
+    t = counted(some)
+    if missed := sorted(set(sizes) - set(t["lang"].to_pylist())):
+        few = rows.filter(F.col(lang).isin(missed)).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+        nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text")))
+        t = pa.concat_tables([t, counted(few.withColumn("nth", nth).filter(F.col("nth") <= rare).select("text", "lang"))])
     names = np.array(t["lang"].to_pylist(), object)
-    weight = {k: int(np.asarray(t["n"])[names == k].sum()) for k in set(names)}
-    langs = sorted(sorted(weight, key=lambda k: (-weight[k], k))[:max_langs])
+    langs = sorted(set(names))
     counts = np.zeros((BUCKETS, len(langs)))
     for x, k in enumerate(langs):
         on = names == k
@@ -154,9 +162,12 @@ def fuse(scratch: Scratch, rows: DataFrame, model: TextModel, least: float = LEA
     prior = [(x + 1) / (sum(total) + k) for x in total]
 
     def confusion(c: str) -> Column:
-        got = {r[c]: [r[f"s{i}"] for i in range(k)] for r in post.filter(F.col(c).isNotNull()).groupBy(c).agg(*_sums(k)).collect()}
+        some = table.filter(F.col(c).isNotNull()).withColumn("post", F.when(F.col("n_grams") > 0, _softmax(F.col("ll"))))
+        got = {r[c]: [r[f"s{i}"] or 0.0 for i in range(k)] for r in some.groupBy(c).agg(*_sums(k)).collect()}
+        if not got:
+            return F.array(*[F.lit(0.0)] * k)
         of = [sum(v[i] for v in got.values()) for i in range(k)]
-        seen = {v: [math.log((got.get(v, [0.0] * k)[i] + (2.0 if v == i + 1 else 0.1)) / (of[i] + 2.0 + 0.1 * k)) for i in range(k)] for v in range(k + 1)}
+        seen = {v: [math.log((got[v][i] + (2.0 if v == i + 1 else 0.1)) / (of[i] + 2.0 + 0.1 * k)) for i in range(k)] for v in got}
         table_ = F.create_map(*[x for v, ws in seen.items() for x in (F.lit(v), F.array(*map(F.lit, ws)))])
         return F.coalesce(F.element_at(table_, F.col(c).cast("int")), F.array(*[F.lit(0.0)] * k))
 
