@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 
-from veilspark.llm import substring_dedup, suffix_dedup, windows
+from veilspark.llm import suffix_dedup, windows
 from llm_util import rows_of, same
 
 BIG = 2**63 - 1
@@ -43,7 +43,6 @@ def brute_words(rows, w=35):
 
 
 COLS7 = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-COLS2 = ("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @pytest.mark.parametrize("hot", [256, 1])
@@ -52,15 +51,8 @@ def test_bytes(docs, doc_rows, monkeypatch, hot):
     same(rows_of(suffix_dedup.digests(docs), *COLS7), brute_bytes(doc_rows))
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_words(docs, doc_rows, monkeypatch, hot):
-    monkeypatch.setattr(windows.Plan.__init__, "__defaults__", (10, hot))
-    same(rows_of(substring_dedup.digests(docs), *COLS2), brute_words(doc_rows))
-
-
 def test_empty(no_docs):
     assert suffix_dedup.digests(no_docs).count() == 0
-    assert substring_dedup.digests(no_docs).count() == 0
     assert suffix_dedup.remove(no_docs).columns == no_docs.columns
 
 
@@ -78,14 +70,6 @@ def test_clashing_column(docs):
     assert out.select("n_bytes", "batch_id").distinct().collect() == [(7, "x")]
 
 
-def test_spans_have_source_coordinates(docs, doc_rows):
-    text = {r[0]: re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in doc_rows if r[0] not in (None, 9)}
-    got = [r for r in substring_dedup.spans(docs).collect() if r.doc_id in text]
-    assert got
-    for r in got:
-        assert r.path_text == " ".join(text[r.doc_id][r.first_word : r.end_word])
-
-
 def test_long_document_is_cut(spark, monkeypatch):
     from veilspark.llm import kernels
     import numpy as np

@@ -114,7 +114,9 @@ class Scratch:
         """As ``table``, hashed into buckets by ``key``: later joins on it move only the other side."""
         full = f"{name}_{uuid.uuid4().hex[:12]}"
         df.write.bucketBy(buckets, key).option("path", self.path(name)).format("parquet").saveAsTable(full)
-        return self.spark.table(full)
+        out = self.spark.table(full)
+        self.spark.sql(f"DROP TABLE `{full}`")  # an external table: plans that know it go on reading its files
+        return out
 
     def clear(self) -> None:
         """Delete everything."""

@@ -1,17 +1,14 @@
-"""Substring dedup over word windows by compaction of a de Bruijn graph.
-
-Nodes are (k-1)-word strings and edges are k-word windows (k = 35).  As in BCALM (Chikhi et
-al., 2016) edges are partitioned by their smallest q-word string, so that a super-k-mer, a
-row of consecutive edges in one partition, is a nonbranching piece of a path by construction
-and is compacted before anything is shuffled.  Partitions count edges, Spark joins bring the
-counts back to each document by batch, and neighbouring repeated pieces are glued to maximal
-paths whose source coordinates (document, first word, end word) are the result; 128-bit edge
-identifiers verify every window that whole pieces do not settle.
-
-Contract: words are ``[^\\x20\\x09-\\x0D]+``; a word goes if a k-word window that covers it also
-starts anywhere else, the same document included, judged on the input.  Null texts have no
-words, shorter texts than k words keep all, an empty table gives an empty result, and repeated
-rows count as other documents.
+"""Substring dedup over word windows by compaction of a de Bruijn graph (see :mod:`debruijn`).
+
+Windows of ``window`` words are edges, and equal ones are one edge.  Repeated edges are compacted to
+nonbranching paths by Spark joins; a path's pieces carry source coordinates, and only pieces with
+two different ones count.  Documents lose the words that such pieces cover.
+
+Contract: words are ``[^\\x20\\x09-\\x0D]+``; a word goes if a window that covers it also starts
+anywhere else, the same document included, judged on the input.  Windows are equal if their words
+are, to 128 bits of each word's bytes and of each piece.  Null texts have no words, texts of fewer
+words than a window keep all, an empty table gives an empty result, repeated rows (and rows of one
+id or of none) count as other documents.  Ids may have any type.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -22,60 +19,89 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from veilspark.llm import windows as W
+from veilspark.llm import debruijn as G
 from veilspark.llm.common import Scratch
 
-WINDOW, Q = 35, 12
-
-
-def _paths(b: W.Batch, lo: np.ndarray, hi: np.ndarray):
-    """For each document: first and end word index (in the batch), and its repeated paths."""
-    first = np.searchsorted(hi, b.bounds[:-1], side="right")
-    last = np.searchsorted(lo, b.bounds[1:], side="left")
-    for i in range(len(b.lens)):
-        s, e = int(b.bounds[i]), int(b.bounds[i + 1])
-        f, l = (first[i], last[i]) if e > s else (0, 0)
-        yield s, e, np.maximum(lo[f:l], s), np.minimum(hi[f:l], e)
-
-
-def _joined(b: W.Batch, pieces) -> bytes:
-    """Words of the given ranges, joined by one space."""
-    raw = memoryview(b.buf)
-    parts = [b" ".join(bytes(raw[b.ws[s] : b.we[e - 1]]).split()) for s, e in pieces if e > s]
-    return b" ".join(parts)
-
-
-def _kept_ranges(s: int, e: int, lo: np.ndarray, hi: np.ndarray):
-    return zip([s, *hi.tolist()], [*lo.tolist(), e])
-
-
-def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, q: int = Q) -> DataFrame:
-    """One row per document: words, words removed, SHA-256 of the kept ones joined by a space."""
-    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_paths", T.LongType()), T.StructField("kept_sha256", T.StringType())])
-
-    def finish(b: W.Batch, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
-        gone, paths, sha = [], [], []
-        for s, e, l, h in _paths(b, lo, hi):
-            gone.append(int((h - l).sum()))
-            paths.append(len(l))
-            sha.append(hashlib.sha256(_joined(b, _kept_ranges(s, e, l, h))).hexdigest())
-        return pa.table({id_col: b.side.column(id_col).cast(pa.int64()), "n_words": pa.array(np.diff(b.bounds), pa.int64()), "n_removed": pa.array(gone, pa.int64()), "n_paths": pa.array(paths, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
-
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text))
-    return W.find(Scratch(docs.sparkSession, "debruijn"), rows, W.Plan(window, q, True, False), text, id_col, finish, schema)
-
-
-def spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, q: int = Q) -> DataFrame:
-    """Every repeated path with its source coordinates: id, first word, end word, text."""
-    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()), T.StructField("path_text", T.StringType())])
-
-    def finish(b: W.Batch, lo: np.ndarray, hi: np.ndarray) -> pa.Table:
-        out: list[tuple] = []
-        ids = b.side.column(id_col).to_pylist()
-        for i, (s, _, l, h) in enumerate(_paths(b, lo, hi)):
-            out += [(ids[i], x - s, y - s, _joined(b, [(x, y)]).decode("utf-8", "replace")) for x, y in zip(l.tolist(), h.tolist())]
-        cols = list(zip(*out)) or [[], [], [], []]
-        return pa.table({id_col: pa.array(cols[0], pa.int64()), "first_word": pa.array(cols[1], pa.int64()), "end_word": pa.array(cols[2], pa.int64()), "path_text": pa.array(cols[3], pa.string())})
-
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text))
-    return W.find(Scratch(docs.sparkSession, "debruijn"), rows, W.Plan(window, q, True, False), text, id_col, finish, schema)
+WINDOW = 35
+
+
+def _graph(docs: DataFrame, text: str, id_col: str, window: int) -> G.Graph:
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    return G.build(Scratch(docs.sparkSession, "debruijn"), rows, "text", "id", window)
+
+
+def _by_doc(b: G.Batch, on: np.ndarray) -> np.ndarray:
+    """Number of words with ``on`` of each document."""
+    return np.diff(np.r_[0, np.cumsum(on)][b.bounds])
+
+
+def _kept(b: G.Batch, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    step = np.zeros(len(b.codes) + 1, np.int64)
+    step[lo] += 1
+    step[hi] -= 1
+    return np.cumsum(step[:-1]) == 0
+
+
+def _n_paths(b: G.Batch, spots: pa.Table) -> np.ndarray:
+    """Distinct paths that each document has a piece of."""
+    out = np.zeros(len(b.n_words), np.int64)
+    if spots.num_rows:
+        starts = spots["starts"].combine_chunks()
+        path = spots["path"].combine_chunks().dictionary_encode()
+        path = np.repeat(np.asarray(path.indices).astype(np.int64), np.asarray(starts.value_lengths()))
+        doc = b.doc[np.asarray(starts.flatten())].astype(np.int64)
+        both = np.sort(doc << 32 | path)
+        np.add.at(out, both[np.r_[True, both[1:] != both[:-1]]] >> 32, 1)
+    return out
+
+
+def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """One row per document: words, words removed, paths met, SHA-256 of the kept words joined by a space."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, kind), *(T.StructField(c, T.LongType()) for c in ("n_words", "n_removed", "n_paths")), T.StructField("kept_sha256", T.StringType())])
+
+    def make(b: G.Batch, lo: np.ndarray, hi: np.ndarray, spots: pa.Table) -> pa.Table:
+        keep = _kept(b, lo, hi)
+        n = _by_doc(b, keep)
+        sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.joined(np.flatnonzero(keep), n)]
+        return pa.table({id_col: b.side.column("id"), "n_words": b.n_words, "n_removed": b.n_words - n, "n_paths": _n_paths(b, spots), "kept_sha256": pa.array(sha, pa.string())})
+
+    return G.finish(_graph(docs, text, id_col, window), make, schema)
+
+
+def spans(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """Every walk of a document along a path: id, first word, end word, path, place on it (in words), text."""
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField(id_col, kind), T.StructField("first_word", T.LongType()), T.StructField("end_word", T.LongType()),
+                           T.StructField("path", T.StringType()), T.StructField("path_word", T.LongType()), T.StructField("path_text", T.StringType())])
+
+    def make(b: G.Batch, lo: np.ndarray, hi: np.ndarray, spots: pa.Table) -> pa.Table:
+        walks: dict[tuple, list] = {}
+        for n, starts, path, off in zip(*(spots[c].to_pylist() for c in ("n", "starts", "path", "off"))):
+            for s in starts:
+                walks.setdefault((int(b.doc[s]), path, s - off), []).append((s, s + n, off))
+        ids, rows = b.side.column("id").to_pylist(), []
+        for (doc, path, _), got in walks.items():
+            got.sort()
+            at = int(b.bounds[doc])
+            while got:
+                s, e, off = got.pop(0)
+                while got and got[0][0] == e:
+                    e = got.pop(0)[1]
+                e += b.k - 1
+                words = b" ".join(x.as_py() for x in b.words.take(pa.array(b.codes[s:e])))
+                rows.append((ids[doc], s - at, e - at, path.hex(), off, words.decode("utf-8", "replace")))
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        fields = to_arrow_schema(schema)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(fields), fields)], schema=fields)
+
+    return G.finish(_graph(docs, text, id_col, window), make, schema)
+
+
+def paths(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
+    """The compacted graph: one row per path with its length, pieces, and where its first piece is met first."""
+    pieces = _graph(docs, text, id_col, window).pieces
+    whole = pieces.groupBy("path").agg((F.sum("n") + window - 1).alias("n_words"), F.count("*").alias("n_pieces"),
+                                       F.min_by("source", "off").alias("s"), F.min_by("copies", "off").alias("copies"))
+    return whole.select(F.lower(F.hex("path")).alias("path"), "n_words", "n_pieces", "copies", F.col("s.id").alias("source_id"), F.col("s.word").alias("source_word"))
