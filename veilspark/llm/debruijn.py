@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for, trim
 from veilspark.llm.kernels import firsts, union_of
 
-BATCH_BYTES, RANGE_BYTES = 6 << 20, 8 << 20
+BATCH_BYTES, RANGE_BYTES = 6 << 20, 2 << 20
 U = np.uint64
 NONE, SEVERAL = U(0), U(2)  # identifiers of words are odd
 _HEAD = "<4q"
@@ -320,7 +320,7 @@ def _trace_nodes(b: Batch, rep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def send_nodes(plan: Plan):
-    """Messages with the nodes of a batch's traces; with range -1, its traces."""
+    """Messages with the nodes of a batch's traces."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -329,7 +329,9 @@ def send_nodes(plan: Plan):
         b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan)
         b.walk()
         rep = _traces(b, right)
-        _, key, before, after = _trace_nodes(b, rep) if len(rep) else (np.zeros(0, np.uint64),) * 4
+        if not rep.any():
+            return _rows(_MESSAGE, [])
+        _, key, before, after = _trace_nodes(b, rep)
         order, cut = _groups(key)
         keys = key[order][cut]
         rows = np.zeros(len(cut), _NODE)
@@ -337,7 +339,6 @@ def send_nodes(plan: Plan):
         for side, x in (("before", before[order]), ("after", after[order])):
             rows[side] = np.where(_several(x, cut), SEVERAL, x[cut])
         out = [(r, i, rows[s:e].tobytes()) for r, s, e in b.ranges(keys)]
-        out.append((-1, i, zstandard.ZstdCompressor(level=1).compress(np.packbits(rep).tobytes())))
         del b
         trim()
         return _rows(_MESSAGE, out)
@@ -353,7 +354,7 @@ _PIECE_DDL = "batch_id long, piece binary, a binary, b binary, n long, starts ar
 
 
 def cut_pieces(plan: Plan, id_col: str):
-    """A batch's distinct pieces; ``starts`` are all first words of it in the batch."""
+    """A batch's distinct pieces, from the answers on edges (kind 0) and nodes (1); ``starts`` are all first words of it in the batch."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -361,14 +362,14 @@ def cut_pieces(plan: Plan, id_col: str):
         bid = left["batch_id"][0].as_py()
         b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan)
         b.walk()
-        state = next(x.as_py() for r, x in zip(right["rng"].to_pylist(), right["blob"]) if r < 0)
-        rep = np.unpackbits(np.frombuffer(zstandard.ZstdDecompressor().decompress(state), np.uint8), count=len(b.edge)).astype(bool)
+        kind = right["kind"].combine_chunks()
+        rep = _traces(b, right.filter(pc.equal(kind, 0)))
         if not rep.any():
             return _rows(_PIECE, [])
         at, key, _, _ = _trace_nodes(b, rep)
         order, cut = _groups(key)
         stop = np.zeros(len(b.node) + 1, bool)
-        stop[at[order]] = np.repeat(_bits(b, key[order][cut], right), np.diff(np.r_[cut, len(key)]))
+        stop[at[order]] = np.repeat(_bits(b, key[order][cut], right.filter(pc.equal(kind, 1))), np.diff(np.r_[cut, len(key)]))
         on = np.flatnonzero(rep)
         begins = stop[on] | np.r_[True, on[1:] != on[:-1] + 1]
         s = on[begins]
@@ -454,10 +455,10 @@ def build(scratch: Scratch, docs: DataFrame, text: str, id_col: str, k: int) ->
     if k < 2:
         raise ValueError("a window has two words at least")
     size = input_bytes(docs)
-    ranges = parts_for(size, RANGE_BYTES, 1, 1 << 31)
+    ranges = parts_for(size, RANGE_BYTES, 16, 1 << 31)
     plan = Plan(k, (ranges - 1).bit_length())
-    parts = parts_for(2 * size, 16 << 20, 16, 100_000)  # a task reads ranges one by one
-    batches = scratch.bucketed(docs.mapInArrow(make_batches(text), "batch_id long, side binary, body binary"), "batches", "batch_id", parts_for(size, 4 << 20, 24, 50_000))
+    parts = parts_for(2 * size, 8 << 20, 8, 100_000)  # a task reads ranges one by one
+    batches = scratch.bucketed(docs.mapInArrow(make_batches(text), "batch_id long, side binary, body binary"), "batches", "batch_id", parts_for(size, 2 << 20, 8, 50_000))
 
     def meet(rows: DataFrame) -> DataFrame:
         return rows.repartition(parts, "rng").sortWithinPartitions("rng")
@@ -467,12 +468,11 @@ def build(scratch: Scratch, docs: DataFrame, text: str, id_col: str, k: int) ->
 
     edges = scratch.table(meet(batches.mapInArrow(send_edges(plan), _MESSAGE_DDL)).mapInArrow(judge_edges, _MESSAGE_DDL), "edges")
     scratch.free_shuffles()
-    nodes = scratch.table(by_batch(edges).applyInArrow(send_nodes(plan), _MESSAGE_DDL), "nodes")
-    stops = scratch.table(meet(nodes.filter("rng >= 0")).mapInArrow(judge_nodes, _MESSAGE_DDL).union(nodes.filter("rng < 0")), "stops")
-    scratch.drop("edges", "nodes")
+    stops = scratch.table(meet(by_batch(edges).applyInArrow(send_nodes(plan), _MESSAGE_DDL)).mapInArrow(judge_nodes, _MESSAGE_DDL), "stops")
     scratch.free_shuffles()
-    found = scratch.table(by_batch(stops).applyInArrow(cut_pieces(plan, id_col), _PIECE_DDL), "found")
-    scratch.drop("stops")
+    answers = edges.withColumn("kind", F.lit(0)).union(stops.withColumn("kind", F.lit(1)))
+    found = scratch.table(by_batch(answers).applyInArrow(cut_pieces(plan, id_col), _PIECE_DDL), "found")
+    scratch.drop("edges", "stops")
     first = F.struct("batch_id", F.element_at("starts", 1).alias("start"), "id", "word")
     some = found.groupBy("piece").agg(F.first("a").alias("a"), F.first("b").alias("b"), F.first("n").alias("n"), F.sum(F.size("starts")).alias("copies"), F.min(first).alias("source"),
                                       F.max(F.struct("batch_id", F.element_at("starts", -1).alias("start"))).alias("last"))
