@@ -100,6 +100,7 @@ class Scratch:
         Scratch.made.append(self)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.names: list[str] = []
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -107,6 +108,7 @@ class Scratch:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again: lineage ends here, and nothing is computed twice."""
         schema = df.schema
+        self.names.append(name)
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(schema).parquet(self.path(name))
 

@@ -12,7 +12,8 @@ ends at 128 fingerprints at the latest, so there is no limit on the size of a gr
 Contract: A-Z is lower-cased, words are ``[^\\x20\\x09-\\x0D]+``, shingles of ``n`` words (a
 shorter text is one shingle) are hashed with XXH64, seed 42; a bit is 1 if it is set in over half
 the hashes.  Null, empty and blank texts have fingerprint zero.  A row with a null id is linked
-like others but names no component.  An empty table gives an empty result.
+like others but names no component.  An empty table gives an empty result.  Ids are integers in
+``classes``, which gives its own columns only; ``keep_one`` keeps those of its input, whatever their names.
 """
 
 from __future__ import annotations
@@ -171,8 +172,9 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius:
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """The table with one document of each group: the smallest id (of equal ids, the first row)."""
     scratch = Scratch(docs.sparkSession, "simhash")
-    schema = T.StructType([*docs.schema, T.StructField("_fp", T.LongType()), T.StructField("_row", T.LongType())])
-    whole = scratch.table(docs.mapInArrow(_with_fingerprints(text, True, shingle), schema), "whole")
-    labels = _labelled(scratch, whole.select(id_col, "_fp", "_row"), id_col, radius)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    schema = T.StructType([rows.schema["row"], rows.schema["id"], T.StructField("_fp", T.LongType()), T.StructField("_row", T.LongType())])
+    whole = scratch.table(rows.mapInArrow(_with_fingerprints("text", False, shingle), schema), "whole")
+    labels = _labelled(scratch, whole.select("id", "_fp", "_row"), "id", radius)
     keep = labels.select(F.col("top_row").alias("_row")).distinct()
-    return whole.join(keep, "_row", "left_semi").select(*docs.columns)
+    return whole.join(keep, "_row", "left_semi").select("row.*")

@@ -5,13 +5,16 @@ Two texts are linked if the Jaccard similarity of their sets of ``n``-word shing
 1. Each text gets the identifier of its shingle set, the set's SimHash and ``BANDS`` MinHash bands of ``ROWS`` values.
 2. Candidates: SimHashes within a radius (covering LSH, as op1) and sets that share a band.  Only their connected
    components are kept, a star for each band, so that a bucket of any size costs its own length.
-3. The texts of a component meet in one task (those of a large one in pairs of blocks) and every candidate pair that
-   could add a link is compared in full.  Links make the components that count.
+3. The texts of a component meet in one task and every candidate pair that could add a link is compared in full.
+   Links make the components that count.  In a large component all texts are first compared with one, in many
+   tasks; only those that are not linked to it meet the others in blocks.
 
-A pair of similarity 0.8 shares no band with probability (1 - 0.8**6)**48 = 5e-7, one of 0.85 with 4e-11; all else is
-exact up to 64-bit identifiers of shingles and sets.  Words and shingles are those of simhash.py; texts without words are
-equal.  A row with a null id is linked like others and kept only where its group has no other; an empty table gives an
-empty result.
+A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**28 = 1.5e-5, one of 0.85 with 2e-7; all else is
+exact up to 64-bit identifiers of shingles and sets.
+
+Contract: words and shingles are those of simhash.py; null texts and texts without words are equal.  Ids may have any type
+that sorts.  A row with a null id is linked like others and kept only where its group has no other; of rows with one id
+and one text one stays; an empty table gives an empty result.  All columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for
@@ -29,7 +31,7 @@ from veilspark.llm.graph import components
 from veilspark.llm.kernels import mix
 from veilspark.llm.simhash import links
 
-LEAST, SHINGLE, RADIUS, BANDS, ROWS = 0.8, 5, 6, 48, 6
+LEAST, SHINGLE, RADIUS, BANDS, ROWS = 0.8, 5, 4, 28, 5
 #: Sets and shingles of a component that meet in one task; above that, blocks of this size meet in pairs.
 MANY, SHINGLES = 1024, 1 << 20
 U = np.uint64
@@ -77,14 +79,14 @@ def _texts(rb: pa.RecordBatch, text: str) -> Iterator[bytes]:
         yield x.as_buffer().to_pybytes() if x.is_valid else b""
 
 
-def _described(text: str, n: int):
+def _described(n: int):
+    """Adds the set's identifier, SimHash, size and bands to (id, h, text), without the text."""
+
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        ctx = TaskContext.get()
-        at = (ctx.partitionId() if ctx else 0) << 33
         for rb in it:
             sets, fps, size, low = [], [], [], []
-            for t in _texts(rb, text):
+            for t in _texts(rb, "text"):
                 s = shingles(t, n)
                 sets.append(xxhash.xxh64_intdigest(s.tobytes(), 1))
                 fps.append(fingerprint(s))
@@ -92,11 +94,10 @@ def _described(text: str, n: int):
                 low.append(bands(s))
             lists = np.concatenate(low).view(np.int64) if low else np.zeros(0, np.int64)
             new = [
-                pa.array(np.arange(at, at + rb.num_rows)), pa.array(np.array(sets, U).view(np.int64)), pa.array(np.array(fps, U).view(np.int64)),
-                pa.array(size, pa.int64()), pa.ListArray.from_arrays(pa.array(np.arange(rb.num_rows + 1) * BANDS, pa.int32()), pa.array(lists)),
+                pa.array(np.array(sets, U).view(np.int64)), pa.array(np.array(fps, U).view(np.int64)), pa.array(size, pa.int64()),
+                pa.ListArray.from_arrays(pa.array(np.arange(rb.num_rows + 1) * BANDS, pa.int32()), pa.array(lists)),
             ]
-            at += rb.num_rows
-            yield pa.RecordBatch.from_arrays([*rb.columns, *new], names=[*rb.schema.names, "_row", "_set", "_fp", "_n", "_bands"])
+            yield pa.RecordBatch.from_arrays([rb["id"], rb["h"], *new], names=["id", "h", "node", "fp", "n", "bands"])
 
     return work
 
@@ -123,61 +124,125 @@ def similar(nodes: list[int], sets: list[np.ndarray], least: float, radius: int)
     return out
 
 
-def _verified(text: str, n: int, least: float, radius: int):
-    """Links of each run of rows with one ``key``; rows are sorted by it."""
+def near_one(nodes: list[int], sets: list[np.ndarray], lead: np.ndarray, leader: int, least: float) -> list[tuple[int, int]]:
+    """Links of similarity ``least`` or more with the set ``lead`` of node ``leader``."""
+    out = []
+    for node, s in zip(nodes, sets):
+        if node != leader and min(len(s), len(lead)) >= (least - 1e-9) * max(len(s), len(lead)):
+            both = int((lead[np.minimum(np.searchsorted(lead, s), len(lead) - 1)] == s).sum()) if len(s) and len(lead) else 0
+            if both / max(1, len(s) + len(lead) - both) >= least:
+                out.append((leader, node))
+    return out
+
+
+def _verified(n: int, least: float, radius: int):
+    """Links of each run of rows with one ``key``; rows are sorted by it, a leader before its followers."""
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
-        now, nodes, sets = None, [], []
+        now, leader = None, None
+        held: dict[int, np.ndarray] = {}
 
         def done() -> Iterator[pa.RecordBatch]:
-            if len(nodes) > 1 and (got := similar(nodes, sets, least, radius)):
-                a, b = zip(*got)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            if len(held) > 1 and (got := similar(list(held), list(held.values()), least, radius)):
+                yield links_of(got)
+
+        def links_of(got: list[tuple[int, int]]) -> pa.RecordBatch:
+            a, b = zip(*got)
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
         for rb in it:
-            for key, node, t in zip(rb["key"].to_pylist(), rb["node"].to_pylist(), _texts(rb, text)):
+            for key, lead, node, t in zip(*(rb[c].to_pylist() for c in ("key", "lead", "node")), _texts(rb, "text")):
                 if key != now:
                     yield from done()
-                    now, nodes, sets = key, [], []
-                nodes.append(node)
-                sets.append(shingles(t, n))
+                    now, leader, held = key, None, {}
+                s = shingles(t, n)
+                if lead == 0:
+                    leader = (node, s)
+                elif leader is not None:  # compared at once, never gathered
+                    if got := near_one([node], [s], leader[1], leader[0], least):
+                        yield links_of(got)
+                else:
+                    held[node] = s
         yield from done()
 
     return work
 
 
+class _Rows:
+    """A table's rows by (id, hash of the text)."""
+
+    def __init__(self, docs: DataFrame, text: str, id_col: str):
+        t = F.col(text).cast("string")
+        key = F.col(id_col).alias("id"), F.xxhash64(F.coalesce(t, F.lit("")), t.isNull()).alias("h")
+        self.rows = docs.select(*key, F.coalesce(t, F.lit("")).alias("text"))
+        self.whole = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+    @staticmethod
+    def pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows whose (id, h) is in ``keys`` (id, h, copies, ...), one for each, with the other columns of ``keys``."""
+        keys = keys.withColumnsRenamed({"id": "_id", "h": "_h"})
+        on = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))
+        once = rows.join(keys.filter("copies = 1"), on).drop("_id", "_h", "copies")
+        if keys.filter("copies > 1").isEmpty():
+            return once
+        many = keys.filter("copies > 1")
+        one = rows.join(many.select("_id", "_h").distinct(), on, "left_semi").groupBy("id", "h").agg(*(F.first(c).alias(c) for c in rows.columns if c not in ("id", "h")))
+        return once.unionByName(one.join(many, on).drop("_id", "_h", "copies"))
+
+
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE,
              least: float = LEAST, many: int = MANY, most: int = SHINGLES) -> DataFrame:
-    """The table with one document of each group: the smallest id (of equal ids, the first row)."""
+    """The table with one document of each group: the smallest id (of equal ids, the text with the smallest hash)."""
     scratch = Scratch(docs.sparkSession, "similar")
-    long = T.LongType()
-    schema = T.StructType([*docs.schema, *(T.StructField(c, long) for c in ("_row", "_set", "_fp", "_n")), T.StructField("_bands", T.ArrayType(long))])
-    whole = scratch.table(docs.mapInArrow(_described(text, shingle), schema), "whole")
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))).alias("first")
-    nodes = whole.groupBy(F.col("_set").alias("node")).agg(first, F.min("_row").alias("row"), F.min("_fp").alias("fp"), F.min("_n").alias("n"), F.first("_bands").alias("bands"))
-    nodes = scratch.table(nodes, "nodes")
-
-    keys = nodes.select("fp", F.explode("bands").alias("key"))
+    at = _Rows(docs, text, id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    prints = scratch.table(at.rows.mapInArrow(_described(shingle), f"id {kind}, h long, node long, fp long, n long, bands array<long>"), "prints")
+    rows = prints.groupBy("id", "h").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("node", "fp", "n")))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "copies")).alias("first")
+    nodes = scratch.table(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+
+    keys = prints.dropDuplicates(["node"]).select("fp", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m <> x").select("key", "m")
-    near = keys.join(shared, "key").filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct()
+    near = scratch.table(keys.join(shared, "key").filter("fp <> m").select(F.col("fp").alias("a"), F.col("m").alias("b")).distinct(), "stars")
+    scratch.drop("prints")
+    scratch.free_shuffles()
     near = near.union(links(scratch, nodes.select("fp").distinct(), radius))
     cc = components(scratch, near, "near")
-    placed = nodes.join(cc, nodes.fp == cc.node, "left").select(nodes.node.alias("node"), "row", "n", F.coalesce("component", "fp").alias("root"))
-    placed = scratch.table(placed, "placed")
-    groups = placed.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s")).filter("m > 1")
-    groups = groups.select("root", F.greatest(F.ceil(F.col("m") / many), F.ceil(F.col("s") / most), F.lit(1)).cast("int").alias("g"))
-    at = placed.join(groups, "root").withColumn("at", F.pmod(F.xxhash64("node"), "g").cast("int"))
-    at = at.select("node", "row", "root", "g", "at", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j")).filter("g = 1 or j <> at")
-    at = scratch.table(at.select("node", "row", F.xxhash64("root", F.least("at", "j"), F.greatest("at", "j")).alias("key")), "at")
-    texts = whole.select("_row", F.col(text).cast("string").alias(text)).join(at, F.col("_row") == at.row).select("key", "node", text)
-    parts = parts_for(4 * input_bytes(docs), 32 << 20, 16, 1 << 16)
-    texts = texts.repartition(parts, "key").sortWithinPartitions("key")
-    found = scratch.table(texts.mapInArrow(_verified(text, shingle, least, radius), "a long, b long"), "found")
-    scratch.drop("at", "placed")
-    scratch.free_shuffles()
+    placed = nodes.join(cc, nodes.fp == cc.node, "left").select(nodes.node.alias("node"), "first.id", "first.h", "first.copies", "n", F.coalesce("component", "fp").alias("root"))
+    groups = placed.groupBy("root").agg(F.count("*").alias("m"), F.sum("n").alias("s"), F.min("node").alias("leader")).filter("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / many), F.ceil(F.col("s") / most), F.lit(1)).cast("int")
+    placed = scratch.table(placed.join(groups.select("root", "leader", blocks.alias("g")), "root"), "placed")
+    parts = parts_for(4 * input_bytes(docs), 32 << 20, 16, 100_000)
+
+    def verified(spots: DataFrame, name: str) -> DataFrame:
+        """Links among the texts of each key of (node, id, h, copies, key, lead)."""
+        texts = at.pick(at.rows, scratch.table(spots, f"{name}-spots")).select("key", "lead", "node", "text")
+        out = scratch.table(texts.repartition(parts, "key").sortWithinPartitions("key", "lead").mapInArrow(_verified(shingle, least, radius), "a long, b long"), f"{name}-links")
+        scratch.drop(f"{name}-spots")
+        scratch.free_shuffles()
+        return out
+
+    column = ("node", "id", "h", "copies")
+    found = verified(placed.filter("g = 1").select(*column, F.xxhash64("root").alias("key"), F.lit(1).alias("lead")), "small")
+    large = placed.filter("g > 1")
+    if not large.isEmpty():
+        salt = F.pmod(F.xxhash64("node"), "g").cast("int")
+        lead = large.filter("node = leader").select(*column, "root", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("at"), F.lit(0).alias("lead"))
+        follow = large.filter("node <> leader").select(*column, "root", salt.alias("at"), F.lit(1).alias("lead"))
+        star = verified(lead.union(follow).select(*column, F.xxhash64("root", "at").alias("key"), "lead"), "star")
+        found = found.union(star)
+        rest = large.filter("node <> leader").join(star.select(F.col("b").alias("node")), "node", "left_anti")
+        rests = rest.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / many), F.ceil(F.sum("n") / most)).cast("int").alias("gr"))
+        if not rest.isEmpty():
+            dealt = large.join(rests, "root").withColumn("at", salt).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("gr") - 1)))
+            others = rest.join(rests, "root").withColumn("x", F.pmod(F.xxhash64("node"), "gr").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+            spots = dealt.select(*column, "root", "at", "x").unionByName(others.select(*column, "root", "at", "x"))
+            found = found.union(verified(spots.select(*column, F.xxhash64("root", "at", "x").alias("key"), F.lit(1).alias("lead")), "rest"))
+    scratch.drop("placed")
 
     cc = components(scratch, found, "same")
     rooted = nodes.join(cc, nodes.node == cc.node, "left").select("first", F.coalesce("component", nodes.node).alias("root"))
-    keep = rooted.groupBy("root").agg(F.min("first").alias("top")).select(F.col("top.row").alias("_row"))
-    return whole.join(keep, "_row", "left_semi").select(*docs.columns)
+    keep = scratch.table(rooted.groupBy("root").agg(F.min("first").alias("top")).select("top.id", "top.h", "top.copies"), "keep")
+    scratch.drop(*[n for n in scratch.names if n != "keep"])
+    return at.pick(at.whole, keep).select("row.*")
