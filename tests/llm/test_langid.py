@@ -73,3 +73,28 @@ def test_every_labelled_language_has_a_class(spark):
     got = langid.identify(docs).collect()
     assert len(got) == len(rows) and all(r.lang == r.declared and not r.rejected for r in got)
     assert len(langid.train(docs, max_docs=5).langs) == 70
+
+
+def test_visible_text_and_pages_that_never_close():
+    import re
+    import time
+
+    from veilspark.llm.langid import visible
+
+    plain = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]+;")
+    cases = ["", "a<b", "<p>x</p>", "<script>a<b</SCRIPT >y", "<style>z", "<!-- a > b -->c<!-- d", "&amp;e&nope f", "<scripts>g</scripts>", "<a <b>h</b", "<!--x--", "x<", "<style></script></style>k", "<STYLE a>l</style\n>m"]
+    for c in cases + ["".join(cases)]:
+        assert visible(c) == plain.sub(" ", c)
+    for piece in ("<style ", "<!--", "<", "<script>", "</script", "&a", "<html lang", "<a b='"):
+        began = time.time()
+        visible(piece * (10**6 // len(piece)))
+        assert time.time() - began < 5
+
+
+def test_unclosed_html_tags_end_soon(spark):
+    from pyspark.sql import functions as F
+    from veilspark.llm import langid
+
+    pages = spark.createDataFrame([("http://a.de/x", "<html " * 150_000 + '<html lang="de">'), ("x", None)], "url string, html string")
+    got = langid.page_rows(pages, "url", "html", [F.lit(1).alias("k")]).select("_markup", "_suffix", "_host").collect()
+    assert sorted(map(tuple, got), key=str) == [("de", "de", "a.de"), (None, None, "")]

@@ -4,21 +4,25 @@ log P(lang | row) = text likelihood + log P(declared markup language | lang)
                   + log P(address suffix | lang) + log P(lang | host) + constant.
 
 Text likelihood: letter trigrams hashed to ``BUCKETS``, tempered to ``WEIGHT`` trigrams at most so
-that a long text does not drown the rest.  Trained on a sample of labelled rows of at most
-``2 * MAX_DOCS`` whole texts, and ``RARE`` of each language the sample has missed, so that every
-labelled language has a class, however many there are.  The other tables come from grouped sums of the text-only posterior
+that a long text does not drown the rest.  Trained on a sample of different labelled texts,
+``MAX_DOCS`` expected and twice as many at most, and ``RARE`` of each language the sample has missed, so
+that every labelled language has a class, however many there are.  The other tables come from grouped sums of the text-only posterior
 over *all* rows: markup and suffix confusions (languages by languages) and host
 priors, smoothed along host, domain and everything.  Host tables are joined, never collected.
 
 Contract: a text without letters (null, empty, digits) is decided by the other evidence, and is
 ``und`` and rejected if it has neither markup nor suffix evidence; a row is rejected, too, if no
 language reaches ``least``.  Rows with null ids or hosts are judged like others (a null host is
-one host); an empty table gives an empty result; without labelled rows everything is ``und``.
+one host); rows of one id and one text are judged alike; an empty table gives an empty result;
+without labelled rows everything is ``und``.  ``identify`` gives its own columns only, ``keep_known``
+those of its input, whatever their names.  Markup is taken off in one pass, in time linear in the
+page, closed or not.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -90,13 +94,54 @@ class TextModel:
         return out * (np.minimum(m, WEIGHT) / m)[:, None], n
 
 
+def visible(html: str) -> str:
+    """A page's text: scripts, styles, comments, tags and entities become spaces.
+
+    What is opened and never closed is looked for once, so no page takes more than linear time.
+    """
+    out, at, none = [], 0, set()
+
+    def end(kind: str, pattern: re.Pattern, start: int) -> int:
+        if kind in none:
+            return -1
+        m = pattern.search(html, start)
+        if m is None:
+            none.add(kind)
+        return m.end() if m else -1
+
+    spot = _MARK.search(html)
+    while spot:
+        s, e = spot.start(), spot.end()
+        if html[s] == "<":
+            name = (spot[1] or "").lower()
+            e = end(name, _CLOSE[name], s) if name else -1
+            if e < 0 and html.startswith("!--", s + 1):
+                e = end("!--", _CLOSE["!--"], s + 4)
+            if e < 0:
+                e = end(">", _CLOSE[">"], s)
+        if e < 0:
+            e = s + 1  # stays as text
+        else:
+            out += [html[at:s], " "]
+            at = e
+        spot = _MARK.search(html, e)
+    return "".join([*out, html[at:]])
+
+
+_MARK = re.compile(r"<(?:(script|style)\b)?|&[a-z0-9#]+;", re.I)
+_CLOSE = {k: re.compile(p, re.I) for k, p in (("script", r"</script\s*>"), ("style", r"</style\s*>"), ("!--", "-->"), (">", ">"))}
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = MAX_DOCS, rare: int = RARE) -> TextModel:
-    """Fit on whole texts of a hash sample of about ``max_docs`` rows, twice as many at most, and ``rare`` of each language it misses."""
+    """Fit on whole texts of a hash sample: ``max_docs`` expected, twice as many at most, and ``rare`` of each language it misses."""
     rows = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = {k: m for k, m in rows.groupBy(lang).count().collect()}
     n = max(1, sum(sizes.values()))
-    pick = F.pmod(F.xxhash64(text), F.lit(n)) < max_docs
-    some = rows.filter(pick).select(F.col(text).alias("text"), F.col(lang).alias("lang")).limit(2 * max_docs)
+    place = F.pmod(F.xxhash64(text, lang), F.lit(n))
+    chosen = rows.filter(place < max_docs).select(F.col(text).alias("text"), F.col(lang).alias("lang"), place.alias("place"))
+    places = sorted(r[0] for r in chosen.groupBy("place", F.xxhash64("text", "lang")).count().select("place").orderBy("place").limit(2 * max_docs + 1).collect())
+    top = max_docs if len(places) <= 2 * max_docs else places[2 * max_docs]
+    some = chosen.filter(F.col("place") < top).dropDuplicates(["text", "lang"]).select("text", "lang")
 
     def counted(sample: DataFrame) -> pa.Table:  # languages by buckets at most
         return sample.mapInArrow(_count, "lang string, b int, n long").groupBy("lang", "b").agg(F.sum("n").alias("n")).toArrow()
@@ -117,8 +162,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs:
 
 
 def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
-    """Rows with ``_text`` replaced by ``ll`` (array of log likelihoods) and ``n_grams``."""
-    names = [f.name for f in rows.schema if f.name != "_text"]
+    """Rows with ``_text`` replaced by ``ll`` (array of log likelihoods) and ``n_grams``; where ``_html``, it is a page."""
+    names = [f.name for f in rows.schema if f.name not in ("_text", "_html")]
     shared = rows.sparkSession.sparkContext.broadcast((model.langs, model.logp))  # languages by buckets: a fixed size
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,12 +171,15 @@ def evidence(rows: DataFrame, model: TextModel) -> DataFrame:
         m = TextModel(*shared.value)
         k = len(m.langs)
         for rb in it:
-            ll, n = m.scores(rb["_text"])
+            text = rb["_text"]
+            if any(page := rb["_html"].to_pylist()):
+                text = pa.array([visible(t) if p and t else t for t, p in zip(text.to_pylist(), page)], pa.large_string())
+            ll, n = m.scores(text)
             off = pa.array(np.arange(0, (len(n) + 1) * k, k, dtype=np.int32))
             arr = pa.ListArray.from_arrays(off, pa.array(ll.ravel()))
             yield pa.RecordBatch.from_arrays([*(rb.column(rb.schema.get_field_index(c)) for c in names), arr, pa.array(n)], names=[*names, "ll", "n_grams"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names)
     return rows.mapInArrow(work, f"{schema}, ll array<double>, n_grams long")
 
 
@@ -145,12 +193,12 @@ def _sums(k: int) -> list[Column]:
 
 
 def fuse(scratch: Scratch, rows: DataFrame, model: TextModel, least: float = LEAST, kappa: float = KAPPA) -> DataFrame:
-    """Adds lang, confidence and rejected to rows of (…, _text, _markup, _suffix, _host, _domain).
+    """Adds lang, confidence and rejected to rows of (…, _text, _html, _markup, _suffix, _host, _domain).
 
     Markup and suffix are languages or null.  Internal columns begin with an underscore and go.
     """
     k = len(model.langs)
-    keep = [c for c in rows.columns if c not in ("_text", "_markup", "_suffix", "_host", "_domain", "lang", "confidence", "rejected")]
+    keep = [c for c in rows.columns if c not in ("_text", "_html", "_markup", "_suffix", "_host", "_domain", "lang", "confidence", "rejected")]
     if not k:
         return rows.select(*keep, F.lit(UND).alias("lang"), F.lit(0.0).alias("confidence"), F.lit(True).alias("rejected"))
     known = F.array(*map(F.lit, model.langs))
@@ -190,19 +238,23 @@ def fuse(scratch: Scratch, rows: DataFrame, model: TextModel, least: float = LEA
 
 def document_rows(docs: DataFrame, text: str, source: str, keep: list[Column]) -> DataFrame:
     """A document's host is its source; it has neither markup nor address."""
-    return docs.select(*keep, F.col(text).cast("string").alias("_text"), F.lit(None).cast("string").alias("_markup"), F.lit(None).cast("string").alias("_suffix"), F.concat(F.lit("source:"), F.coalesce(F.col(source), F.lit(""))).alias("_host"), F.lit("source:").alias("_domain"))
+    return docs.select(*keep, F.col(text).cast("string").alias("_text"), F.lit(False).alias("_html"), F.lit(None).cast("string").alias("_markup"), F.lit(None).cast("string").alias("_suffix"), F.concat(F.lit("source:"), F.coalesce(F.col(source), F.lit(""))).alias("_host"), F.lit("source:").alias("_domain"))
+
+
+def declared(html: str) -> Column:
+    """The two letters of the ``lang`` attribute of a page's ``html`` tag."""
+    return F.lower(F.regexp_extract(F.col(html), r"""(?is)<html\b[^<>]*?\blang\s*=\s*["']?([a-z]{2})""", 1))
 
 
 def page_rows(pages: DataFrame, url: str, html: str, keep: list[Column]) -> DataFrame:
-    """Visible text, the ``lang`` attribute, the address suffix (country, else a path language) and host."""
-    clean = F.regexp_replace(F.col(html), r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[a-z0-9#]+;", " ")
-    markup = F.lower(F.regexp_extract(F.col(html), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2})""", 1))
+    """The page, its ``lang`` attribute, the address suffix (country, else a path language) and host."""
+    markup = declared(html)
     host = F.lower(F.regexp_extract(F.col(url), r"(?s)://([^/?#:]*)", 1))
     labels = F.split(host, r"\.")
     country = F.element_at(F.create_map(*[F.lit(x) for kv in SUFFIXES.items() for x in kv]), F.element_at(labels, -1))
     path = F.regexp_extract(F.col(url), r"(?s)://[^/?#]*/([a-z]{2})/", 1)
     blank = lambda c: F.when(c != "", c)
-    return pages.select(*keep, clean.alias("_text"), blank(markup).alias("_markup"), F.coalesce(country, blank(path)).alias("_suffix"), host.alias("_host"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("_domain"))
+    return pages.select(*keep, F.col(html).cast("string").alias("_text"), F.lit(True).alias("_html"), blank(markup).alias("_markup"), F.coalesce(country, blank(path)).alias("_suffix"), host.alias("_host"), F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), 2), ".").alias("_domain"))
 
 
 def identify(docs: DataFrame, pages: DataFrame | None = None, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
@@ -212,16 +264,18 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, text: str = "text"
     none = F.lit(None).cast("long")
     rows = document_rows(docs, text, source, [F.lit("document").alias("kind"), F.col("doc_id"), none.alias("page_id"), F.col(lang).alias("declared")])
     if pages is not None:
-        keep = [F.lit("page").alias("kind"), none.alias("doc_id"), F.col("page_id"), F.lower(F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2})""", 1)).alias("declared")]
+        keep = [F.lit("page").alias("kind"), none.alias("doc_id"), F.col("page_id"), declared("html").alias("declared")]
         rows = rows.unionByName(page_rows(pages, "url", "html", keep))
     return fuse(scratch, rows, model)
 
 
-def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
+def keep_known(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """The table without the rows that language id rejects."""
     scratch = Scratch(docs.sparkSession, "langid")
     model = train(docs, text, lang)
-    rows = document_rows(docs, text, source, [F.col("doc_id").alias("_id"), F.xxhash64(F.col(text)).alias("_hash"), F.col(source).alias("_source")])
+    rows = document_rows(docs, text, source, [F.col(id_col).alias("_id"), F.xxhash64(F.col(text)).alias("_hash"), F.col(source).alias("_source")])
     bad = scratch.table(fuse(scratch, rows, model).filter("rejected").select("_id", "_hash", "_source").distinct(), "rejected")
-    same = docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text]) == bad["_hash"]) & docs[source].eqNullSafe(bad["_source"])
-    return docs.join(bad, same, "left_anti")
+    scratch.drop("evidence")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(source).alias("source"))
+    same = rows["id"].eqNullSafe(bad["_id"]) & (rows["hash"] == bad["_hash"]) & rows["source"].eqNullSafe(bad["_source"])
+    return rows.join(bad, same, "left_anti").select("row.*")
