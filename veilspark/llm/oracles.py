@@ -2,37 +2,41 @@
 
 _MIXING = """
 WITH RECURSIVE docs AS (
-  SELECT doc_id, source, coalesce(source, chr(1)) AS key,
+  SELECT doc_id, source, coalesce('=' || source, '') AS key,
          ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM documents),
 counts AS (SELECT key, count(*) AS n_rows FROM docs GROUP BY key),
 shares AS (SELECT key, n_rows, pow(n_rows::DOUBLE, 0.5) / sum(pow(n_rows::DOUBLE, 0.5)) OVER () AS w FROM counts),
-marked AS (SELECT *, round(w * 1000, 6) < 2 AS small FROM shares),
+tried AS (SELECT 1000 * m AS len, max(abs(w * 1000 * m - round(w * 1000 * m))) AS off, round(min(w) * 1000 * m, 6) >= 1 AS full_
+          FROM shares, range(1, 17) AS t(m) GROUP BY m),
+span AS (SELECT greatest(coalesce((SELECT min(len) FROM tried WHERE off < 1e-6 AND full_), (SELECT min(len) FROM tried WHERE full_), 16000),
+                         (SELECT 2 * count(*) FROM shares))::BIGINT AS len),
+marked AS (SELECT *, round(min(w) OVER () * len, 6) < 1 AND round(w * len, 6) < 2 AS small FROM shares, span),
 exacts AS (
-  SELECT *, CASE WHEN small THEN 1.0::DOUBLE ELSE round(w / sum(w) FILTER (WHERE NOT small) OVER () * (1000 - count(*) FILTER (WHERE small) OVER ()), 6) END AS exact
+  SELECT *, CASE WHEN small THEN 1.0::DOUBLE ELSE round(w / sum(w) FILTER (WHERE NOT small) OVER () * (len - count(*) FILTER (WHERE small) OVER ()), 6) END AS exact
   FROM marked),
 units AS (
-  SELECT key, n_rows, (floor(exact) + CASE WHEN row_number() OVER (ORDER BY small, floor(exact) - exact, key)
-           <= 1000 - sum(floor(exact)) OVER () THEN 1 ELSE 0 END)::BIGINT AS n FROM exacts),
+  SELECT key, n_rows, len, (floor(exact) + CASE WHEN row_number() OVER (ORDER BY small, floor(exact) - exact, key)
+           <= len - sum(floor(exact)) OVER () THEN 1 ELSE 0 END)::BIGINT AS n FROM exacts),
 lists AS (SELECT list(n ORDER BY key) AS ns, list(key ORDER BY key) AS keys FROM units),
-edf(t, ns, done, pick) AS (
-  SELECT 0::BIGINT, ns, list_transform(ns, lambda x: 0::BIGINT), NULL::BIGINT FROM lists
+edf(t, len, ns, done, pick) AS (
+  SELECT 0::BIGINT, len, ns, list_transform(ns, lambda x: 0::BIGINT), NULL::BIGINT FROM lists, span
   UNION ALL
-  SELECT t + 1, ns, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p FROM (
-    SELECT t, ns, done, list_min(list_transform(ns, lambda n, i: CASE
-        WHEN done[i] < n AND (done[i] * 1000) // n <= t THEN ((done[i] + 1) * 1000 + n - 1) // n * 10000 + i ELSE 999999999 END)) % 10000 AS p
-    FROM edf WHERE t < 1000)),
+  SELECT t + 1, len, ns, list_transform(done, lambda d, i: CASE WHEN i = p THEN d + 1 ELSE d END), p FROM (
+    SELECT t, len, ns, done, list_min(list_transform(ns, lambda n, i: CASE
+        WHEN done[i] < n AND (done[i] * len) // n <= t THEN ((done[i] + 1) * len + n - 1) // n * 10000 + i ELSE 999999999 END)) % 10000 AS p
+    FROM edf WHERE t < len)),
 slots AS (
   SELECT keys[pick] AS key, t - 1 AS t, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS i FROM edf, lists WHERE pick IS NOT NULL),
 ranked AS (
-  SELECT doc_id, source, d.key, h % ceil(n_rows / 4096)::BIGINT AS salt, n,
+  SELECT doc_id, source, d.key, h % ceil(n_rows / 4096)::BIGINT AS salt, n, len,
          row_number() OVER (PARTITION BY d.key, h % ceil(n_rows / 4096)::BIGINT ORDER BY doc_id NULLS FIRST) - 1 AS nth
   FROM docs d JOIN units USING (key)),
 bases AS (
   SELECT key, salt, coalesce(sum(blocks) OVER (PARTITION BY key ORDER BY salt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
   FROM (SELECT key, salt, ceil(count(*) / 64)::BIGINT AS blocks FROM ranked GROUP BY key, salt)),
 placed AS (SELECT r.*, (base + nth // 64)::BIGINT AS b FROM ranked r JOIN bases USING (key, salt))
-SELECT doc_id, source, b AS block_no, (nth % 64)::BIGINT AS block_seq, (b * 1000 // n)::BIGINT AS release_slot,
-       (((b + 1) * 1000 + n - 1) // n)::BIGINT AS deadline_slot, ((b // n) * 1000 + t)::BIGINT AS mix_slot
+SELECT doc_id, source, b AS block_no, (nth % 64)::BIGINT AS block_seq, (b * len // n)::BIGINT AS release_slot,
+       (((b + 1) * len + n - 1) // n)::BIGINT AS deadline_slot, ((b // n) * len + t)::BIGINT AS mix_slot
 FROM placed p JOIN slots s ON s.key = p.key AND s.i = p.b % p.n
 """
 
