@@ -8,12 +8,12 @@
 
 Each stage works on all rows of the one before; all but the last return the columns of
 ``documents``.  Stages take null and repeated ids, null, empty and long texts and empty tables as
-their operators do.
+their operators do.  Their results may be lazy and composed: what an operator left in the shared
+folder stays until ``run``, which writes each result, deletes it.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -22,53 +22,32 @@ from veilspark.llm import bpe, langid, mixing, similar, suffix_dedup
 from veilspark.llm.common import Scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_held: list[Scratch] = []
 
 
-def _stage(f: Stage) -> Stage:
-    """A stage begins by deleting what the one before has left: its result has been written by then."""
-
-    @functools.wraps(f)
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _held:
-            _held.pop().clear()
-        known = list(Scratch.made)
-        out = f(spark, docs, sf_dir)
-        _held.extend(s for s in Scratch.made if s not in known)
-        return out
-
-    return run_stage
-
-
-@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which no language is certain enough go."""
     return langid.keep_known(docs)
 
 
-@_stage
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id.
 
     Texts whose sets of five-word shingles have a similarity of 0.8 or more are linked.  SimHashes within
-    6 of 64 bits and MinHash bands only propose pairs; each link is verified by the shingle sets.
+    4 of 64 bits and MinHash bands only propose pairs; each link is verified by the shingle sets.
     """
-    return similar.keep_one(docs, radius=6, shingle=5, least=0.8)
+    return similar.keep_one(docs, shingle=5, least=0.8)
 
 
-@_stage
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that a smaller doc_id also has go; every document stays."""
     return suffix_dedup.remove(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
-@_stage
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the order of the schedule of their sources' target weights."""
     return mixing.mixed(docs)
 
 
-@_stage
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the ids of their tokens."""
     return bpe.encode(docs)
@@ -91,5 +70,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
+        known = list(Scratch.made)
         docs = scratch.table(stage(spark, docs, sf_dir), f"{i}-{name}")
+        for s in [s for s in Scratch.made if s not in known]:
+            s.clear()
+        if i:
+            scratch.drop(f"{i - 1}-{STAGES[i - 1][0]}")
     return docs
