@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 from llm_util import rows_of, same
-from test_windows import brute_words
+from test_suffix_dedup import brute_words
 from pyspark.sql import functions as F
 
 from veilspark.llm import debruijn, substring_dedup

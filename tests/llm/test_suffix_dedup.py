@@ -1,4 +1,4 @@
-"""Substring and suffix-array dedup against brute force."""
+"""Suffix-array dedup against brute force."""
 
 import hashlib
 import re
@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 
-from veilspark.llm import suffix_dedup, windows
+from veilspark.llm import bucket_pointers, suffix_dedup
 from llm_util import rows_of, same
 
 BIG = 2**63 - 1
@@ -45,10 +45,38 @@ def brute_words(rows, w=35):
 COLS7 = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-@pytest.mark.parametrize("hot", [256, 1])
-def test_bytes(docs, doc_rows, monkeypatch, hot):
-    monkeypatch.setattr(windows.Plan.__init__, "__defaults__", (10, hot))
-    same(rows_of(suffix_dedup.digests(docs), *COLS7), brute_bytes(doc_rows))
+@pytest.mark.parametrize("hot", [256, 2, 1])
+def test_bytes(docs, doc_rows, hot):
+    same(rows_of(suffix_dedup.digests(docs, hot=hot), *COLS7), brute_bytes(doc_rows))
+
+
+@pytest.mark.parametrize("window", [50, 16, 17, 33, 64])
+def test_refinement_of_windows(window):
+    import numpy as np
+
+    rng = np.random.default_rng(window)
+    data = np.r_[rng.integers(97, 99, 3000), np.tile([97, 98, 97], 300), rng.integers(97, 99, 500)].astype(np.uint8)
+    data = np.r_[data, data[500:2500]]
+    at = np.sort(rng.choice(len(data) - window, 2000, replace=False))
+    d = rng.integers(0, 5, len(at))
+    least = {}
+    for p, x in zip(at, d):
+        w = data[p : p + window].tobytes()
+        least[w] = min(least.get(w, 9), x)
+    want = [bool(least[data[p : p + window].tobytes()] < x) for p, x in zip(at, d)]
+    assert any(want) and bucket_pointers.smallest_elsewhere(data, at, d, window).tolist() == want
+
+
+def test_a_bucket_in_every_text_is_spread(spark):
+    import random
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line = "the same line that all of these texts have in common, of 70 bytes."
+    rows = [(i, word(40) + line[: 20 + i % 50] + word(40) + line + word(30)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for hot in (256, 3):
+        same(rows_of(suffix_dedup.digests(docs, hot=hot), *COLS7), brute_bytes(rows))
 
 
 def test_empty(no_docs):

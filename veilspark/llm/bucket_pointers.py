@@ -1,31 +1,32 @@
-"""Repeated windows of a corpus, exactly, without shuffling its texts.
+"""Bucket-pointer refinement over a corpus' byte windows, without shuffling its texts.
 
-The engine under substring dedup (35-word windows) and suffix-array dedup (50-byte windows):
+Which windows of 50 bytes also start in a document with a smaller id?  Windows that share their
+leftmost smallest q-gram lie side by side in a *run*; that q-gram is the sampled suffix all of
+them are found by, so one row stands for about 18 windows.
 
 1. Documents are packed into batches of a few MB, compressed, in a table bucketed by batch.
-2. Each batch is cut into *super-k-mers*: rows of windows that share their smallest q-gram
-   (minimum substring partitioning).  A batch sends each distinct one once, as a pair of
-   identifiers (q-gram bucket ``a``, content ``r``), packed by ranges of ``a``.
-3. Each range sorts its buckets.  A content met before settles all its windows at once; only
-   buckets with several contents stay open.  Batches get back an ordinal and a code.
-4. Open contents, a few percent of the corpus, are sent as sequences to the range of their
-   bucket, where all their windows are sorted by a 128-bit identifier.
-5. Batches join both answers by batch id and mark what is covered.
-
-Skew: a batch sends one row for a content however many of its documents hold it, and one
-marker for a bucket with more than ``HOT`` contents; marked buckets, and those with more than
-four times as many in all, are settled window by window, spread by the window's own identifier.
-No list of documents is ever gathered.
-
-Modes: ``smaller`` (a window that also starts in a document with a smaller id) and
-``anywhere`` (a window that starts at any other place).
+2. *Initial buckets.*  A batch sends each q-gram bucket of its runs once, with its smallest id.
+   Buckets of one document are finished and drop out.
+3. *Refinement of runs.*  What is left is sorted on (bucket, name of the run), the name being made
+   of the bucket identifiers at later offsets: 16 bytes name 32, those 50 (the last step overlaps).
+   A refined bucket settles all its windows at once, and a bucket with a single one is finished.
+4. *Refinement of windows.*  Runs of buckets that still hold several are sent as bytes, once each.
+   Their windows are sorted by 16 bytes, then by the bucket identifiers (ranks) that this gave at
+   offset 16, then by those at offset 18: each step reads the identifiers of the one before, and
+   windows whose bucket has one document drop out between steps.  No hash takes part.
+5. Batches join the answers by batch id and mark what is covered.
+
+Skew: a batch sends one row for a bucket or run however many of its documents hold it, and one
+marker for a bucket with more than ``HOT`` runs in it.  Marked buckets, and those with more than ``HOT``
+runs in all, are spread before they meet: their windows go one by one to the range of the
+window's own name (128 bits).  Ranges grow in number with the input and are read one by one.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from veilspark.llm import kernels as K
 from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for, trim
 
-BATCH_BYTES = 4 << 20
+BATCH_BYTES, RANGE_BYTES = 4 << 20, 1 << 20
 HOT = 256
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
@@ -45,13 +46,11 @@ COVERED, SEND, WIDE = 1, 2, 4
 
 @dataclass(frozen=True)
 class Plan:
-    """What counts as a window and which of its occurrences go."""
+    """Bytes of a window and of the initial buckets, 2 ** bits ranges."""
 
     window: int
     q: int
-    words: bool
-    smaller: bool
-    range_bits: int = 10
+    bits: int = 10
     hot: int = HOT
 
 
@@ -105,32 +104,12 @@ class Batch:
         ids = self.side.column(id_col)
         ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
         self.ids = np.asarray(ids.cast(pa.int64()).fill_null(NO_ID)) if n else np.zeros(0, np.int64)
-        if plan.words:
-            ws, we = K.words(self.buf)
-            ws, we = self._split(ws, we)
-            self.ws, self.we = ws, we
-            self.bounds = np.searchsorted(ws, self.at)
-            self.sym = K.word_ids(self.buf, ws, we)
-        else:
-            self.bounds, self.sym = self.at, self.buf
-
-    def _split(self, ws: np.ndarray, we: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Documents lie one after another, so a word must also end where its document does."""
-        cuts = self.at[1:-1]
-        inner = cuts[np.searchsorted(ws, cuts, side="left") - 1 >= 0] if len(ws) else cuts[:0]
-        k = np.searchsorted(ws, inner, side="left") - 1
-        inner = np.unique(inner[(we[k] > inner) & (ws[k] < inner)]) if len(inner) else inner
-        if not len(inner):
-            return ws, we
-        return np.sort(np.r_[ws, inner]), np.sort(np.r_[we, inner])
-
     def scan(self) -> None:
+        """Runs, and the distinct (bucket, name) of them; a bucket with too many names has one, 0."""
         p = self.plan
-        self.doc, self.s1, self.s2, a, r = K.runs(self.sym, self.bounds, p.window, p.q)
-        low = U(48)
-        a = (a >> U(64 - p.range_bits) << low) | (a & ((U(1) << low) - U(1)))  # as much as is sent
+        self.doc, self.s1, self.s2, a, r = K.runs(self.buf, self.at, p.window, p.q)
+        a = a >> U(32 - p.bits)  # the range and 32 bits are what is sent
         r = r | U(1)
-        self.a, self.r = a, r
         d = self.ids[self.doc]
         o = K.by_key(a, r, d)
         a, r, d = a[o], r[o], d[o]
@@ -144,12 +123,22 @@ class Batch:
         self.key_of[o] = np.cumsum(f) - 1
         self.ka, self.kr = a[at], np.where(hot[at], U(0), r[at])
         self.kd = np.minimum.reduceat(d, at) if len(at) else d[:0]
-        self.kn = np.diff(np.r_[at, len(a)])
+        self.ktop = np.maximum.reduceat(d, at) if len(at) else d[:0]
+
+    def buckets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bucket, first key, smallest id, whether it has other ids) of each bucket, sorted."""
+        cut = np.flatnonzero(K.firsts(self.ka)) if len(self.ka) else np.zeros(0, np.int64)
+        low = np.minimum.reduceat(self.kd, cut) if len(cut) else self.kd
+        top = np.maximum.reduceat(self.ktop, cut) if len(cut) else self.kd
+        return self.ka[cut], cut, low, low < top
 
 
-# ---------------------------------------------------------------- step 2 and 3: whole contents
+# ---------------------------------------------------------------- steps 2 and 3: buckets and runs
 
+_MESSAGE = pa.schema([("batch_id", pa.int64()), ("rng", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
+_MESSAGE_DDL = "batch_id long, rng int, kind int, blob binary"
 _HEAD = "<IIBq"
+_CODE = np.dtype([("i", "<u4"), ("c", "u1")])
 
 
 def _ints(x: np.ndarray) -> tuple[int, int, bytes]:
@@ -158,107 +147,145 @@ def _ints(x: np.ndarray) -> tuple[int, int, bytes]:
     return 8 if wide else 4, base, (x if wide else (x - base).astype(np.uint32)).tobytes()
 
 
-def send_contents(plan: Plan, id_col: str):
+def _from_ints(v: pa.Buffer, n: int, width: int, base: int, p: int) -> np.ndarray:
+    x = np.frombuffer(v, np.uint32 if width == 4 else np.int64, n, p)
+    return x.astype(np.int64) + base if width == 4 else x
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, _MESSAGE)], schema=_MESSAGE)
+
+
+def send_buckets(plan: Plan, id_col: str):
+    """Each bucket of a batch once: 32 bits, the smallest id, and whether there are others."""
+
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh_worker()
         for rb in it:
             for bid, side, body in zip(rb["batch_id"].to_pylist(), rb["side"], rb["body"]):
                 b = Batch(side.as_py(), body.as_py(), plan, id_col)
                 b.scan()
-                rng = (b.ka >> U(48)).astype(np.int64)
-                cut = np.flatnonzero(K.firsts(rng)) if len(rng) else np.zeros(0, np.int64)
-                ends = np.r_[cut[1:], len(rng)]
-                low6 = b.ka.view(np.uint8).reshape(-1, 8)[:, :6]
-                blobs = []
-                for s, e in zip(cut, ends):
-                    if plan.smaller:
-                        width, base, d = _ints(b.kd[s:e])
-                    else:
-                        width, base, d = 1, 0, np.minimum(b.kn[s:e], 2).astype(np.uint8).tobytes()
-                    blobs.append(struct.pack(_HEAD, e - s, s, width, base) + low6[s:e].tobytes() + b.kr[s:e].tobytes() + d)
-                del b
+                key, _, low, more = b.buckets()
+                rows = []
+                for s, e, rng in _slices(key):
+                    width, base, d = _ints(low[s:e])
+                    rows.append((bid, rng, 0, struct.pack(_HEAD, e - s, s, width, base) + key[s:e].astype(np.uint32).tobytes() + np.packbits(more[s:e]).tobytes() + d))
+                del b, key, low, more
                 trim()
-                yield pa.RecordBatch.from_pydict(
-                    {"rng": pa.array(rng[cut], pa.int32()), "batch_id": pa.array([bid] * len(cut), pa.int64()), "blob": pa.array(blobs, pa.binary())}
-                )
+                yield from _table(rows).to_batches()
 
     return send
 
 
-def judge_contents(plan: Plan):
-    """One range partition: which contents repeat, which are open; an answer for each batch."""
+def judge_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bits for the buckets sent: other documents have it, too."""
+    for _, rows in _by_range(it):
+        heads = [struct.unpack_from(_HEAD, v) for _, _, v in rows]
+        A, M, D = [], [], []
+        for (n, _, width, base), (_, _, v) in zip(heads, rows):
+            p = struct.calcsize(_HEAD)
+            A.append(np.frombuffer(v, np.uint32, n, p))
+            M.append(np.unpackbits(np.frombuffer(v, np.uint8, (n + 7) // 8, p + 4 * n), count=n))
+            D.append(_from_ints(v, n, width, base, p + 4 * n + (n + 7) // 8))
+        a, more, d = (np.concatenate(x) for x in (A, M, D))
+        o = np.argsort(a, kind="stable")
+        cut = np.flatnonzero(K.firsts(a[o]))
+        d = d[o]
+        open_ = (np.minimum.reduceat(d, cut) < np.maximum.reduceat(d, cut)) | (np.maximum.reduceat(more[o], cut) > 0)
+        hit = np.empty(len(a), bool)
+        hit[o] = np.repeat(open_, np.diff(np.r_[cut, len(a)]))
+        at, out = 0, []
+        for (n, start, _, _), (bid, _, _) in zip(heads, rows):
+            if hit[at : at + n].any():
+                out.append((bid, 0, 0, struct.pack("<II", n, start) + np.packbits(hit[at : at + n]).tobytes()))
+            at += n
+        yield from _table(out).to_batches()
+    trim()
+
+
+def send_runs(plan: Plan, id_col: str):
+    """The refined buckets (bucket, name) of a batch that lie in open buckets."""
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return _table([])
+        bid = left["batch_id"][0].as_py()
+        b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
+        b.scan()
+        _, cut, _, _ = b.buckets()
+        hit = np.zeros(len(cut), bool)
+        for x in right["blob"]:
+            v = x.as_buffer()
+            n, start = struct.unpack_from("<II", v)
+            hit[start : start + n] = np.unpackbits(np.frombuffer(v, np.uint8, offset=8), count=n)
+        on = np.flatnonzero(np.repeat(hit, np.diff(np.r_[cut, len(b.ka)])))
+        ka, kr, kd = b.ka[on], b.kr[on], b.kd[on]
+        rows = []
+        for s, e, rng in _slices(ka):
+            width, base, d = _ints(kd[s:e])
+            rows.append((bid, rng, 0, struct.pack(_HEAD, e - s, 0, width, base) + on[s:e].astype(np.uint32).tobytes() + ka[s:e].astype(np.uint32).tobytes() + kr[s:e].tobytes() + d))
+        del b
+        trim()
+        return _table(rows)
+
+    return work
+
+
+def judge_runs(plan: Plan):
+    """Which refined buckets have a smaller id elsewhere, which share their bucket with others."""
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_ranges(it, 4 << 20):
+        for _, rows in _by_range(it):
             yield from one(rows)
+        trim()
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         A, R, D, I, B = [], [], [], [], []
-        for rng, bid, _, v in rows:
-            n, start, width, base = struct.unpack_from(_HEAD, v)
+        for bid, _, v in rows:
+            n, _, width, base = struct.unpack_from(_HEAD, v)
             p = struct.calcsize(_HEAD)
-            a = np.zeros((n, 8), np.uint8)
-            a[:, :6] = np.frombuffer(v, np.uint8, 6 * n, p).reshape(n, 6)
-            A.append(a.view(np.uint64).ravel() | U(rng << 48))
-            R.append(np.frombuffer(v, np.uint64, n, p + 6 * n).copy())
-            d = np.frombuffer(v, {1: np.uint8, 4: np.uint32, 8: np.int64}[width], n, p + 14 * n)
-            D.append(d.astype(np.int64) + base if width == 4 else d.astype(np.int64))
-            I.append(np.arange(start, start + n, dtype=np.uint32))
+            I.append(np.frombuffer(v, np.uint32, n, p))
+            A.append(np.frombuffer(v, np.uint32, n, p + 4 * n))
+            R.append(np.frombuffer(v, np.uint64, n, p + 8 * n))
+            D.append(_from_ints(v, n, width, base, p + 16 * n))
             B.append(np.full(n, bid, np.int64))
         a, r, d, idx, bid = (np.concatenate(x) for x in (A, R, D, I, B))
-        del A, R, D, I, B
-        o = K.by_key(a, r, d, bid)
+        o = K.by_key(a.astype(np.uint64) << U(32) | r >> U(32), r, d, bid)
         a, r, d, idx, bid = a[o], r[o], d[o], idx[o], bid[o]
         f, fa = K.firsts(a, r), K.firsts(a)
         g, ga = np.cumsum(f) - 1, np.cumsum(fa) - 1
         kinds = np.bincount(ga, weights=f).astype(np.int64)[ga]
-        hot = (np.bincount(ga, weights=(r == 0))[ga] > 0) | (kinds > 4 * plan.hot)
+        hot = (np.bincount(ga, weights=(r == 0))[ga] > 0) | (kinds > plan.hot)
         code = np.zeros(len(a), np.uint8)
-        if plan.smaller:
-            least = d == d[np.flatnonzero(f)][g]  # in several batches, if ids repeat: each needs the answer
-            code[~least] |= COVERED
-            code[least & (kinds > 1)] |= SEND
-        else:
-            code[(np.bincount(g, weights=d)[g] >= 2)] |= COVERED
-            code[f & (kinds > 1)] |= SEND
+        least = d == d[np.flatnonzero(f)][g]  # in several batches, if ids repeat: each needs the answer
+        code[~least] |= COVERED
+        code[least & (kinds > 1)] |= SEND
         code[hot] = WIDE
         keep = np.flatnonzero(code)
         keep = keep[np.argsort(bid[keep], kind="stable")]
-        out = bid[keep], np.rec.fromarrays([idx[keep], code[keep]], dtype=[("i", "<u4"), ("c", "u1")])
-        del a, r, d, idx, bid, o, f, fa, g, ga, kinds, hot, code, keep
-        trim()
-        yield from _answers(*out)
+        yield from _answers(bid[keep], np.rec.fromarrays([idx[keep], code[keep]], dtype=_CODE))
 
     return judge
 
 
-def _by_ranges(it: Iterator[pa.RecordBatch], least: int) -> Iterator[list[tuple]]:
-    """The rows (range, batch, kind, blob) of a partition, whole ranges at a time, about ``least`` bytes."""
-    held: dict[int, list[tuple]] = {}
+def _by_range(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """The rows (batch, kind, blob) of one range at a time; they come sorted by it."""
+    now, held = None, []
     for rb in it:
-        kinds = rb["kind"].to_pylist() if "kind" in rb.schema.names else [0] * rb.num_rows
-        for rng, bid, kind, blob in zip(rb["rng"].to_pylist(), rb["batch_id"].to_pylist(), kinds, rb["blob"]):
-            held.setdefault(rng, []).append((rng, bid, kind, blob.as_buffer()))
-    chunk, size = [], 0
-    for rng in sorted(held):
-        more = held.pop(rng)
-        chunk += more
-        size += sum(x[3].size for x in more)
-        if size >= least:
-            yield chunk
-            chunk, size = [], 0
-    if chunk:
-        yield chunk
+        for rng, bid, kind, v in zip(*(rb[c].to_pylist() for c in ("rng", "batch_id", "kind")), rb["blob"]):
+            if rng != now and held:
+                yield now, held
+                held = []
+            now = rng
+            held.append((bid, kind, v.as_buffer()))
+    if held:
+        yield now, held
 
 
 def _answers(bid: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    if not len(bid):
-        return
-    cut = np.flatnonzero(K.firsts(bid))
+    cut = np.flatnonzero(K.firsts(bid)) if len(bid) else np.zeros(0, np.int64)
     ends = np.r_[cut[1:], len(bid)]
-    yield pa.RecordBatch.from_pydict(
-        {"batch_id": pa.array(bid[cut], pa.int64()), "kind": pa.array([1] * len(cut), pa.int32()), "blob": pa.array([rows[s:e].tobytes() for s, e in zip(cut, ends)], pa.binary())}
-    )
+    yield from _table([(int(bid[s]), 0, 1, rows[s:e].tobytes()) for s, e in zip(cut, ends)]).to_batches()
 
 
 # ---------------------------------------------------------------- step 4: open contents
@@ -273,158 +300,189 @@ def _windows_of(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(first - s1, n)
 
 
-def open_contents(plan: Plan, id_col: str):
+def open_runs(plan: Plan, id_col: str):
     """State of a batch (what is settled), and what has to be looked at window by window."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: dict[str, list] = {"batch_id": [], "rng": [], "kind": [], "blob": []}
         if not left.num_rows:
-            return pa.table(rows, schema=_EXCHANGE)
+            return _table([])
+        rows: list[tuple] = []
         bid = left["batch_id"][0].as_py()
         b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
         b.scan()
         code = np.zeros(len(b.ka), np.uint8)
         for x in right["blob"]:
-            got = np.frombuffer(x.as_buffer(), dtype=[("i", "<u4"), ("c", "u1")])
+            got = np.frombuffer(x.as_buffer(), _CODE)
             code[got["i"]] |= got["c"]
         code[b.kr == 0] = WIDE
         kc, d = code[b.key_of], b.ids[b.doc]
         wide = (kc & WIDE) > 0
-        if plan.smaller:
-            gone = ~wide & (((kc & COVERED) > 0) | (d > b.kd[b.key_of]))
-        else:
-            gone = ~wide & (((kc & COVERED) > 0) | (b.kn[b.key_of] >= 2))
+        gone = ~wide & (((kc & COVERED) > 0) | (d > b.kd[b.key_of]))
         lo, hi = K.union_of(b.s1[gone], b.s2[gone] + plan.window)
-        ask = ~wide & ((kc & SEND) > 0) & ((d == b.kd[b.key_of]) if plan.smaller else True)
-        at = np.flatnonzero(ask)
-        k = b.key_of[at]
+        waiting = np.flatnonzero(~wide & ((kc & SEND) > 0) & (d == b.kd[b.key_of]))
+        k = b.key_of[waiting]
         first = np.zeros(len(b.ka), np.int64) - 1
-        first[k[::-1]] = at[::-1]
+        first[k[::-1]] = waiting[::-1]
         sent = first[first >= 0]  # one run for each open key, in the order of keys
-        waiting = at if plan.smaller else at[~gone[at]]
-        spots = [(b.key_of[waiting], b.s1[waiting])]
-        for s, e, rng in _slices(b.a[sent]):
+        for s, e, rng in _slices(b.ka[b.key_of[sent]]):
             x = sent[s:e]
             head = np.zeros(len(x), _RUN)
-            head["k"], head["n"] = b.key_of[x], b.s2[x] - b.s1[x] + 1
-            head["d"] = b.kd[b.key_of[x]] if plan.smaller else np.where(gone[x], 2, 1)
-            src = b.sym if plan.words else b.buf
-            data = src[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
-            for c, v in (("batch_id", bid), ("rng", rng), ("kind", 1), ("blob", struct.pack("<I", len(x)) + head.tobytes() + data)):
-                rows[c].append(v)
+            head["k"], head["n"], head["d"] = b.key_of[x], b.s2[x] - b.s1[x] + 1, b.kd[b.key_of[x]]
+            data = b.buf[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
+            rows.append((bid, rng, 1, struct.pack("<I", len(x)) + head.tobytes() + data))
         w = np.flatnonzero(wide)
         grams = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         if len(w):
-            at_w = _windows_of(b.s1[w], b.s2[w])
+            at = _windows_of(b.s1[w], b.s2[w])
             dw = np.repeat(d[w], b.s2[w] - b.s1[w] + 1)
-            g, h = _ids128(b.sym, at_w, plan.window)
+            g, h = window_names(b.buf, at, plan)
             o = K.by_key(g, h, dw)
             f = K.firsts(g[o], h[o])
             cut = np.flatnonzero(f)
             key = np.empty(len(o), np.int64)
             key[o] = np.cumsum(f) - 1
-            dmin, cnt = dw[o][cut], np.diff(np.r_[cut, len(o)])
-            done = (dw > dmin[key]) if plan.smaller else (cnt >= 2)[key]
-            l2, h2 = K.union_of(at_w[done], at_w[done] + plan.window)
+            low = dw[o][cut]
+            done = dw > low[key]
+            l2, h2 = K.union_of(at[done], at[done] + plan.window)
             lo, hi = K.union_of(np.r_[lo, l2], np.r_[hi, h2])
-            grams = [key[~done], at_w[~done]]
-            ug, uh = g[o][cut], h[o][cut]
+            grams = [key[~done], at[~done]]
             rec = np.zeros(len(cut), _GRAM)
-            rec["k"], rec["g"], rec["h"], rec["d"] = np.arange(len(cut)), ug, uh, dmin if plan.smaller else np.minimum(cnt, 2)
-            for s, e, rng in _slices(ug >> U(64 - plan.range_bits) << U(48)):
-                for c, v in (("batch_id", bid), ("rng", rng), ("kind", 2), ("blob", rec[s:e].tobytes())):
-                    rows[c].append(v)
-        state = [lo, hi, *spots[0], *grams]
+            rec["k"], rec["g"], rec["h"], rec["d"] = np.arange(len(cut)), g[o][cut], h[o][cut], low
+            for s, e, rng in _slices(rec["g"] >> U(32 - plan.bits)):
+                rows.append((bid, rng, 2, rec[s:e].tobytes()))
+        state = [lo, hi, k, b.s1[waiting], *grams]
         blob = struct.pack("<6I", *map(len, state)) + b"".join(np.asarray(x, np.int64).tobytes() for x in state)
-        for c, v in (("batch_id", bid), ("rng", -1), ("kind", 0), ("blob", zstandard.ZstdCompressor(level=1).compress(blob))):
-            rows[c].append(v)
+        rows.append((bid, -1, 0, zstandard.ZstdCompressor(level=1).compress(blob)))
         del b
         trim()
-        return pa.table(rows, schema=_EXCHANGE)
+        return _table(rows)
 
     return work
 
 
-_EXCHANGE = pa.schema([("batch_id", pa.int64()), ("rng", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-
-
-def _slices(a: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    rng = (a >> U(48)).astype(np.int64)
+def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first, end, range) of sorted keys."""
+    rng = (keys >> U(32)).astype(np.int64)
     cut = np.flatnonzero(K.firsts(rng)) if len(rng) else np.zeros(0, np.int64)
     yield from zip(cut.tolist(), np.r_[cut[1:], len(rng)].tolist(), rng[cut].tolist())
 
 
-def _ids128(sym: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent identifiers of the windows that begin at ``at``, in slices of bounded size."""
-    g, h = np.empty(len(at), np.uint64), np.empty(len(at), np.uint64)
+def window_names(buf: np.ndarray, at: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent names of the windows that begin at ``at`` (sorted), made by doubling from q-gram names."""
+    out = np.empty((2, len(at)), np.uint64)
     i = 0
     while i < len(at):
         lo = int(at[i])
         j = max(i + 1, int(np.searchsorted(at, lo + (1 << 19), side="left")))
-        hi = int(at[j - 1]) + window
-        s = sym[lo:hi]
-        x = at[i:j] - lo
-        g[i:j] = K.gram_at(K.prefix(s), x, x + window, 21)
-        h[i:j] = K.gram_at(K.prefix(K.mix(s.astype(np.uint64), 77)), x, x + window, 22)
+        s = buf[lo : int(at[j - 1]) + plan.window]
+        for x, sym in enumerate((s, K.mix(s.astype(np.uint64), 77))):
+            out[x, i:j] = K.refine(K.gram(K.prefix(sym), plan.q, 21 + x), at[i:j] - lo, plan.q, plan.window)
         i = j
-    return g, h
+    return out[0], out[1]
+
+
+def _sorted_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Identifiers of buckets of equal (a, b), both below 2**32, in sorted order."""
+    key = a.astype(np.uint64) << U(32) | b.astype(np.uint64)
+    o = np.argsort(key)
+    out = np.empty(len(o), np.int64)
+    out[o] = np.cumsum(K.firsts(key[o])) - 1
+    return out
+
+
+def smallest_elsewhere(data: np.ndarray, at: np.ndarray, d: np.ndarray, window: int) -> np.ndarray:
+    """Which windows (bytes ``data`` from ``at``) are equal to one with a smaller d.
+
+    Buckets of 8 bytes are refined to 16, 32, ... and ``window`` bytes by sorting on (bucket, bucket
+    at a later offset); windows leave as soon as their bucket has a single d.
+    """
+    hit = np.zeros(len(at), bool)
+    x = data.astype(np.uint64)
+    for s in (1, 2, 4):
+        x = x[:-s] << U(8 * s) | x[s:]
+    sizes = [8]
+    while sizes[-1] * 2 < window:
+        sizes.append(sizes[-1] * 2)
+    offsets = [{0, window - sizes[-1]}]  # where windows need the identifiers of each size, from the last
+    for s in sizes[-2::-1]:
+        offsets.append({o + z for o in offsets[-1] for z in (0, s)})
+    live = np.arange(len(at))
+    rank = np.zeros(len(data) + 1, np.int64)
+    for s, offs in zip(sizes, reversed(offsets)):
+        here = np.zeros(len(data) + 1, bool)
+        for o in offs:
+            here[at[live] + o] = True
+        p = np.flatnonzero(here)
+        if s == 8:
+            o = np.argsort(x[p])
+            ids = np.empty(len(p), np.int64)
+            ids[o] = np.cumsum(K.firsts(x[p][o])) - 1 if len(p) else 0
+        else:
+            ids = _sorted_ids(rank[p], rank[p + s // 2])
+        rank = np.zeros(len(data) + 1, np.int64)
+        rank[p] = ids
+        live = live[_shared(rank[at[live]], d[live])[0]]
+        if not len(live):
+            return hit
+    ids = _sorted_ids(rank[at[live]], rank[at[live] + window - sizes[-1]])
+    hit[live] = d[live] > _shared(ids, d[live])[1]
+    return hit
+
+
+def _shared(ids: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether the bucket has more than one d, the smallest d of the bucket) for each row."""
+    if not len(ids):
+        return np.zeros(0, bool), d
+    o = np.argsort(ids, kind="stable")
+    cut = np.flatnonzero(K.firsts(ids[o]))
+    size = np.diff(np.r_[cut, len(o)])
+    low, top = np.minimum.reduceat(d[o], cut), np.maximum.reduceat(d[o], cut)
+    several, least = np.empty(len(o), bool), np.empty(len(o), d.dtype)
+    several[o], least[o] = np.repeat(low < top, size), np.repeat(low, size)
+    return several, least
 
 
 def judge_windows(plan: Plan):
+    """Windows of open runs by refinement of their bytes; those of spread buckets by their names."""
+
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _by_ranges(it, 1 << 20):
-            yield from one(rows)
+        for _, rows in _by_range(it):
+            yield from of_runs([(bid, v) for bid, kind, v in rows if kind == 1])
+            yield from of_names([(bid, v) for bid, kind, v in rows if kind == 2])
+        trim()
 
-    def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        G, H, D, RUN, W = [], [], [], [], []
-        RB, RK, RKIND = [], [], []
-        n_runs = 0
-        for _, bid, kind, v in rows:
-            if kind == 1:
-                (n,) = struct.unpack_from("<I", v)
-                head = np.frombuffer(v, _RUN, n, 4)
-                size = np.uint64 if plan.words else np.uint8
-                data = np.frombuffer(v, size, offset=4 + n * _RUN.itemsize)
-                sym = data
-                full = head["n"].astype(np.int64) + plan.window - 1
-                s1 = np.cumsum(full) - full
-                at = _windows_of(s1, s1 + head["n"].astype(np.int64) - 1)
-                g, h = _ids128(sym, at, plan.window)
-                D.append(np.repeat(head["d"], head["n"]))
-                RUN.append(np.repeat(np.arange(n) + n_runs, head["n"]))
-                W.append(at - np.repeat(s1, head["n"]))
-                k = head["k"]
-            else:
-                rec = np.frombuffer(v, _GRAM)
-                n, g, h, k = len(rec), rec["g"].copy(), rec["h"].copy(), rec["k"]
-                D.append(rec["d"].copy())
-                RUN.append(np.arange(n) + n_runs)
-                W.append(np.zeros(n, np.int64))
-            G.append(g)
-            H.append(h)
-            RB.append(np.full(n, bid, np.int64))
-            RK.append(k.astype(np.uint32))
-            RKIND.append(np.full(n, kind, np.uint8))
-            n_runs += n
-        g, h, d, run, w = (np.concatenate(x) for x in (G, H, D, RUN, W))
-        del G, H, D, RUN, W
-        o = K.by_key(g, h, d)
-        f = K.firsts(g[o], h[o])
-        grp = np.cumsum(f) - 1
-        if plan.smaller:
-            hit = d[o] > d[o][np.flatnonzero(f)][grp]
-        else:
-            hit = (np.bincount(grp, weights=d[o]) >= 2)[grp]
-        at = o[hit]
-        mask = np.zeros(n_runs, np.uint64)
-        np.bitwise_or.at(mask, run[at], U(1) << w[at].astype(np.uint64))
-        bid, k, kind = (np.concatenate(x) for x in (RB, RK, RKIND))
+    def of_runs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        heads, bytes_, bids = [], [], []
+        for bid, v in rows:
+            (n,) = struct.unpack_from("<I", v)
+            heads.append(np.frombuffer(v, _RUN, n, 4))
+            bytes_.append(np.frombuffer(v, np.uint8, offset=4 + n * _RUN.itemsize))
+            bids.append(np.full(n, bid, np.int64))
+        head, data, bid = np.concatenate(heads), np.concatenate(bytes_), np.concatenate(bids)
+        n = head["n"].astype(np.int64)
+        full = n + plan.window - 1
+        s1 = np.cumsum(full) - full
+        at, run = _windows_of(s1, s1 + n - 1), np.repeat(np.arange(len(n)), n)
+        hit = np.flatnonzero(smallest_elsewhere(data, at, head["d"][run], plan.window))
+        mask = np.zeros(len(n), np.uint64)
+        np.bitwise_or.at(mask, run[hit], U(1) << (at[hit] - s1[run[hit]]).astype(np.uint64))
         keep = np.flatnonzero(mask)
         keep = keep[np.argsort(bid[keep], kind="stable")]
-        out = bid[keep], np.rec.fromarrays([k[keep], kind[keep], mask[keep]], dtype=_REPLY)
-        del g, h, d, run, w, o, f, grp, hit, at, mask, bid, k, kind, keep
-        trim()
-        yield from _answers(*out)
+        yield from _answers(bid[keep], np.rec.fromarrays([head["k"][keep], np.full(len(keep), 1), mask[keep]], dtype=_REPLY))
+
+    def of_names(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if not rows:
+            return
+        recs = [np.frombuffer(v, _GRAM) for _, v in rows]
+        rec, bid = np.concatenate(recs), np.repeat(np.array([b for b, _ in rows], np.int64), [len(x) for x in recs])
+        o = K.by_key(rec["g"], rec["h"], rec["d"])
+        f = K.firsts(rec["g"][o], rec["h"][o])
+        d = rec["d"][o]
+        keep = o[d > d[np.flatnonzero(f)][np.cumsum(f) - 1]]
+        keep = keep[np.argsort(bid[keep], kind="stable")]
+        yield from _answers(bid[keep], np.rec.fromarrays([rec["k"][keep], np.full(len(keep), 2), np.ones(len(keep), np.uint64)], dtype=_REPLY))
 
     return judge
 
@@ -460,27 +518,38 @@ def covered(state: bytes, replies: list, window: int) -> tuple[np.ndarray, np.nd
     return K.union_of(s, e)
 
 
-def find(scratch: Scratch, docs: DataFrame, plan: Plan, text: str, id_col: str,
-         finish: Callable[[Batch, np.ndarray, np.ndarray], pa.Table], schema: T.StructType) -> DataFrame:
-    """Run the five steps; ``finish(batch, lo, hi)`` makes each batch's rows from its covered symbols."""
+def find(scratch: Scratch, docs: DataFrame, window: int, q: int, text: str, id_col: str,
+         finish: Callable[[Batch, np.ndarray, np.ndarray], pa.Table], schema: T.StructType, hot: int = HOT) -> DataFrame:
+    """Run the five steps; ``finish(batch, lo, hi)`` makes each batch's rows from its covered bytes."""
+    if not 16 <= q <= window <= q + 63:
+        raise ValueError("q is 16 at least and the window at most 63 bytes longer")
     size = input_bytes(docs)
-    ranges = parts_for(4 * size, 8 << 20, 1 << 10, 1 << 16)
-    bits = (ranges - 1).bit_length()
-    parts = parts_for(2 * size, 8 << 20, 16, 1 << 16)
-    buckets = parts_for(size, BATCH_BYTES, 48, 50_000)
-    plan = replace(plan, range_bits=bits)
+    ranges = parts_for(size, RANGE_BYTES, 1 << 6, 1 << 31)
+    plan = Plan(window, q, (ranges - 1).bit_length(), hot)
+    parts = parts_for(2 * size, 4 << 20, 8, 100_000)  # a task reads ranges one by one
     batches = docs.mapInArrow(make_batches(text), "batch_id long, side binary, body binary")
-    batches = scratch.bucketed(batches, "batches", "batch_id", buckets)
-    sent = batches.mapInArrow(send_contents(plan, id_col), "rng int, batch_id long, blob binary")
-    answers = sent.repartition(parts, "rng").mapInArrow(judge_contents(plan), "batch_id long, kind int, blob binary")
-    pairs = batches.groupBy("batch_id").cogroup(answers.groupBy("batch_id"))
-    opened = scratch.table(pairs.applyInArrow(open_contents(plan, id_col), "batch_id long, rng int, kind int, blob binary"), "open")
-    del sent, answers, pairs
+    batches = scratch.bucketed(batches, "batches", "batch_id", parts_for(size, 2 << 20, 8, 50_000))
+
+    def meet(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "rng").sortWithinPartitions("rng")
+
+    def by_batch(rows: DataFrame):
+        return batches.groupBy("batch_id").cogroup(rows.groupBy("batch_id"))
+
+    first = scratch.table(meet(batches.mapInArrow(send_buckets(plan, id_col), _MESSAGE_DDL)).mapInArrow(judge_buckets, _MESSAGE_DDL), "buckets")
+    scratch.free_shuffles()
+    runs = meet(by_batch(first).applyInArrow(send_runs(plan, id_col), _MESSAGE_DDL))
+    codes = scratch.table(runs.mapInArrow(judge_runs(plan), _MESSAGE_DDL), "codes")
+    scratch.drop("buckets")
+    del runs
+    scratch.free_shuffles()
+    opened = scratch.table(by_batch(codes).applyInArrow(open_runs(plan, id_col), _MESSAGE_DDL), "open")
+    scratch.drop("codes")
+    replies = meet(opened.filter("kind > 0")).mapInArrow(judge_windows(plan), _MESSAGE_DDL)
+    state = scratch.table(opened.filter("kind = 0").union(replies), "state")
+    scratch.drop("open")
+    del replies
     scratch.free_shuffles()
-    replies = (opened.filter("kind > 0").repartition(parts, "rng")
-               .mapInArrow(judge_windows(plan), "batch_id long, kind int, blob binary"))
-    state = opened.filter("kind = 0").select("batch_id", "kind", "blob").union(replies)
-    width = plan.window
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -489,11 +558,11 @@ def find(scratch: Scratch, docs: DataFrame, plan: Plan, text: str, id_col: str,
         kinds = right["kind"].to_pylist()
         blobs = [x.as_py() for x in right["blob"]]
         state_ = next(x for x, k in zip(blobs, kinds) if k == 0)
-        lo, hi = covered(state_, [x for x, k in zip(blobs, kinds) if k], width)
+        lo, hi = covered(state_, [x for x, k in zip(blobs, kinds) if k], plan.window)
         trim()
         return finish(b, lo, hi).cast(finish_schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     finish_schema = to_arrow_schema(schema)
-    return batches.groupBy("batch_id").cogroup(state.groupBy("batch_id")).applyInArrow(last, schema)
+    return by_batch(state).applyInArrow(last, schema)

@@ -3,13 +3,15 @@
 All suffixes that begin with one q-gram form a bucket; a bucket of one document is finished.
 The others are refined by sorting on bucket identifiers of later offsets: two 16-byte buckets
 name one of 32 bytes, two of those one of 50 (the last step overlaps), and each step reads the
-names of the step before.  Buckets are kept at the smallest q-gram of each 50-byte window
-only; see :mod:`veilspark.llm.windows` for how they are sorted without shuffling texts.
+identifiers of the step before.  Initial buckets are kept at the smallest q-gram of each 50-byte
+window only; see :mod:`bucket_pointers` for how they are sorted without shuffling texts.
 
 Contract: byte strings of ``window`` bytes (UTF-8) that also start in a document with a smaller
-id are removed, overlaps included, judged on the input.  Null texts count as empty, texts under
-``window`` bytes keep everything, a null id counts as larger than every id, rows of one id never
-remove each other's bytes, an empty table gives an empty result.
+id are removed, overlaps included, judged on the input.  Ids are integers.  Null texts count as
+empty, texts under ``window`` bytes keep everything, a null id counts as larger than every id, rows
+of one id never remove each other's bytes, an empty table gives an empty result.  Other columns
+are kept by ``remove``, whatever their names.  Equal runs of windows are told by a 32-bit bucket, its
+range and a 64-bit name; windows of unequal runs are compared by their bytes.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from veilspark.llm import windows as W
+from veilspark.llm import bucket_pointers as W
 from veilspark.llm.common import Scratch
 
 WINDOW, Q = 50, 16
@@ -55,7 +57,7 @@ def _whole_chars(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
     return _kept(data, lo, np.maximum(lo, hi))
 
 
-def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, q: int = Q) -> DataFrame:
+def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, q: int = Q, hot: int = W.HOT) -> DataFrame:
     """One row per document: bytes, bytes removed, maximal removed runs, SHA-256 of what stays."""
     schema = T.StructType([T.StructField(id_col, T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())])
 
@@ -68,10 +70,10 @@ def digests(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window:
         return pa.table({id_col: b.side.column(id_col).cast(pa.int64()), "n_bytes": b.lens, "n_removed": pa.array(n, pa.int64()), "n_spans": pa.array(spans, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text).cast("string").alias(text))
-    return W.find(Scratch(docs.sparkSession, "suffix"), rows, W.Plan(window, q, False, True), text, id_col, finish, schema)
+    return W.find(Scratch(docs.sparkSession, "suffix"), rows, window, q, text, id_col, finish, schema, hot)
 
 
-def remove(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, q: int = Q) -> DataFrame:
+def remove(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window: int = WINDOW, q: int = Q, hot: int = W.HOT) -> DataFrame:
     """The table with its columns, repeated bytes gone from ``text``.
 
     A character is kept whole where a removed run ends inside it, so the column stays valid
@@ -86,4 +88,4 @@ def remove(docs: DataFrame, text: str = "text", id_col: str = "doc_id", window:
 
     if id_col not in others:
         raise ValueError(f"no column {id_col}")
-    return W.find(Scratch(docs.sparkSession, "suffix"), docs, W.Plan(window, q, False, True), text, id_col, finish, schema)
+    return W.find(Scratch(docs.sparkSession, "suffix"), docs, window, q, text, id_col, finish, schema, hot)
