@@ -93,10 +93,27 @@ def test_engine_handles_and_files(spark, tmp_path):
     kept = spark.createDataFrame(rows.collect(), rows.schema)
     assert kept.first().masked_path.endswith("a_masked.txt")
     texts = kept.select("handle", F.col("masked_text").alias("text")).unionByName(spark.createDataFrame([("nope", "x")], "handle string, text string"))
-    got = {r.status: r.restored_text for r in e.demask(texts, kept).collect()}
+    answers, left = e.demask(texts, kept)
+    got = {r.status: r.restored_text for r in answers.collect()}
     assert got == {"ok": "a@b.ru, a@b.ru", "unknown handle": None}
-    late = e.demask(texts, kept, now="2100-01-01 00:00:00").filter("status = 'ok'")
+    assert left.count() == 0 and e.demask(texts, left)[0].filter("status = 'ok'").count() == 0
+    late = e.demask(texts, kept, now="2100-01-01 00:00:00")[0].filter("status = 'ok'")
     assert late.count() == 0
+    twice = texts.filter("handle <> 'nope'").union(kept.select("handle", F.lit("zz")))
+    assert sorted(r.status for r in e.demask(twice, kept)[0].collect()) == ["ok", "unknown handle"]
+
+
+def test_masked_files_live_as_long_as_their_handles(spark, tmp_path):
+    e = Engine(spark, CONFIG)
+    (tmp_path / "in").mkdir()
+    for n in "ab":
+        (tmp_path / "in" / f"{n}.txt").write_text(f"{n}@b.ru", encoding="utf-8")
+    folder = str(tmp_path / "out")
+    kept = e.write_masked_files(folder, str(tmp_path / "in"))
+    assert spark.read.text(folder).count() == 2 and kept.count() == 2
+    one = kept.orderBy("path").limit(1)
+    e.close_masked_files(folder, one.select("handle").union(spark.createDataFrame([("nope",)], "handle string")))
+    assert [r.value for r in spark.read.text(folder).collect()] == [r.masked_text for r in spark.read.parquet(f"{folder}/_handles").orderBy("path").collect()][1:]
 
 
 def test_config_from_session(spark):

@@ -35,6 +35,14 @@ class UnknownHandleError(EngineError, KeyError):
     """A handle that is unknown, used or expired."""
 
 
+class ConnectorError(EngineError):
+    """A language model's service could not be reached or gave no usable answer."""
+
+
+class ConnectorKeyError(ConnectorError):
+    """The service's key is absent or refused."""
+
+
 class MissingDependencyError(EngineError):
     pass
 

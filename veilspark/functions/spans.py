@@ -27,6 +27,11 @@ def make(start: Column, end: Column, text: Column, entity_type, source, confiden
     return F.struct(*[v.alias(k) for k, v in cols.items()])
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(x)`` with x bound as a lambda's variable: however often it is named, it is planned and computed once."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, end - start)
 
@@ -71,7 +76,7 @@ def merge(spans: Column, text: Column, prefer: Prefer) -> Column:
         apart = (F.size(acc) == 0) | (s.start >= last.end)
         return F.when(apart, F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)))
 
-    return F.when(F.size(spans) < 2, spans).otherwise(F.aggregate(in_order(spans), none(), step))
+    return once(spans, lambda all_: F.when(F.size(all_) < 2, all_).otherwise(F.aggregate(in_order(all_), none(), step)))
 
 
 def greater_end(kept: Column, new: Column) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 from datetime import date
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from veilspark.config import EngineConfig, threshold
@@ -31,6 +33,17 @@ def pattern_spans(text: Column, min_confidence: float, today: date, kinds: Seque
     return F.when(text.rlike(P.GUARD), S.merge(every, text, S.by_evidence)).otherwise(S.none())
 
 
+@functools.lru_cache(maxsize=64)
+def _pattern_column(gateway: int, text: str, min_confidence: float, today: date, kinds: tuple[str, ...] | None) -> Column:
+    return F.coalesce(pattern_spans(F.col(text), min_confidence, today, kinds), S.none())
+
+
+def pattern_column(text: str, min_confidence: float, today: date, kinds: Sequence[str] | None = None) -> Column:
+    """Layer 1 of a column, built once for each setting: it takes tens of thousands of calls into the JVM."""
+    gateway = id(SparkContext._gateway)  # columns live as long as their JVM
+    return _pattern_column(gateway, text, min_confidence, today, None if kinds is None else tuple(kinds))
+
+
 def detect(df: DataFrame, text: str = "text", config: EngineConfig | None = None, min_confidence: float | None = None,
            allow: Sequence[str] | None = None, deny: Sequence[str] | None = None, kinds: Sequence[str] | None = None,
            ner=None, morph: Morphology | None = None) -> DataFrame:
@@ -43,7 +56,7 @@ def detect(df: DataFrame, text: str = "text", config: EngineConfig | None = None
     allow = lists.combine(config.allow, allow, "allow_list")
     deny = lists.combine(config.deny, deny, "deny_list")
     t = F.col(text)
-    out = df.withColumn("_p", F.coalesce(pattern_spans(t, least, config.day(), kinds), S.none()))
+    out = df.withColumn("_p", pattern_column(text, least, config.day(), kinds))
     out = ner.add(out, text, "_n")
     if ner.available:
         out = out.withColumn("_c", context.validate(F.col("_p"), F.col("_n"), t, morph))
@@ -53,7 +66,7 @@ def detect(df: DataFrame, text: str = "text", config: EngineConfig | None = None
     if deny:
         final = S.merge(F.concat(final, F.coalesce(lists.deny_spans(t, deny, morph), S.none())), t, S.existing)
     stats = F.create_map(F.lit("pattern"), F.size("_p"), F.lit("natasha"), F.size("_n"), F.lit("context"), F.size("_c"))
-    return out.withColumn("spans", final).withColumn("layer_stats", stats).drop("_p", "_n", "_c")
+    return out.withColumns({"spans": final, "layer_stats": stats}).drop("_p", "_n", "_c")
 
 
 def exploded(detected: DataFrame, *keys: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from veilspark.config import EngineConfig, TextTooLongError
 from veilspark.operators import audit, mask as masking, pages
@@ -38,12 +38,19 @@ class Engine:
         """As ``mask``, with a new handle and its time for each row."""
         return handles.register(self.mask(df, text, deny=deny, min_confidence=min_confidence))
 
-    def demask(self, texts: DataFrame, registered: DataFrame, now=None) -> DataFrame:
-        """(handle, text, restored_text, status) for texts (handle, text); unknown or expired handles are marked."""
+    def demask(self, texts: DataFrame, registered: DataFrame, now=None) -> tuple[DataFrame, DataFrame]:
+        """(answers, handles left): answers are (handle, text, restored_text, status) for texts (handle, text).
+
+        A handle works once.  Unknown, expired and used handles are marked; of several texts with one
+        handle the smallest gets it.  Pass the handles that are left to the next call.
+        """
         alive = registered if now is None else handles.live(registered, now, self.config.ttl_seconds)
-        got = texts.join(alive.select("handle", "mapping", F.lit(True).alias("_ok")), "handle", "left")
-        restored = F.when(F.col("_ok"), masking.restored(F.col("text"), F.col("mapping")))
-        return got.select("handle", "text", restored.alias("restored_text"), F.when(F.col("_ok"), "ok").otherwise("unknown handle").alias("status"))
+        nth = F.row_number().over(Window.partitionBy("handle").orderBy("text"))
+        got = texts.select("handle", "text", nth.alias("_nth")).join(alive.select("handle", "mapping", F.lit(True).alias("_live")), "handle", "left")
+        ok = F.coalesce(F.col("_live") & (F.col("_nth") == 1), F.lit(False))
+        restored = F.when(ok, masking.restored(F.col("text"), F.col("mapping")))
+        answers = got.select("handle", "text", restored.alias("restored_text"), F.when(ok, "ok").otherwise("unknown handle").alias("status"))
+        return answers, alive.join(texts.select("handle").distinct(), "handle", "left_anti")
 
     def process(self, df: DataFrame, text: str = "text", connect=llm_connector.echo, system: str | None = None, **call) -> tuple[DataFrame, DataFrame]:
         """(results, rows over the length limit): detect, mask, ask, restore."""
@@ -69,6 +76,18 @@ class Engine:
         rows = self.mask_with_handle(files.text_files(self.spark, *paths).filter("valid"), **call)
         return rows.withColumn("masked_path", F.concat(F.regexp_replace("path", r"\.[^./]*$", ""), F.lit("_masked.txt")))
 
+    def write_masked_files(self, folder: str, *paths: str, **call) -> DataFrame:
+        """As ``mask_files``; the masked texts lie in ``folder``, one subfolder for each handle, and the table of handles is written beside them."""
+        rows = self.mask_files(*paths, **call).select("handle", "created_at", "path", "masked_path", "masked_text", "mapping")
+        rows.write.mode("append").parquet(f"{folder}/_handles")  # handles are drawn here, once
+        kept = self.spark.read.parquet(f"{folder}/_handles")
+        files.write_masked(kept, folder)
+        return kept.drop("masked_text")
+
+    def close_masked_files(self, folder: str, closed: DataFrame) -> None:
+        """Delete the masked files of handles that were popped, closed or swept; unknown ones are passed over."""
+        files.delete_masked(self.spark, folder, closed)
+
     def detect_pages(self, words: DataFrame, **call) -> DataFrame:
         """(doc, pages): counts by page and type."""
         return pages.page_maps(pages.entity_counts(self.detect(pages.blocks(words), **call)))

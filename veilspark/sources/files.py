@@ -34,7 +34,9 @@ def examples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(WORD_SCHEMA).parquet(path)
+    """Stored word tables; words without an origin are of the text layer."""
+    df = spark.read.schema(f"{WORD_SCHEMA}, origin string").parquet(path)
+    return df.withColumn("origin", F.coalesce("origin", F.lit("text")))
 
 
 def write_masked(df: DataFrame, folder: str, handle: str = "handle", text: str = "masked_text") -> None:
@@ -42,6 +44,16 @@ def write_masked(df: DataFrame, folder: str, handle: str = "handle", text: str =
     df.select(handle, text).write.partitionBy(handle).mode("append").text(folder)
 
 
+def delete_masked(spark: SparkSession, folder: str, handles: DataFrame, handle: str = "handle") -> int:
+    """Delete the folders of these handles; returns how many were there.  One call for each handle, on the driver."""
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    for r in handles.select(handle).distinct().toLocalIterator():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{handle}={r[0]}")
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
+
+
 def write_misses(misses: DataFrame, folder: str) -> None:
     """Missed entities (no text) as JSON lines."""
     misses.select("id", "type", "start", "end").write.mode("overwrite").json(folder)
