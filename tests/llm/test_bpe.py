@@ -45,3 +45,33 @@ def test_table(docs, no_docs, doc_rows):
     for r in got:
         assert r.decoded == (r.text or "") and r.n_tokens == len(LIB.encode(r.text or "", add_special_tokens=False).ids)
     assert bpe.digests(no_docs).count() == 0
+
+
+def test_digests_are_those_of_the_library(docs, doc_rows):
+    import hashlib
+
+    want = []
+    for i, t, _ in doc_rows:
+        x = LIB.encode(t or "", add_special_tokens=False).ids
+        back = LIB.decode(x, skip_special_tokens=False)
+        want.append((i, len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    got = [tuple(r) for r in bpe.digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_long_words_are_not_kept():
+    c = bpe.Codec(PATH)
+    words = [f"{i}" + "é" * 400 for i in range(50)] + ["short"]
+    for _ in range(3):
+        got = list(c.encode([" ".join(words)]))
+    assert np.frombuffer(got[0], "<u4").tolist() == LIB.encode(" ".join(words), add_special_tokens=False).ids
+    assert all(len(w) <= bpe.WORD_CHARS for w in [*c.new, *c.used])
+
+
+def test_clashing_columns_and_a_very_long_text(spark):
+    text = "der lange Text " * 60_000 + "x" * 100_000
+    df = spark.createDataFrame([(None, text, "a", "b")], "doc_id long, text string, ids string, node string")
+    out = bpe.encode(df)
+    assert out.columns == ["doc_id", "text", "node", "n_tokens", "ids"]
+    r = bpe.decode(out).first()
+    assert r.decoded == text and r.node == "b"

@@ -98,3 +98,79 @@ def test_unclosed_html_tags_end_soon(spark):
     pages = spark.createDataFrame([("http://a.de/x", "<html " * 150_000 + '<html lang="de">'), ("x", None)], "url string, html string")
     got = langid.page_rows(pages, "url", "html", [F.lit(1).alias("k")]).select("_markup", "_suffix", "_host").collect()
     assert sorted(map(tuple, got), key=str) == [("de", "de", "a.de"), (None, None, "")]
+
+
+def plain_fusion(rows, model, least=langid.LEAST, kappa=langid.KAPPA):
+    """(lang, confidence, rejected) of rows (text, is a page, markup, suffix, host, domain)."""
+    import math
+
+    import pyarrow as pa
+
+    k, langs = len(model.langs), model.langs
+    ll, n = model.scores(pa.array([langid.visible(t) if page and t else t for t, page, *_ in rows], pa.large_string()))
+    ll = [list(map(float, x)) for x in ll]
+
+    def soft(x):
+        e = [math.exp(v - max(x)) for v in x]
+        return [v / sum(e) for v in e]
+
+    def added(table, key, x):
+        table[key] = [a + b for a, b in zip(table.get(key, [0.0] * k), x)]
+
+    total, hosts, domains, said = [0.0] * k, {}, {}, ({}, {})
+    for x, m, (_, _, markup, suffix, host, domain) in zip(ll, n, rows):
+        post = soft(x) if m else [0.0] * k
+        total = [a + b for a, b in zip(total, post)]
+        if m:
+            added(hosts, (host or "", domain or ""), post)
+            added(domains, domain or "", post)
+        for table, value in zip(said, (markup, suffix)):
+            if value is not None:
+                added(table, value if value in langs else "", post)
+    prior = [(x + 1) / (sum(total) + k) for x in total]
+    out = []
+    for x, m, (_, _, markup, suffix, host, domain) in zip(ll, n, rows):
+        score = list(x)
+        if (host or "", domain or "") in hosts:
+            s, d = hosts[host or "", domain or ""], domains[domain or ""]
+            up = [(a + kappa * p) / (sum(d) + kappa) for a, p in zip(d, prior)]
+            score = [a + math.log((b + kappa * u) / (sum(s) + kappa)) for a, b, u in zip(score, s, up)]
+        else:
+            score = [a + math.log(p) for a, p in zip(score, prior)]
+        for table, value in zip(said, (markup, suffix)):
+            if value is not None:
+                of = [sum(v[i] for v in table.values()) for i in range(k)]
+                got = table[value if value in langs else ""]
+                score = [a + math.log((g + (2.0 if value == lang else 0.1)) / (o + 2.0 + 0.1 * k)) for a, g, o, lang in zip(score, got, of, langs)]
+        post = soft(score)
+        blind = not m and markup is None and suffix is None
+        out.append(("und", 0.0, True) if blind else (langs[post.index(max(post))], max(post), max(post) < least))
+    return out
+
+
+def test_posterior_against_plain_python(spark, docs5):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = [(i, f"http://{'ab'[i % 2]}.site{i % 3}.{rng.choice(['de', 'org', 'fr'])}/{rng.choice(['fr', 'xx', 'page'])}/{i}", f'<html lang="{rng.choice(["de", "fr", "zz"])}"><p>{text(rng, rng.choice(list(SYL)), i % 4)}</p></html>') for i in range(60)]
+    pages = spark.createDataFrame(rows + [(100, None, None), (101, "http://q.org/", "<b>12</b>")], "page_id long, url string, html string")
+    docs = docs5.drop("truth").filter("doc_id is not null")
+    got = langid.identify(docs, pages).collect()
+    keep = [F.lit("x").alias("k"), F.col("doc_id").alias("i")]
+    parts = langid.document_rows(docs, "text", "source", keep).unionByName(langid.page_rows(pages, "url", "html", [F.lit("y").alias("k"), F.col("page_id").alias("i")]))
+    parts = parts.collect()
+    want = plain_fusion([(r._text, r._html, r._markup, r._suffix, r._host, r._domain) for r in parts], langid.train(docs))
+    by = {(r.k, r.i): w for r, w in zip(parts, want)}
+    assert len(got) == len(by) and len({w[0] for w in want}) == 4
+    for r in got:
+        lang, sure, rejected = by["x" if r.kind == "document" else "y", r.doc_id if r.kind == "document" else r.page_id]
+        assert (r.lang, r.rejected) == (lang, rejected) and abs(r.confidence - sure) < 1e-5
+
+
+def test_repeated_and_long_texts(spark):
+    rows = [(i, "the thing and the other thing", "en", "s") for i in range(400)] + [(1000 + i, "eau oi tion ment qui les " * (1 + i % 3), "fr", "s") for i in range(5)]
+    rows.append((2000, "der keit ung " * 100_000, None, "t"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = langid.train(docs, max_docs=20, rare=4)
+    assert set(model.langs) == {"en", "fr"}
+    assert len(langid.identify(docs).collect()) == len(rows)

@@ -20,7 +20,8 @@ def test_query(spark, name):
     assert len(rows) == n + (spark.read.parquet(f"{DATA}/pages.parquet").count() if name.startswith("op5") else 0)
     if name in oracles.ORACLES:
         con = duckdb.connect()
-        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+        for t in ("documents", "embeddings", "pages"):
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
         rel = con.sql(oracles.ORACLES[name])
         cols = sorted(df.columns)
         at = [rel.columns.index(c) for c in cols]

@@ -55,3 +55,38 @@ def test_damaged_member_is_reported_alone(spark, docs, doc_rows):
 
 def test_empty(no_docs):
     assert media.digests(no_docs).count() == 0
+
+
+def plain_feature(payload):
+    import math
+
+    n, rows = len(payload), len(payload) // 64
+    mean = sum(payload) / n
+    spread = math.sqrt(max(0.0, sum(x * x for x in payload) / n - mean * mean))
+    entropy = -sum(c / n * math.log2(c / n) for c in (payload.count(v) for v in set(payload)))
+    cells = []
+    for i in range(8):
+        lo = i * rows // 8
+        hi = max((i + 1) * rows // 8, lo + 1)
+        for j in range(8):
+            x = [payload[64 * r + 8 * j + k] for r in range(lo, hi) for k in range(8)]
+            cells.append(sum(x) / len(x))
+    middle = sum(cells) / 64
+    return mean, spread, entropy, [c > middle + 1e-9 for c in cells]
+
+
+@pytest.mark.parametrize("n", [0, 5, 64, 65, 640, 5000])
+def test_feature(n):
+    payload = media.pad(bytes((i * i * 31 + i // 64 * 7) % 251 for i in range(n)))
+    got = dict(x.split("=") for x in media.feature(payload).split(";"))
+    *numbers, bits = plain_feature(payload)
+    for k, want in zip(("mean", "spread", "entropy"), numbers):
+        assert abs(float(got[k]) - want) < 2e-4
+    assert [b == "1" for b in f"{int(got['ahash'], 16):064b}"] == bits
+
+
+def test_a_very_long_text_and_clashing_columns(spark):
+    text = "naïve " * 200_000
+    df = spark.createDataFrame([(4, text, "x"), (None, None, "y")], "doc_id long, text string, member string")
+    got = {r.doc_id: r for r in media.digests(df).collect()}
+    assert got[4].n_bytes == len(text.encode()) and got[None].payload_bytes == 64

@@ -5,11 +5,14 @@ with the one before it the path of their common prefix.  Every trie node keeps o
 last token of its prefix's encoding; a child's last token is the longest token that ends there
 and stays apart from the last token of what precedes it (exactly one does), so prefixes are
 encoded once and a word's tokens are read by walking back.  Words met before are kept in
-bounded caches of the Python worker: new words, and words that a second block has used.
+caches of the Python worker, new words and words that a second block has used; both are bounded in
+number, and words over ``WORD_CHARS`` letters are never kept.
 
 Contract: ids equal those of the tokenizers library (byte-level BPE, no special tokens added,
 added tokens found in the text become their id); decoding joins the tokens' bytes and reads
-them as UTF-8.  A null text counts as empty and gives no tokens.
+them as UTF-8.  A null text counts as empty and gives no tokens; ids may be null or repeat, rows are
+never merged; an empty table gives an empty result.  ``encode`` keeps all columns but those named as
+its new ones, ``digests`` only the id.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from veilspark.llm.common import ship_package
 
-NEW_WORDS, USED_WORDS, PAIRS = 100_000, 250_000, 200_000
+NEW_WORDS, USED_WORDS, PAIRS, WORD_CHARS = 100_000, 250_000, 200_000, 48
 BLOCK_CHARS = 1 << 20
 #: Fixed value: the byte-level pre-tokenizer's pattern, white space as Unicode's property.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -192,7 +195,7 @@ class Codec:
         if len(self.new) + len(fresh) > NEW_WORDS:
             self.new.clear()
         self.used |= again
-        self.new |= fresh
+        self.new |= {w: x for w, x in fresh.items() if len(w) <= WORD_CHARS}
         get = (known | again | fresh).__getitem__
         return [b"".join(self.raw[self.added[x]] if isinstance(x, str) else b"".join(map(get, x)) for x in ws) for ws in words]
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from veilspark.llm import kernels as K
 from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for, trim
 
-BATCH_BYTES, RANGE_BYTES = 4 << 20, 1 << 20
+BATCH_BYTES, RANGE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20, 1 << 18
 HOT = 256
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
@@ -179,6 +179,7 @@ def send_buckets(plan: Plan, id_col: str):
 
 def judge_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bits for the buckets sent: other documents have it, too."""
+    fresh_worker()
     for _, rows in _by_range(it):
         heads = [struct.unpack_from(_HEAD, v) for _, _, v in rows]
         A, M, D = [], [], []
@@ -200,7 +201,8 @@ def judge_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out.append((bid, 0, 0, struct.pack("<II", n, start) + np.packbits(hit[at : at + n]).tobytes()))
             at += n
         yield from _table(out).to_batches()
-    trim()
+        del rows, A, M, D, a, more, d, o, cut, open_, hit, out
+        trim()
 
 
 def send_runs(plan: Plan, id_col: str):
@@ -235,9 +237,11 @@ def judge_runs(plan: Plan):
     """Which refined buckets have a smaller id elsewhere, which share their bucket with others."""
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for _, rows in _by_range(it):
             yield from one(rows)
-        trim()
+            del rows
+            trim()
 
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         A, R, D, I, B = [], [], [], [], []
@@ -290,7 +294,7 @@ def _answers(bid: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- step 4: open contents
 
-_RUN = np.dtype([("k", "<u4"), ("d", "<i8"), ("n", "<u2")])
+_RUN = np.dtype([("k", "<u4"), ("a", "<u4"), ("d", "<i8"), ("n", "<u2")])
 _GRAM = np.dtype([("k", "<u4"), ("g", "<u8"), ("h", "<u8"), ("d", "<i8")])
 
 
@@ -328,6 +332,7 @@ def open_runs(plan: Plan, id_col: str):
             x = sent[s:e]
             head = np.zeros(len(x), _RUN)
             head["k"], head["n"], head["d"] = b.key_of[x], b.s2[x] - b.s1[x] + 1, b.kd[b.key_of[x]]
+            head["a"] = b.ka[b.key_of[x]].astype(np.uint32)
             data = b.buf[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
             rows.append((bid, rng, 1, struct.pack("<I", len(x)) + head.tobytes() + data))
         w = np.flatnonzero(wide)
@@ -385,7 +390,7 @@ def _sorted_ids(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Identifiers of buckets of equal (a, b), both below 2**32, in sorted order."""
     key = a.astype(np.uint64) << U(32) | b.astype(np.uint64)
     o = np.argsort(key)
-    out = np.empty(len(o), np.int64)
+    out = np.empty(len(o), np.uint32)
     out[o] = np.cumsum(K.firsts(key[o])) - 1
     return out
 
@@ -407,7 +412,7 @@ def smallest_elsewhere(data: np.ndarray, at: np.ndarray, d: np.ndarray, window:
     for s in sizes[-2::-1]:
         offsets.append({o + z for o in offsets[-1] for z in (0, s)})
     live = np.arange(len(at))
-    rank = np.zeros(len(data) + 1, np.int64)
+    rank = np.zeros(len(data) + 1, np.uint32)
     for s, offs in zip(sizes, reversed(offsets)):
         here = np.zeros(len(data) + 1, bool)
         for o in offs:
@@ -415,11 +420,12 @@ def smallest_elsewhere(data: np.ndarray, at: np.ndarray, d: np.ndarray, window:
         p = np.flatnonzero(here)
         if s == 8:
             o = np.argsort(x[p])
-            ids = np.empty(len(p), np.int64)
+            ids = np.empty(len(p), np.uint32)
             ids[o] = np.cumsum(K.firsts(x[p][o])) - 1 if len(p) else 0
+            del x, o
         else:
             ids = _sorted_ids(rank[p], rank[p + s // 2])
-        rank = np.zeros(len(data) + 1, np.int64)
+        rank = np.zeros(len(data) + 1, np.uint32)
         rank[p] = ids
         live = live[_shared(rank[at[live]], d[live])[0]]
         if not len(live):
@@ -446,10 +452,12 @@ def judge_windows(plan: Plan):
     """Windows of open runs by refinement of their bytes; those of spread buckets by their names."""
 
     def judge(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh_worker()
         for _, rows in _by_range(it):
             yield from of_runs([(bid, v) for bid, kind, v in rows if kind == 1])
             yield from of_names([(bid, v) for bid, kind, v in rows if kind == 2])
-        trim()
+            del rows
+            trim()
 
     def of_runs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
@@ -464,10 +472,19 @@ def judge_windows(plan: Plan):
         n = head["n"].astype(np.int64)
         full = n + plan.window - 1
         s1 = np.cumsum(full) - full
-        at, run = _windows_of(s1, s1 + n - 1), np.repeat(np.arange(len(n)), n)
-        hit = np.flatnonzero(smallest_elsewhere(data, at, head["d"][run], plan.window))
+        order = np.argsort(head["a"], kind="stable")  # windows of different buckets differ: some buckets at a time
+        cut = np.flatnonzero(K.firsts(head["a"][order]))
+        size = np.r_[0, np.cumsum(full[order])]
         mask = np.zeros(len(n), np.uint64)
-        np.bitwise_or.at(mask, run[hit], U(1) << (at[hit] - s1[run[hit]]).astype(np.uint64))
+        i = 0
+        while i < len(cut):
+            j = max(i + 1, int(np.searchsorted(size[cut], size[cut[i]] + CHUNK_BYTES, side="right")) - 1)
+            x = order[cut[i] : cut[j] if j < len(cut) else len(order)]
+            own = np.cumsum(full[x]) - full[x]
+            at, run = _windows_of(own, own + n[x] - 1), np.repeat(np.arange(len(x)), n[x])
+            hit = np.flatnonzero(smallest_elsewhere(data[_windows_of(s1[x], s1[x] + full[x] - 1)], at, head["d"][x][run], plan.window))
+            np.bitwise_or.at(mask, x[run[hit]], U(1) << (at[hit] - own[run[hit]]).astype(np.uint64))
+            i = j
         keep = np.flatnonzero(mask)
         keep = keep[np.argsort(bid[keep], kind="stable")]
         yield from _answers(bid[keep], np.rec.fromarrays([head["k"][keep], np.full(len(keep), 1), mask[keep]], dtype=_REPLY))

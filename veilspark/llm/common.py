@@ -69,6 +69,12 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in any file system that Spark knows."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def fresh_worker(keep: str = "") -> None:
     """At the start of a task: give back what other operators have cached in this Python worker."""
     bpe = sys.modules.get("veilspark.llm.bpe")

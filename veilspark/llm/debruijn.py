@@ -254,6 +254,7 @@ def _answers(r: int, ids: list[int], sizes: list[int], hit: np.ndarray) -> Itera
 
 def judge_edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bit for each edge sent: another batch has it, too."""
+    fresh_worker()
     for r, ids, blobs in _by_range(it):
         keys = np.concatenate([np.frombuffer(x, np.uint32) for x in blobs])
         s = np.sort(keys)
@@ -262,11 +263,13 @@ def judge_edges(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             twice = twice[firsts(twice)]
             hit = twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys
             yield from _answers(r, ids, [len(x) // 4 for x in blobs], hit)
-    trim()
+        del keys, s, twice, blobs
+        trim()
 
 
 def judge_nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One bit for each node sent: it is a stop."""
+    fresh_worker()
     for r, ids, blobs in _by_range(it):
         rows = np.concatenate([np.frombuffer(x, _NODE) for x in blobs])
         order, cut = _groups(rows["key"])
@@ -274,7 +277,8 @@ def judge_nodes(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.empty(len(rows), bool)
         hit[order] = np.repeat(branch, np.diff(np.r_[cut, len(rows)]))
         yield from _answers(r, ids, [len(x) // _NODE.itemsize for x in blobs], hit)
-    trim()
+        del rows, order, cut, branch, hit, blobs
+        trim()
 
 
 def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

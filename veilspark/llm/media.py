@@ -11,7 +11,7 @@ bytes through Arrow.
 
 Contract: a null text counts as empty; payloads are padded with zero bytes to a positive multiple
 of 64; equal texts give equal media and features; ids may be null or repeat; an empty table gives
-an empty result.
+an empty result.  Ids are integers; other columns play no part.
 """
 
 from __future__ import annotations

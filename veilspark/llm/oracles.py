@@ -40,4 +40,50 @@ SELECT doc_id, source, b AS block_no, (nth % 64)::BIGINT AS block_seq, (b * len
 FROM placed p JOIN slots s ON s.key = p.key AND s.i = p.b % p.n
 """
 
-ORACLES: dict[str, str] = {"op9_pfair_mixing": _MIXING}
+_SUBSTRING = r"""
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT r, p, array_to_string(ws[p : p + 34], ' ') AS k FROM base, range(1, len(ws) - 33) AS t(p)),
+twice AS (SELECT k FROM win GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM win JOIN twice USING (k)),
+runs AS (SELECT r, p, sum(CASE WHEN gap <= 35 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run FROM starts),
+spans AS (SELECT r, run, min(p) AS lo, max(p) + 35 AS hi FROM runs GROUP BY r, run),
+cuts AS (SELECT r, lo AS upto, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 1) AS since FROM spans
+         UNION ALL SELECT b.r, len(ws) + 1, coalesce(max(hi), 1) FROM base b LEFT JOIN spans s ON s.r = b.r GROUP BY b.r, len(ws)),
+kept AS (SELECT c.r, string_agg(array_to_string(ws[since : upto - 1], ' '), ' ' ORDER BY since) FILTER (WHERE upto > since) AS txt,
+                sum(upto - since) AS n FROM cuts c JOIN base b USING (r) GROUP BY c.r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - n)::BIGINT AS n_removed, sha256(coalesce(txt, '')) AS kept_sha256 FROM base JOIN kept USING (r)
+"""
+
+_SUFFIX = """
+WITH base AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS d, hex(encode(coalesce(text, ''))) AS h,
+         octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT r, d, p, substring(h, 2 * p + 1, 100) AS k FROM base, range(0, n - 49) AS t(p)),
+least AS (SELECT k, min(d) AS m FROM win GROUP BY k HAVING min(d) < max(d)),
+starts AS (SELECT r, p, p - lag(p) OVER (PARTITION BY r ORDER BY p) AS gap FROM win JOIN least USING (k) WHERE d > m),
+runs AS (SELECT r, p, sum(CASE WHEN gap <= 50 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY p) AS run FROM starts),
+spans AS (SELECT r, run, min(p) AS lo, max(p) + 50 AS hi FROM runs GROUP BY r, run),
+cuts AS (SELECT r, lo AS upto, coalesce(lag(hi) OVER (PARTITION BY r ORDER BY lo), 0) AS since FROM spans
+         UNION ALL SELECT b.r, n, coalesce(max(hi), 0) FROM base b LEFT JOIN spans s ON s.r = b.r GROUP BY b.r, n),
+kept AS (SELECT c.r, string_agg(substring(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since) AS txt,
+                sum(upto - since) AS n_kept, count(*) - 1 AS n_spans FROM cuts c JOIN base b USING (r) GROUP BY c.r)
+SELECT doc_id, n::BIGINT AS n_bytes, (n - n_kept)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans, sha256(unhex(coalesce(txt, ''))) AS kept_sha256
+FROM base JOIN kept USING (r)
+"""
+
+_FOREST = """
+WITH RECURSIVE vecs AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+fine AS (SELECT * FROM vecs WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+         AND len(list_filter(e, lambda x: x <> 0)) > 0),
+edges AS (SELECT a.vec_id AS a, b.vec_id AS b FROM fine a JOIN fine b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+least AS (SELECT a, min(b) AS m FROM reach GROUP BY a),
+degree AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(m, vec_id))::BIGINT AS component_id,
+       vec_id <= coalesce(m, vec_id) AS kept
+FROM vecs LEFT JOIN least ON least.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+"""
+
+ORACLES: dict[str, str] = {"op2_substring_dedup": _SUBSTRING, "op6_embedding_forest": _FOREST, "op7_suffix_array_dedup": _SUFFIX, "op9_pfair_mixing": _MIXING}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,11 +19,12 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digests(_read(spark, sf_dir, "documents"))
+    return substring_dedup.digests(_read(spark, sf_dir, "documents")).drop("n_paths")
 
 
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.assign(_read(spark, sf_dir, "documents"))
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]  # each corpus has a map of its own
+    return sharding.assign(_read(spark, sf_dir, "documents"), store=sharding.store_of(spark, name))
 
 
 def op4_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,13 +4,14 @@ All of it is DataFrame functions.  Trees are grown by histograms: features fall
 each level of a tree is one grouped sum of gradients by (node, feature, bin), whose size is
 fixed, and the finished trees are a column expression that scores every URL in the scan's own
 stage.  Labelled URLs are those whose last number is an id of ``labels``; training reads at most
-``max_labels`` of them, those with the smallest hash.
+``max_labels`` of them, those with the smallest hash (rows that tie are equal).
 
 Rules: ``host/path``; a rule fits its host and all subdomains if the URL's path starts with the
 rule's path; the longest rule wins.
 
 Contract: a null URL or one without ``://`` has an empty host and path and goes to the trees;
 without labelled URLs every score is the prior 0 (allow); an empty table gives an empty result.
+Ids may be null or repeat; columns of the input stay, but for those named as the new ones.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def _grown(tree, splits: dict[int, tuple], at: int = 1):
 
 def train(scratch: Scratch, labelled: DataFrame, rounds: int = ROUNDS, depth: int = DEPTH, rate: float = RATE, max_labels: int = MAX_LABELS) -> Model:
     """Fit on rows with ``features`` and ``y`` (1 allow, 0 block), ``max_labels`` of them at most."""
-    some = labelled.orderBy(F.xxhash64("url"), "url").limit(max_labels)
+    some = labelled.orderBy(F.xxhash64("url"), "url", "y").limit(max_labels)
     some = scratch.table(some.select("suffix", "y", *[k for k in BINS if k != "suffix_rate"]), "labelled")
     by = {r.suffix: (r.n, r.s) for r in some.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("y").alias("s")).collect()}
     n = sum(x[0] for x in by.values())
