@@ -108,7 +108,7 @@ class Batch:
         """Runs, and the distinct (bucket, name) of them; a bucket with too many names has one, 0."""
         p = self.plan
         self.doc, self.s1, self.s2, a, r = K.runs(self.buf, self.at, p.window, p.q)
-        a = a >> U(32 - p.bits)  # the range and 32 bits are what is sent
+        a = K.mix(a, 3) >> U(32 - p.bits)  # smallest hashes are small: spread them; the range and 32 bits are what is sent
         r = r | U(1)
         d = self.ids[self.doc]
         o = K.by_key(a, r, d)
