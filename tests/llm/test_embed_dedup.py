@@ -52,3 +52,59 @@ def test_empty(spark):
     assert embed_dedup.classes(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
     only = spark.createDataFrame([(1, None, 2)], "vec_id long, embedding array<float>, label int")
     assert list(map(tuple, embed_dedup.classes(only).collect())) == [(1, 0, 1, True)]
+
+
+def planted_recall(n, dim, leaf, cone, seed=0):
+    """(depth, trees, share of planted pairs at 0.93 to 0.95 that share a leaf) of one label."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dim)) + cone
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    a = x[: n // 2]
+    side = rng.standard_normal(a.shape)
+    side -= (side * a).sum(axis=1, keepdims=True) * a
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    c = rng.uniform(0.93, 0.95, (len(a), 1))
+    y = c * a + np.sqrt(1 - c * c) * side
+    depth = embed_dedup.depth_of(n, leaf)
+    sample = np.r_[x, y][rng.permutation(n + len(a))[: max(8192, 64 << depth)]]
+    trees = embed_dedup.trees_for(depth, sample, 0.93)
+    found = np.zeros(len(a), bool)
+    for t in trees:
+        (p, q), (r, s) = t.leaves(a), t.leaves(y)
+        found |= (p == r) | (p == s) | (q == r) | (q == s)
+    return depth, len(trees), found.mean()
+
+
+@pytest.mark.parametrize("n,dim,leaf,cone,depth", [(16_384, 64, 128, 0.0, 7), (16_384, 16, 128, 0.0, 7), (16_384, 64, 128, 2.0, 7), (16_384, 32, 4, 0.0, 12)])
+def test_recall_of_deep_trees(n, dim, leaf, cone, depth):
+    got = planted_recall(n, dim, leaf, cone)
+    print(n, dim, leaf, cone, got)
+    assert got[0] == depth and got[2] > 0.99
+
+
+def test_nodes_have_directions_of_their_own():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4000, 24))
+    t = embed_dedup.Tree(3, 5, x)
+    a, b = t.leaves(x)
+    sizes = np.bincount(a, minlength=32)
+    assert sizes.min() >= 4000 // 32 - 1 and sizes.max() <= 4000 // 32 + 1
+    assert (a != b).all()
+    one = np.ones(len(x), np.int64)
+    assert abs(np.corrcoef(t._project(x, 2 * one), t._project(x, 3 * one))[0, 1]) < 0.9
+
+
+def test_queries_tables_build_trees(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("test tables are absent")
+    rng = np.random.default_rng(5)
+    rows = [(r.vec_id, [float(x) for x in r.embedding], r.label) for r in spark.read.parquet(path).collect()]
+    near = [(10_000 + i, (np.array(v) + rng.standard_normal(len(v)) * np.std(v) * rng.choice([0.2, 0.3, 0.36])).tolist(), label) for i, v, label in rows]
+    df = spark.createDataFrame(rows + near, "vec_id long, embedding array<double>, label int")
+    whole = sorted(map(tuple, embed_dedup.classes(df, leaf=10_000).collect()))
+    split = sorted(map(tuple, embed_dedup.classes(df, leaf=8).collect()))
+    there, found = sum(r[1] for r in whole), sum(r[1] for r in split)
+    assert there > 300 and 0.99 * there <= found <= there

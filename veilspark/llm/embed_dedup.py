@@ -1,20 +1,26 @@
 """Embedding near-dedup with a forest of random-projection trees.
 
-Every tree splits by random directions at medians of a bounded sample, down to leaves of about
-``LEAF`` vectors of the largest label.  Splits overlap: a vector also goes to the leaf on the
-other side of its closest split.  Pairs are compared within leaves of one label, in double
-precision; a pair is counted in the first tree whose leaf it shares, so that no list of pairs
-is shuffled or made distinct.  A leaf over ``cap`` vectors is cut into blocks, and each pair of
-blocks is a group of its own.  Links are unioned by connected components.
+Every node of every tree has a random direction of its own and splits at the median of a bounded
+sample's vectors that reach it, down to leaves of about ``LEAF`` vectors of the largest label.
+Splits overlap: a vector also goes to the leaf it reaches if its closest split is taken the other
+way.  Pairs are compared within leaves of one label, in double precision; a pair is counted in
+the first tree whose leaf it shares, so that no list of pairs is shuffled or made distinct.  A leaf
+over ``cap`` vectors is cut into blocks, and each pair of blocks is a group of its own.  Links are
+unioned by connected components.
 
 Equal vectors are one node with a weight, so a vector that a third of all rows hold is compared
-once.  The number of trees follows from the depth, for an expected recall above 0.99 at cosine
-0.93; tests measure it against brute force.
+once.  The number of trees is measured, not assumed: sampled vectors get a partner at the
+threshold in a random direction, ``TRIALS`` trees show how often both share a leaf, and there
+are as many trees as it takes for all but ``MISSED`` of such pairs.  It has no upper bound.
+
+Trees stop where ``THIN`` sampled vectors a node are left; the sample grows with the leaves up to
+``SAMPLE_MOST`` vectors, that is ``SAMPLE_MOST / THIN`` leaves and 8 bytes of each to a task and
+tree.  Beyond that leaves grow with the input and are compared in blocks.
 
 Contract: vectors are compared only when their labels are equal and not null.  Null, zero or
 non-finite vectors and vectors of different lengths link with nothing; rows with a null id are
 counted as links of others, and their own component is the smallest id they reach or null; an
-empty table gives an empty result.
+empty table gives an empty result.  Other columns play no part.
 """
 
 from __future__ import annotations
@@ -24,58 +30,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from veilspark.llm.common import Scratch
 from veilspark.llm.graph import components
+from veilspark.llm.kernels import mix
 
-COSINE, LEAF, CAP, SAMPLE = 0.93, 256, 4096, 8192
+COSINE, LEAF, CAP, SAMPLE, SAMPLE_MOST, THIN, TRIALS, MISSED = 0.93, 128, 4096, 8192, 1 << 17, 16, 16, 0.001
 
 
-def forest_shape(largest: int, leaf: int = LEAF) -> tuple[int, int]:
-    """(depth, trees): leaves of about ``leaf`` rows, trees for a recall above 0.99."""
-    depth = max(0, math.ceil(math.log2(max(1, largest / leaf))))
-    missed = 1 - min(0.95, 0.88**depth * (1 + 0.5 * depth * 0.12 / 0.88))
-    return depth, max(1, min(60, math.ceil(math.log(0.002) / math.log(missed)))) if depth else 1
+def depth_of(largest: int, leaf: int = LEAF) -> int:
+    """Levels down to leaves of about ``leaf`` vectors, as far as a sample of ``SAMPLE_MOST`` goes."""
+    return min(max(0, math.ceil(math.log2(max(1, largest / leaf)))), int(math.log2(SAMPLE_MOST / THIN)))
 
 
 class Tree:
-    """Directions drawn from (tree, level), thresholds at medians of the sample."""
+    """Directions drawn from (tree, node), thresholds at medians of the sample; node n has 2n and 2n + 1."""
 
     def __init__(self, number: int, depth: int, sample: np.ndarray):
-        dim = sample.shape[1]
-        rng = np.random.Generator(np.random.PCG64([number, 7]))
-        self.depth = depth
-        self.dirs = rng.standard_normal((depth, dim)) / math.sqrt(dim)
-        self.cuts = [np.zeros(1 << d) for d in range(depth)]
-        node = np.zeros(len(sample), np.int64)
-        for d in range(depth):
-            x = sample @ self.dirs[d]
-            whole = float(np.median(x)) if len(x) else 0.0
-            for n in range(1 << d):
-                on = x[node == n]
-                self.cuts[d][n] = np.median(on) if len(on) else whole
-            node = node * 2 + (x > self.cuts[d][node])
+        self.number, self.depth = number, depth
+        self.cuts = np.zeros(1 << depth)
+        node = np.ones(len(sample), np.int64)
+        for _ in range(depth):
+            x = self._project(sample, node)
+            here, low, high = _medians(node, x)
+            self.cuts[here] = (low + high) / 2
+            node = node * 2 + (x > self.cuts[node])
+
+    def _project(self, vecs: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Each vector along its node's direction: sums of four uniform numbers a component."""
+        here, at = np.unique(node, return_inverse=True)
+        seed = mix(here.astype(np.uint64) + (np.uint64(self.number) << np.uint64(40)), 11)
+        bits = mix(seed[:, None] + mix(np.arange(vecs.shape[1], dtype=np.uint64), 12)[None, :], 13)
+        way = bits.view(np.uint16).reshape(len(here), -1, 4).sum(axis=2, dtype=np.int64) - 2 * 65535.0
+        way /= np.sqrt((way * way).sum(axis=1, keepdims=True))
+        return np.einsum("ij,ij->i", vecs, way[at])
 
     def leaves(self, vecs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each vector's leaf, and the leaf beyond its closest split (-1 without splits)."""
-        x = vecs @ self.dirs.T
-        rows = np.arange(len(vecs))
-        node = np.zeros(len(vecs), np.int64)
-        margin = np.empty((len(vecs), self.depth))
-        for d in range(self.depth):
-            gap = x[:, d] - self.cuts[d][node]
-            margin[:, d] = np.abs(gap)
-            node = node * 2 + (gap > 0)
         if not self.depth:
-            return node, np.full(len(vecs), -1)
-        flip = margin.argmin(axis=1)
-        other = np.zeros(len(vecs), np.int64)
-        for d in range(self.depth):
-            right = x[:, d] > self.cuts[d][other]
-            right = np.where(flip == d, ~right, right)
-            other = other * 2 + right
-        return node, other
+            return np.zeros(len(vecs), np.int64), np.full(len(vecs), -1)
+        flip, closest = np.zeros(len(vecs), np.int64), np.full(len(vecs), np.inf)
+        found = []
+        for again in (False, True):
+            node = np.ones(len(vecs), np.int64)
+            for d in range(self.depth):
+                gap = self._project(vecs, node) - self.cuts[node]
+                if again:
+                    right = (gap > 0) != (flip == d)
+                else:
+                    right, nearer = gap > 0, np.abs(gap) < closest
+                    flip[nearer], closest[nearer] = d, np.abs(gap)[nearer]
+                node = node * 2 + right
+            found.append(node - (1 << self.depth))
+        return found[0], found[1]
+
+
+def _medians(node: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(nodes, both middle values of x in each)."""
+    o = np.lexsort((x, node))
+    here, start, n = np.unique(node[o], return_index=True, return_counts=True)
+    return here, x[o][start + (n - 1) // 2], x[o][start + n // 2]
+
+
+def trees_for(depth: int, sample: np.ndarray, cosine: float) -> list[Tree]:
+    """As many trees as bring all but ``MISSED`` of planted pairs at the threshold into a common leaf."""
+    if not depth or len(sample) < 2:
+        return [Tree(0, 0, sample)]
+    trees = [Tree(t, depth, sample) for t in range(TRIALS)]
+    rng = np.random.Generator(np.random.PCG64(5))
+    some = sample[rng.permutation(len(sample))[:1000]]
+    side = rng.standard_normal(some.shape)
+    side -= (side * some).sum(axis=1, keepdims=True) * some
+    side /= np.maximum(np.sqrt((side * side).sum(axis=1, keepdims=True)), 1e-12)
+    other = cosine * some + math.sqrt(1 - cosine * cosine) * side
+    hits = np.zeros(len(some))
+    for t in trees:
+        (a, b), (c, d) = t.leaves(some), t.leaves(other)
+        hits += (a == c) | (a == d) | (b == c) | (b == d)
+    lost = 1 - (hits + 0.5) / (TRIALS + 1)
+    n = 1
+    while (lost**n).mean() > MISSED:
+        n += 1
+    return trees[:n] + [Tree(t, depth, sample) for t in range(TRIALS, n)]
 
 
 def _clean(kind: str):
@@ -83,10 +121,16 @@ def _clean(kind: str):
 
     def work(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            out = []
-            for v, label in zip(rb["embedding"].to_pylist(), rb["label"].to_pylist()):
-                x = None if v is None or label is None or not v or None in v else np.array(v, np.float64)
-                out.append(x.astype(kind).tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
+            col = rb["embedding"]
+            n = np.asarray(pc.fill_null(pc.list_value_length(col), 0)).astype(np.int64)
+            flat = col.flatten()  # without the values of null lists
+            x = np.asarray(pc.fill_null(flat, float("nan"))).astype(np.float64)
+            at = np.r_[0, np.cumsum(n)]
+            bad, full = np.r_[0, np.cumsum(~np.isfinite(x))], np.r_[0, np.cumsum(x != 0)]
+            ok = (n > 0) & (np.diff(bad[at]) == 0) & (np.diff(full[at]) > 0) & np.asarray(rb["label"].is_valid())
+            raw = memoryview(np.ascontiguousarray(x.astype(kind))).cast("B")
+            w = int(kind[2])
+            out = [bytes(raw[w * s : w * e]) if k else None for s, e, k in zip(at[:-1].tolist(), at[1:].tolist(), ok.tolist())]
             yield pa.RecordBatch.from_arrays([rb["vec_id"], rb["label"], pa.array(out, pa.binary())], names=["vec_id", "label", "vec"])
 
     return work
@@ -189,6 +233,13 @@ def _spanning(x: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
     return np.array(keep, np.int64)
 
 
+def _sample(nodes: DataFrame, total: int, size: int, dim: int, kind: str) -> np.ndarray:
+    """``size`` vectors by their hashes, expected; twice as many at most."""
+    place = F.pmod(F.xxhash64("vec", F.lit(3)), F.lit(total))
+    some = nodes.filter(place < size).select("vec").dropDuplicates().limit(2 * size)
+    return units(some.toArrow()["vec"].to_pylist(), dim, kind)
+
+
 def classes(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, cap: int = CAP, sample: int = SAMPLE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -202,10 +253,9 @@ def classes(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, cap: i
     for dim in sorted(int(r.dim) for r in nodes.select("dim").distinct().collect()):
         mine = nodes.filter(F.col("dim") == dim).select("label", "vec", "n", "node")
         total, largest = mine.groupBy("label").count().agg(F.sum("count"), F.max("count")).first()
-        depth, n_trees = forest_shape(largest, leaf)
-        some = mine.filter(F.pmod(F.xxhash64("vec"), F.lit(total)) < sample).select("vec").limit(2 * sample).collect()
-        base = units([bytes(r.vec) for r in some], dim, kind)
-        trees = [Tree(t, depth, base) for t in range(n_trees)]
+        depth = depth_of(largest, leaf)
+        base = _sample(mine, total, min(max(sample, 4 * THIN << depth), SAMPLE_MOST), dim, kind) if depth else np.zeros((0, dim))
+        trees = trees_for(depth, base, cosine)
         routed = mine.mapInArrow(_router(trees, dim, kind, True), "label string, leaf long, node long, n long, vec binary, codes binary")
         big = mine.mapInArrow(_router(trees, dim, kind, False), "label string, leaf long").groupBy("label", "leaf").count().filter(F.col("count") > cap)
         big = scratch.table(big.select("label", "leaf", F.ceil(F.col("count") / cap).alias("blocks")), f"big-{dim}")
