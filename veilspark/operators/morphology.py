@@ -5,6 +5,7 @@ Without the dimension every word is its own lemma, has no reading and is unknown
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -34,10 +35,9 @@ class Morphology:
         return bool(self.words)
 
     def _map(self, at: int) -> Column:
-        def lit(v):
-            return F.array(*map(F.lit, v)).cast("array<string>") if isinstance(v, tuple) else F.lit(v)
-
-        return F.create_map(*[x for w, v in self.words.items() for x in (F.lit(w), lit(v[at]))])
+        """One literal: the optimizer folds it, so that plans do not grow with the dictionary."""
+        kind = ("array<string>", "string", "array<string>", "boolean")[at]
+        return F.from_json(F.lit(json.dumps({w: v[at] for w, v in self.words.items()}, ensure_ascii=False)), f"map<string,{kind}>")
 
     def _look(self, word: Column, at: int, default: Column) -> Column:
         return F.coalesce(F.try_element_at(self._map(at), normalize_word(word)), default) if self.words else default
