@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
+import logging
+from dataclasses import dataclass, field, fields
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,9 @@ from pyspark.sql import SparkSession
 from veilspark.functions import fixed as X
 
 
+logger = logging.getLogger(__name__)
+
+
 class EngineError(Exception):
     """Base of all errors of this engine."""
 
@@ -51,6 +55,43 @@ class IncomparableSnapshotsError(EngineError):
     pass
 
 
+@dataclass(frozen=True)
+class ConnectorConfig:
+    """Which service to ask and the keys of the two protocols; blanks around keys go."""
+
+    provider: str = "chat"
+    chat_key: str = field(default="", repr=False)
+    messages_key: str = field(default="", repr=False)
+    chat_url: str = ""
+    messages_url: str = ""
+    model: str = ""
+
+    def __post_init__(self):
+        if self.provider not in ("chat", "messages"):
+            raise ConfigurationError("provider is chat or messages")
+        for k in ("chat_key", "messages_key"):
+            v = getattr(self, k)
+            object.__setattr__(self, k, v.strip() if isinstance(v, str) else "")
+        if not self.key:
+            logger.warning("no key for %s: requests to it will be skipped", self.provider)
+
+    @property
+    def key(self) -> str:
+        return self.chat_key if self.provider == "chat" else self.messages_key
+
+    @property
+    def has_any_key(self) -> bool:
+        return bool(self.chat_key or self.messages_key)
+
+    def connect(self):
+        """The connector of these settings; without a key one that gives no answers."""
+        from veilspark.sources import llm_connector as c
+
+        if not self.key:
+            return c.offline
+        return c.chat_completions(self.chat_url, self.key, self.model) if self.provider == "chat" else c.messages(self.messages_url, self.key, self.model)
+
+
 @dataclass(frozen=True)
 class EngineConfig:
     """Engine settings; ``from_spark`` reads overrides from ``veilspark.*`` settings of the session."""

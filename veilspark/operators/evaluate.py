@@ -7,6 +7,7 @@ null arrays are empty.  Each example is measured within its row, so that only co
 from __future__ import annotations
 
 import json
+import subprocess
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -120,6 +121,19 @@ def predict(examples: DataFrame, **options) -> DataFrame:
     return found.withColumn("pred", F.transform("spans", lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.entity_type.alias("entity_type")))).drop("spans", "layer_stats")
 
 
+def git_state(folder: str) -> dict:
+    """The commit of a working copy and whether it has changes; None where there is no git or no copy."""
+
+    def git(*args: str) -> str | None:
+        try:
+            return subprocess.run(["git", *args], cwd=folder, capture_output=True, text=True, check=True, timeout=30).stdout.strip()
+        except (OSError, subprocess.SubprocessError):
+            return None
+
+    status = git("status", "--porcelain")
+    return {"git_commit": git("rev-parse", "HEAD"), "git_dirty": None if status is None else bool(status)}
+
+
 def build_snapshot(metrics: DataFrame, meta: dict) -> dict:
     """Metrics (a few hundred rows at most) and metadata as one document; no text of examples."""
     out: dict = {s: {} for s in SECTION_RATES}

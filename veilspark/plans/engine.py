@@ -64,7 +64,10 @@ class Engine:
         if len(text) > self.config.max_text_length:
             raise TextTooLongError(f"more than {self.config.max_text_length} characters")
         r = self.process(files.one_text(self.spark, text), **call)[0].first()
-        return {"anonymized_text": r.masked_text, "llm_response": r.llm_response, "stats": {"entities_detected": len(r.spans), "entity_types": r.layer_stats}}
+        counts: dict[str, int] = {}
+        for x in r.spans:
+            counts[x.entity_type] = counts.get(x.entity_type, 0) + 1
+        return {"anonymized_text": r.masked_text, "llm_response": r.llm_response, "stats": {"entities_detected": len(r.spans), "entity_types": r.layer_stats}, "counts": counts}
 
     def detect_files(self, *paths: str, **call) -> DataFrame:
         """(path, entity_counts): counts by type of whole text files."""
