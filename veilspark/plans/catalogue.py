@@ -173,6 +173,15 @@ _found_in("URL", "concat('http', CASE WHEN o_custkey % 2 = 0 THEN 's' ELSE '' EN
 _found_in("COORDS", f"concat('55.', {_CUST6}, CASE WHEN o_custkey % 2 = 0 THEN ', ' ELSE ' ' END, '-37.', {_TWO2})", leads=("точка ", "("))
 
 
+_BIK_TEXT = "concat('банк, ', CASE o_orderkey % 3 WHEN 0 THEN 'БИК ' WHEN 1 THEN 'бик: ' ELSE 'код ' END, '04', lpad(cast(o_custkey % 10000000 as string), 7, '0'), CASE WHEN o_custkey % 4 = 0 THEN '5' ELSE '.' END)"
+
+
+@query("SELECT o_orderkey, '04' || lpad(cast(o_custkey % 10000000 as string), 7, '0') AS bik FROM orders WHERE o_orderkey % 3 < 2 AND o_custkey % 4 > 0")
+def find_biks(spark, sf):
+    df = table(spark, sf, "orders").selectExpr("o_orderkey", f"{_BIK_TEXT} AS text")
+    return df.select("o_orderkey", F.explode(V.biks(F.col("text"))).alias("bik"))
+
+
 # ------------------------------------------------------------------ scores over texts made from keys
 
 def _scored(name: str, kind: str, raw: str, before: str, after: str, sql: str):
@@ -216,6 +225,9 @@ _scored("score_telegram", "TELEGRAM", _choice("@ivan_petrov", "t.me/ivan_petrov"
         "CASE WHEN raw LIKE 't.me/%' THEN 0.8 WHEN lead = 'tg: ' THEN 0.6 ELSE 0.3 END")
 _scored("score_account", "BANK_ACCOUNT", f"concat('407', cast(o_orderkey % 100 as string), {_choice('810', '811', by='o_custkey')}, lpad('', cast(14 - length(cast(o_orderkey % 100 as string)) as int), '7'))", _choice("счёт ", "номер ", "заказ "), "''",
         "0.3 + CASE WHEN lead = 'счёт ' THEN 0.25 ELSE 0 END + CASE WHEN substr(raw, 6, 3) IN ('810','643','840','978','156','392','826','756','398','933') THEN 0.4 ELSE 0 END - CASE WHEN lead = 'заказ ' THEN 0.4 ELSE 0 END")
+_BIK_KEY = "(" + " + ".join(f"(substr('225' || raw, {i + 1}, 1)::INT * {w}) % 10" for i, w in enumerate([7, 1, 3] * 7 + [7, 1])) + ") % 10 = 0"
+_scored("score_account_bik", "BANK_ACCOUNT", f"concat('40702811', cast(o_custkey % 10 as string), '00', {_NINE})", _choice("счёт ", "номер "), _choice(" БИК 044525225", ", далее", by="o_custkey"),
+        f"0.3 + CASE WHEN lead = 'счёт ' THEN 0.25 ELSE 0 END + CASE WHEN trail LIKE ' БИК%' AND {_BIK_KEY} THEN 0.6 ELSE 0 END")
 _scored("score_coords", "COORDS", _choice("55.751244, 37.618423", "55.75, 37.61", "95.1234, 37.6184", '55°45\'\'07" N 37°37\'\'04" E'), _choice("координаты ", "точка ", by="o_custkey"), "''",
         "CASE WHEN raw LIKE '%°%' THEN 0.7 ELSE 0.3 + CASE WHEN lead = 'координаты ' THEN 0.3 ELSE 0 END + CASE WHEN raw LIKE '55%' THEN 0.1 ELSE 0 END + CASE WHEN raw <> '55.75, 37.61' THEN 0.15 ELSE 0 END END")
 _scored("score_ipv4", "IP", "'192.168.1.10'", _choice("ip ", "версия ", "адрес, версия ", "v", "клиент "), "''",
