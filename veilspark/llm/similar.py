@@ -34,6 +34,8 @@ from veilspark.llm.simhash import links
 LEAST, SHINGLE, RADIUS, BANDS, ROWS = 0.8, 5, 4, 28, 5
 #: Sets and shingles of a component that meet in one task; above that, blocks of this size meet in pairs.
 MANY, SHINGLES = 1024, 1 << 20
+#: Keys of rows (some 50 bytes each) that may be sent to every task.
+FEW = 1 << 20
 U = np.uint64
 _XOR, _MUL = mix(np.arange(BANDS * ROWS, dtype=U), 5)[:, None], mix(np.arange(BANDS * ROWS, dtype=U), 6)[:, None] | U(1)
 
@@ -170,7 +172,7 @@ def _verified(n: int, least: float, radius: int):
 
 
 class _Rows:
-    """A table's rows by (id, hash of the text)."""
+    """A table's rows by (id, hash of the text).  Keys travel to the rows where their number allows it."""
 
     def __init__(self, docs: DataFrame, text: str, id_col: str):
         t = F.col(text).cast("string")
@@ -179,16 +181,35 @@ class _Rows:
         self.whole = docs.select(*key, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
 
     @staticmethod
-    def pick(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        """Rows whose (id, h) is in ``keys`` (id, h, copies, ...), one for each, with the other columns of ``keys``."""
+    def match(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        """Join by (id, h); stored ``keys`` of at most ``FEW`` rows go to every task, others are dealt out with the rows."""
         keys = keys.withColumnsRenamed({"id": "_id", "h": "_h"})
-        on = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))
-        once = rows.join(keys.filter("copies = 1"), on).drop("_id", "_h", "copies")
-        if keys.filter("copies > 1").isEmpty():
-            return once
+        if keys.count() <= FEW:
+            keys = F.broadcast(keys)
+        out = rows.join(keys, (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id")), how)
+        return out if how == "left_anti" else out.drop("_id", "_h")
+
+    @classmethod
+    def pick(cls, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """Rows whose (id, h) is in ``keys`` (id, h, copies, ...), one for each, with the other columns of ``keys``."""
+        once = cls.match(rows, keys.filter("copies = 1"), "inner").drop("copies")
         many = keys.filter("copies > 1")
-        one = rows.join(many.select("_id", "_h").distinct(), on, "left_semi").groupBy("id", "h").agg(*(F.first(c).alias(c) for c in rows.columns if c not in ("id", "h")))
-        return once.unionByName(one.join(many, on).drop("_id", "_h", "copies"))
+        if many.isEmpty():
+            return once
+        return once.unionByName(cls.match(cls.one_each(rows, many), many, "inner").drop("copies"))
+
+    @classmethod
+    def one_each(cls, rows: DataFrame, keys: DataFrame) -> DataFrame:
+        """One row for each of the keys."""
+        some = cls.match(rows, keys.select("id", "h").distinct(), "inner")
+        return some.groupBy("id", "h").agg(*(F.first(c).alias(c) for c in rows.columns if c not in ("id", "h")))
+
+    def kept(self, dropped: DataFrame, many: DataFrame) -> DataFrame:
+        """All rows but those of dropped keys; of keys that several rows have, one row."""
+        if many.isEmpty():
+            return self.match(self.whole, dropped.select("id", "h"), "left_anti")
+        once = self.match(self.whole, dropped.select("id", "h").union(many.select("id", "h")), "left_anti")
+        return once.unionByName(self.one_each(self.whole, many))
 
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius: int = RADIUS, shingle: int = SHINGLE,
@@ -198,7 +219,7 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius
     at = _Rows(docs, text, id_col)
     kind = docs.schema[id_col].dataType.simpleString()
     prints = scratch.table(at.rows.mapInArrow(_described(shingle), f"id {kind}, h long, node long, fp long, n long, bands array<long>"), "prints")
-    rows = prints.groupBy("id", "h").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("node", "fp", "n")))
+    rows = scratch.table(prints.groupBy("id", "h").agg(F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("node", "fp", "n"))), "rows")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h", "copies")).alias("first")
     nodes = scratch.table(rows.groupBy("node").agg(first, F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
 
@@ -243,6 +264,10 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", radius
 
     cc = components(scratch, found, "same")
     rooted = nodes.join(cc, nodes.node == cc.node, "left").select("first", F.coalesce("component", nodes.node).alias("root"))
-    keep = scratch.table(rooted.groupBy("root").agg(F.min("first").alias("top")).select("top.id", "top.h", "top.copies"), "keep")
-    scratch.drop(*[n for n in scratch.names if n != "keep"])
-    return at.pick(at.whole, keep).select("row.*")
+    keep = rooted.groupBy("root").agg(F.min("first").alias("top")).select(F.col("top.id").alias("_id"), F.col("top.h").alias("_h"))
+    same = (F.col("h") == F.col("_h")) & F.col("id").eqNullSafe(F.col("_id"))
+    judged = scratch.table(rows.select("id", "h", "copies").join(keep, same, "left").select("id", "h", "copies", F.col("_h").isNotNull().alias("stays")), "judged")
+    dropped = scratch.table(judged.filter("not stays").select("id", "h"), "dropped")
+    many = scratch.table(judged.filter("stays and copies > 1").select("id", "h"), "several")
+    scratch.drop(*[n for n in scratch.names if n not in ("dropped", "several")])
+    return at.kept(dropped, many).select("row.*")
