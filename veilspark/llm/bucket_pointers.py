@@ -17,9 +17,9 @@ them are found by, so one row stands for about 18 windows.
 5. Batches join the answers by batch id and mark what is covered.
 
 Skew: a batch sends one row for a bucket or run however many of its documents hold it, and one
-marker for a bucket with more than ``HOT`` runs in it.  Marked buckets, and those with more than ``HOT``
-runs in all, are spread before they meet: their windows go one by one to the range of the
-window's own name (128 bits).  Ranges grow in number with the input and are read one by one.
+marker for a bucket with more than ``HOT`` runs in it.  Marked buckets, and those with more than four
+times ``HOT`` runs in all, are spread before they meet: their windows go one by one to the range of
+the window's own name (128 bits).  Ranges grow in number with the input and are read one by one.
 """
 
 from __future__ import annotations
@@ -125,6 +125,10 @@ class Batch:
         self.kd = np.minimum.reduceat(d, at) if len(at) else d[:0]
         self.ktop = np.maximum.reduceat(d, at) if len(at) else d[:0]
 
+    def forget(self) -> None:
+        """Drop what ``scan`` has found."""
+        del self.doc, self.s1, self.s2, self.key_of, self.ka, self.kr, self.kd, self.ktop
+
     def buckets(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bucket, first key, smallest id, whether it has other ids) of each bucket, sorted."""
         cut = np.flatnonzero(K.firsts(self.ka)) if len(self.ka) else np.zeros(0, np.int64)
@@ -259,7 +263,7 @@ def judge_runs(plan: Plan):
         f, fa = K.firsts(a, r), K.firsts(a)
         g, ga = np.cumsum(f) - 1, np.cumsum(fa) - 1
         kinds = np.bincount(ga, weights=f).astype(np.int64)[ga]
-        hot = (np.bincount(ga, weights=(r == 0))[ga] > 0) | (kinds > plan.hot)
+        hot = (np.bincount(ga, weights=(r == 0))[ga] > 0) | (kinds > 4 * plan.hot)
         code = np.zeros(len(a), np.uint8)
         least = d == d[np.flatnonzero(f)][g]  # in several batches, if ids repeat: each needs the answer
         code[~least] |= COVERED
@@ -304,67 +308,86 @@ def _windows_of(s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) - np.repeat(first - s1, n)
 
 
+@dataclass
+class Settled:
+    """What a batch knows before windows are compared."""
+
+    lo: np.ndarray  # covered for certain
+    hi: np.ndarray
+    key: np.ndarray  # runs that wait for an answer on their windows: key and first window
+    spot: np.ndarray
+    sent: np.ndarray  # one run for each key that waits
+    gram_key: np.ndarray  # windows of spread buckets that wait: number of the window's name, place
+    gram_spot: np.ndarray
+    grams: np.ndarray  # distinct names, sorted
+
+
+def settle(b: Batch, plan: Plan, answers: list) -> Settled:
+    code = np.zeros(len(b.ka), np.uint8)
+    for x in answers:
+        got = np.frombuffer(x.as_buffer(), _CODE)
+        code[got["i"]] |= got["c"]
+    code[b.kr == 0] = WIDE
+    kc, d = code[b.key_of], b.ids[b.doc]
+    wide = (kc & WIDE) > 0
+    gone = ~wide & (((kc & COVERED) > 0) | (d > b.kd[b.key_of]))
+    lo, hi = K.union_of(b.s1[gone], b.s2[gone] + plan.window)
+    waiting = np.flatnonzero(~wide & ((kc & SEND) > 0) & (d == b.kd[b.key_of]))
+    k = b.key_of[waiting]
+    first = np.zeros(len(b.ka), np.int64) - 1
+    first[k[::-1]] = waiting[::-1]
+    none = np.zeros(0, np.int64)
+    out = Settled(lo, hi, k, b.s1[waiting], first[first >= 0], none, none, np.zeros(0, _GRAM))
+    w = np.flatnonzero(wide)
+    if len(w):
+        at = _windows_of(b.s1[w], b.s2[w])
+        dw = np.repeat(d[w], b.s2[w] - b.s1[w] + 1)
+        g, h = window_names(b.buf, at, plan)
+        o = K.by_key(g, h, dw)
+        f = K.firsts(g[o], h[o])
+        cut = np.flatnonzero(f)
+        key = np.empty(len(o), np.int64)
+        key[o] = np.cumsum(f) - 1
+        low = dw[o][cut]
+        done = dw > low[key]
+        l2, h2 = K.union_of(at[done], at[done] + plan.window)
+        out.lo, out.hi = K.union_of(np.r_[lo, l2], np.r_[hi, h2])
+        out.gram_key, out.gram_spot = key[~done], at[~done]
+        out.grams = np.zeros(len(cut), _GRAM)
+        out.grams["k"], out.grams["g"], out.grams["h"], out.grams["d"] = np.arange(len(cut)), g[o][cut], h[o][cut], low
+    return out
+
+
 def open_runs(plan: Plan, id_col: str):
-    """State of a batch (what is settled), and what has to be looked at window by window."""
+    """What has to be looked at window by window: runs as bytes (kind 1), names of windows (kind 2)."""
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return _table([])
-        rows: list[tuple] = []
-        bid = left["batch_id"][0].as_py()
-        b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
-        b.scan()
-        code = np.zeros(len(b.ka), np.uint8)
-        for x in right["blob"]:
-            got = np.frombuffer(x.as_buffer(), _CODE)
-            code[got["i"]] |= got["c"]
-        code[b.kr == 0] = WIDE
-        kc, d = code[b.key_of], b.ids[b.doc]
-        wide = (kc & WIDE) > 0
-        gone = ~wide & (((kc & COVERED) > 0) | (d > b.kd[b.key_of]))
-        lo, hi = K.union_of(b.s1[gone], b.s2[gone] + plan.window)
-        waiting = np.flatnonzero(~wide & ((kc & SEND) > 0) & (d == b.kd[b.key_of]))
-        k = b.key_of[waiting]
-        first = np.zeros(len(b.ka), np.int64) - 1
-        first[k[::-1]] = waiting[::-1]
-        sent = first[first >= 0]  # one run for each open key, in the order of keys
-        for s, e, rng in _slices(b.ka[b.key_of[sent]]):
-            x = sent[s:e]
-            head = np.zeros(len(x), _RUN)
-            head["k"], head["n"], head["d"] = b.key_of[x], b.s2[x] - b.s1[x] + 1, b.kd[b.key_of[x]]
-            head["a"] = b.ka[b.key_of[x]].astype(np.uint32)
-            data = b.buf[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
-            rows.append((bid, rng, 1, struct.pack("<I", len(x)) + head.tobytes() + data))
-        w = np.flatnonzero(wide)
-        grams = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        if len(w):
-            at = _windows_of(b.s1[w], b.s2[w])
-            dw = np.repeat(d[w], b.s2[w] - b.s1[w] + 1)
-            g, h = window_names(b.buf, at, plan)
-            o = K.by_key(g, h, dw)
-            f = K.firsts(g[o], h[o])
-            cut = np.flatnonzero(f)
-            key = np.empty(len(o), np.int64)
-            key[o] = np.cumsum(f) - 1
-            low = dw[o][cut]
-            done = dw > low[key]
-            l2, h2 = K.union_of(at[done], at[done] + plan.window)
-            lo, hi = K.union_of(np.r_[lo, l2], np.r_[hi, h2])
-            grams = [key[~done], at[~done]]
-            rec = np.zeros(len(cut), _GRAM)
-            rec["k"], rec["g"], rec["h"], rec["d"] = np.arange(len(cut)), g[o][cut], h[o][cut], low
-            for s, e, rng in _slices(rec["g"] >> U(32 - plan.bits)):
-                rows.append((bid, rng, 2, rec[s:e].tobytes()))
-        state = [lo, hi, k, b.s1[waiting], *grams]
-        blob = struct.pack("<6I", *map(len, state)) + b"".join(np.asarray(x, np.int64).tobytes() for x in state)
-        rows.append((bid, -1, 0, zstandard.ZstdCompressor(level=1).compress(blob)))
-        del b
-        trim()
-        return _table(rows)
+        if not left.num_rows or not right.num_rows:
+            return _table(_spread(left, plan, id_col) if left.num_rows else [])
+        return _table(_spread(left, plan, id_col, list(right["blob"])))
 
     return work
 
 
+def _spread(left: pa.Table, plan: Plan, id_col: str, answers: list | tuple = ()) -> list[tuple]:
+    bid = left["batch_id"][0].as_py()
+    b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
+    b.scan()
+    got, rows = settle(b, plan, list(answers)), []
+    for s, e, rng in _slices(b.ka[b.key_of[got.sent]]):
+        x = got.sent[s:e]
+        head = np.zeros(len(x), _RUN)
+        head["k"], head["n"], head["d"] = b.key_of[x], b.s2[x] - b.s1[x] + 1, b.kd[b.key_of[x]]
+        head["a"] = b.ka[b.key_of[x]].astype(np.uint32)
+        data = b.buf[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
+        rows.append((bid, rng, 1, struct.pack("<I", len(x)) + head.tobytes() + data))
+    for s, e, rng in _slices(got.grams["g"] >> U(32 - plan.bits)):
+        rows.append((bid, rng, 2, got.grams[s:e].tobytes()))
+    del b, got
+    trim()
+    return rows
+
+
 def _slices(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(first, end, range) of sorted keys."""
     rng = (keys >> U(32)).astype(np.int64)
@@ -510,28 +533,24 @@ _REPLY = np.dtype([("k", "<u4"), ("kind", "u1"), ("m", "<u8")])
 # ---------------------------------------------------------------- step 5: what is covered
 
 
-def covered(state: bytes, replies: list, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Merged intervals of a batch's symbols that some removed window covers."""
-    raw = zstandard.ZstdDecompressor().decompress(state)
-    sizes = struct.unpack_from("<6I", raw)
-    cut = 24 + 8 * np.r_[0, np.cumsum(sizes)]
-    lo, hi, key, spot, gkey, gspot = (np.frombuffer(raw, np.int64, n, int(c)) for n, c in zip(sizes, cut))
-    got = np.concatenate([np.frombuffer(x, _REPLY) for x in replies]) if replies else np.zeros(0, _REPLY)
+def covered(b: Settled, replies: list, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Merged intervals of a batch's bytes that some removed window covers."""
+    got = np.concatenate([np.frombuffer(x.as_buffer(), _REPLY) for x in replies]) if replies else np.zeros(0, _REPLY)
     runs_, grams = got[got["kind"] == 1], got[got["kind"] == 2]
     starts = []
-    if len(runs_) and len(key):
+    if len(runs_) and len(b.key):
         o = np.argsort(runs_["k"])
         ks, ms = runs_["k"][o], runs_["m"][o]
-        i = np.minimum(np.searchsorted(ks, key), len(ks) - 1)
-        m = np.where(ks[i] == key, ms[i], U(0))
+        i = np.minimum(np.searchsorted(ks, b.key), len(ks) - 1)
+        m = np.where(ks[i] == b.key, ms[i], U(0))
         for bit in range(64):
             on = (m >> U(bit)) & U(1) > 0
             if on.any():
-                starts.append(spot[on] + bit)
-    if len(grams) and len(gkey):
-        starts.append(gspot[np.isin(gkey, grams["k"])])
-    s = np.concatenate([lo, *starts]) if starts else lo
-    e = np.concatenate([hi, *[x + window for x in starts]]) if starts else hi
+                starts.append(b.spot[on] + bit)
+    if len(grams) and len(b.gram_key):
+        starts.append(b.gram_spot[np.isin(b.gram_key, grams["k"])])
+    s = np.concatenate([b.lo, *starts]) if starts else b.lo
+    e = np.concatenate([b.hi, *[x + window for x in starts]]) if starts else b.hi
     return K.union_of(s, e)
 
 
@@ -560,26 +579,26 @@ def find(scratch: Scratch, docs: DataFrame, window: int, q: int, text: str, id_c
     scratch.drop("buckets")
     del runs
     scratch.free_shuffles()
-    opened = scratch.table(by_batch(codes).applyInArrow(open_runs(plan, id_col), _MESSAGE_DDL), "open")
-    scratch.drop("codes")
-    replies = meet(opened.filter("kind > 0")).mapInArrow(judge_windows(plan), _MESSAGE_DDL)
-    state = scratch.table(opened.filter("kind = 0").union(replies), "state")
-    scratch.drop("open")
-    del replies
+    opened = meet(by_batch(codes).applyInArrow(open_runs(plan, id_col), _MESSAGE_DDL))
+    replies = scratch.table(opened.mapInArrow(judge_windows(plan), _MESSAGE_DDL), "replies")
+    del opened
     scratch.free_shuffles()
+    known = codes.withColumn("kind", F.lit(1)).union(replies.withColumn("kind", F.lit(2)))
 
     def last(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return finish_schema.empty_table()
         b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
-        kinds = right["kind"].to_pylist()
-        blobs = [x.as_py() for x in right["blob"]]
-        state_ = next(x for x, k in zip(blobs, kinds) if k == 0)
-        lo, hi = covered(state_, [x for x, k in zip(blobs, kinds) if k], plan.window)
+        b.scan()
+        answers: dict[int, list] = {1: [], 2: []}
+        for k, x in zip(right["kind"].to_pylist(), right["blob"]):
+            answers[k].append(x)
+        lo, hi = covered(settle(b, plan, answers[1]), answers[2], plan.window)
+        b.forget()
         trim()
         return finish(b, lo, hi).cast(finish_schema)
 
     from pyspark.sql.pandas.types import to_arrow_schema
 
     finish_schema = to_arrow_schema(schema)
-    return by_batch(state).applyInArrow(last, schema)
+    return by_batch(known).applyInArrow(last, schema)
