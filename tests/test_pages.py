@@ -63,6 +63,30 @@ def test_fonts(spark):
     assert spark.range(1).select(pages.font_alias(F.lit("x"))).first()[0] == "PG11f6ad8e"
 
 
+def test_fonts_of_many_runs(spark):
+    """Boxes of all sizes, equal ones and ones without an end agree with a plain loop, and no word meets all runs of its page."""
+    import random
+
+    rnd, inf, nan = random.Random(5), float("inf"), float("nan")
+    box = lambda: (x := rnd.uniform(-50, 500), y := rnd.uniform(-50, 500), x + 2 ** rnd.uniform(-6, 8), y + 2 ** rnd.uniform(-6, 6))
+    w = [("d", p, 0, 0, i, "w", *box()) for p in (0, 1) for i in range(300)] + [("d", 0, 0, 0, 300, "w", None, 0.0, 1.0, 1.0), ("d", 0, 0, 0, 301, "w", 1e300, 0.0, 1e300, 9.0)]
+    odd = [(-inf, 10.0, inf, 20.0), (9.0, 9.0, 3.0, 3.0), (None, 0.0, 9.0, 9.0), (0.0, 30.0, nan, 40.0), (7.0, 7.0, 7.0, 7.0), (1e300, -1e308, 1e300, 1.7e308)]
+    r = [(0, i, *box()) for i in range(200)] + [(0, 200 + i, *b) for i, b in enumerate(odd)]
+    r += [(0, 300 + n, *x[2:]) for n, x in enumerate(r[:50])] + [(0, None, 0.0, 0.0, 500.0, 500.0)]
+    runs = spark.createDataFrame([("d", p, n, "F", 9.0, 0, *b) for p, n, *b in r], "doc string, page int, run_no int, font string, size double, color int, x0 double, y0 double, x1 double, y1 double")
+    got = pages.font_run_of_word(spark.createDataFrame(w, WORD_SCHEMA), runs)
+
+    def holds(x, b):
+        if None in b or x[6] is None:
+            return False
+        cx, cy = (x[6] + x[8]) / 2, (x[7] + x[9]) / 2
+        return b[0] - 1 <= cx and (cx <= b[2] + 1 or b[2] != b[2]) and b[1] - 1 <= cy <= b[3] + 1
+
+    want = {(x[1], x[4]): min((n for p, n, *b in r if p == x[1] and n is not None and holds(x, b)), default=None) for x in w}
+    assert {(x.page, x.word_no): x.run_no for x in got.collect()} == want and len(set(want.values())) > 20
+    assert "gx" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_empty(spark):
     w = pages.page_words(words(spark, [(0, 0, 0, 0, "x")]).limit(0))
     boxes, summary = Engine(spark, CONFIG).redact_pages(w)

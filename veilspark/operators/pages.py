@@ -138,15 +138,45 @@ def redact(words: DataFrame, entity_types: Sequence[str] | None = None, redact_u
     return redaction_boxes(found), summary
 
 
+def _spread(low: Column, high: Column) -> Column:
+    """The power of two that is no smaller than a box's extent, so that it lies in two cells of that size; boxes without a finite extent have one that makes all cells one."""
+    extent = high - low
+    return F.when(extent < float("inf"), F.ceil(F.log2(F.greatest(extent, F.lit(2.0**-20))))).otherwise(2000).cast("int")
+
+
+def _cell(at: Column, level: Column) -> Column:
+    return F.floor(at / F.pow(F.lit(2.0), level))
+
+
+def first_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
+    """(doc, page, cx, cy, run) for distinct points in a box: the smallest ``run`` of the boxes (x0, x1, y0, y1) that hold it.
+
+    A box lies in the cells, of its own size, of a grid; a point looks once at each size that its page has.
+    """
+    size = [_spread(F.col("x0"), F.col("x1")).alias("lx"), _spread(F.col("y0"), F.col("y1")).alias("ly")]
+    sized = boxes.filter("x0 <= x1 and y0 <= y1").select("*", *size)
+    cells = lambda a, b, n: F.explode(F.sequence(_cell(F.col(a), F.col(n)), _cell(F.col(b), F.col(n))))
+    placed = sized.withColumn("gx", cells("x0", "x1", "lx")).withColumn("gy", cells("y0", "y1", "ly"))
+    looks = points.join(sized.select("doc", "page", "lx", "ly").distinct(), ["doc", "page"])
+    looks = looks.withColumns({"gx": _cell(F.col("cx"), F.col("lx")), "gy": _cell(F.col("cy"), F.col("ly"))})
+    near = looks.join(placed, ["doc", "page", "lx", "ly", "gx", "gy"]).filter("cx between x0 and x1 and cy between y0 and y1")
+    return near.groupBy("doc", "page", "cx", "cy").agg(F.min("run").alias("run"))
+
+
 def font_run_of_word(words: DataFrame, runs: DataFrame, tolerance: float = X.FONT_TOLERANCE) -> DataFrame:
-    """Each word with the first font run (by ``run_no``) whose box, widened a little, holds its centre."""
-    cx, cy = (F.col("w.x0") + F.col("w.x1")) / 2, (F.col("w.y0") + F.col("w.y1")) / 2
-    inside = cx.between(F.col("r.x0") - tolerance, F.col("r.x1") + tolerance) & cy.between(F.col("r.y0") - tolerance, F.col("r.y1") + tolerance)
-    near = words.alias("w").join(runs.alias("r"), (F.col("w.doc") == F.col("r.doc")) & (F.col("w.page") == F.col("r.page")) & inside, "left")
+    """Each word with the first font run (by ``run_no``) whose box, widened a little, holds its centre.
+
+    Only the first run of equal boxes counts, and words with one centre are looked up once.
+    """
     keys = ["doc", "page", "block_no", "line_no", "word_no"]
-    rgb = [(F.shiftright(F.col("r.color"), n).bitwiseAND(255) / 255.0).alias(c) for c, n in (("red", 16), ("green", 8), ("blue", 0))]
-    one = F.struct("r.run_no", font_name(F.col("r.font")).alias("font"), "r.size", *rgb)
-    got = near.groupBy(*[F.col(f"w.{k}").alias(k) for k in keys]).agg(F.min_by(one, F.col("r.run_no")).alias("run"))
+    rgb = [(F.shiftright("color", n).bitwiseAND(255) / 255.0).alias(c) for c, n in (("red", 16), ("green", 8), ("blue", 0))]
+    one = F.struct("run_no", font_name(F.col("font")).alias("font"), "size", *rgb)
+    box = [(F.col(c) + d * tolerance).alias(c) for c, d in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]
+    boxes = runs.filter("run_no is not null").select("doc", "page", *box, one.alias("run")).groupBy("doc", "page", "x0", "y0", "x1", "y1").agg(F.min("run").alias("run"))
+    centre = ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy")
+    placed = words.select(*keys, *centre)
+    found = first_box(placed.select("doc", "page", "cx", "cy").distinct(), boxes)
+    got = placed.join(found, ["doc", "page", "cx", "cy"], "left").groupBy(*keys).agg(F.min("run").alias("run"))
     return got.select(*keys, "run.*")
 
 
