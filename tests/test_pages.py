@@ -1,5 +1,7 @@
 """Blocks of words, redaction, OCR routing."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from veilspark.operators import pages
@@ -23,6 +25,31 @@ def test_hyphen_join(spark):
         assert all(b.text[x.start : x.end] == x.text for x in b.words)
 
 
+def plain_join(rows):
+    """(text, [(text, start, end)]) of one block's (line, word, text), word by word."""
+    text, out, line = "", [], None
+    for ln, _, w in sorted(rows):
+        if out and ln != line and len(out[-1][0]) > 1 and out[-1][0].endswith("-"):
+            text = text[:-1]
+            out[-1] = (out[-1][0][:-1], out[-1][1], out[-1][2] - 1)
+        elif out:
+            text += " " if ln == line else "\n"
+        out.append((w, len(text), len(text) + len(w)))
+        text, line = text + w, ln
+    return text, out
+
+
+def test_long_block(spark):
+    """A block costs its own length, not its square."""
+    rows = [(0, 0, i // 7, i, f"ж{i}" + "-" * (i % 5 == 0)) for i in range(40_000)]
+    w = pages.page_words(words(spark, rows))
+    began = time.monotonic()
+    got = pages.blocks(w).collect()
+    assert time.monotonic() - began < 60
+    text, places = plain_join([r[2:] for r in rows])
+    assert [b.text for b in got] == [text] and [(x.text, x.start, x.end) for x in got[0].words] == places
+
+
 def test_redaction(spark):
     rows = [(0, 0, 0, 0, "ИНН:"), (0, 0, 0, 1, "770708-"), (0, 0, 1, 0, "3893"), (1, 0, 0, 0, "см."), (1, 0, 0, 1, "https://a.example/x"), (1, 0, 0, 2, "a@b.ru")]
     w = pages.page_words(words(spark, rows))

@@ -6,45 +6,90 @@ words from files is a connector's work.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
 from veilspark.functions import fixed as X
 from veilspark.operators.detect import detect
 
 KEYS = ("doc", "page", "origin", "block_no")
+BOX = ("x0", "y0", "x1", "y1")
 WORD = "struct<text:string,start:int,end:int,x0:double,y0:double,x1:double,y1:double>"
 
 
-def join_words(words: Column) -> Column:
-    """Text of a block and its words with offsets.
-
-    Words of a line are joined by a space, lines by a newline; a line that ends in a hyphen
-    attached to a word runs on into the next without either.
-    """
-
-    def step(acc: Column, w: Column) -> Column:
-        last = F.try_element_at(acc.words, F.lit(-1))
-        begun = F.size(acc.words) > 0
-        new_line = begun & (w.line_no != acc.line)
-        wrap = F.coalesce(new_line & (F.length(last.text) > 1) & F.endswith(last.text, F.lit("-")), F.lit(False))
-        text = F.when(wrap, F.substr(acc.text, F.lit(1), F.length(acc.text) - 1)).when(new_line, F.concat(acc.text, F.lit("\n"))).when(begun, F.concat(acc.text, F.lit(" "))).otherwise(acc.text)
-        short = F.struct(F.substr(last.text, F.lit(1), F.length(last.text) - 1).alias("text"), last.start.alias("start"), (last.end - 1).alias("end"), *[last[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
-        before = F.when(wrap, F.concat(F.slice(acc.words, 1, F.greatest(F.size(acc.words) - 1, F.lit(0))), F.array(short))).otherwise(acc.words)
-        here = F.struct(w.text.alias("text"), F.length(text).alias("start"), (F.length(text) + F.length(w.text)).alias("end"), *[w[c].alias(c) for c in ("x0", "y0", "x1", "y1")])
-        return F.struct(F.concat(text, w.text).alias("text"), F.concat(before, F.array(here.cast(WORD))).alias("words"), w.line_no.alias("line"))
-
-    zero = F.struct(F.lit("").alias("text"), F.array().cast(f"array<{WORD}>").alias("words"), F.lit(-1).alias("line"))
-    return F.aggregate(words, zero, step, lambda a: F.struct(a.text.alias("text"), a.words.alias("words")))
+def _reader() -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sorted words to blocks, as functions that go to workers by value."""
+
+    def changes(columns: list[pa.ChunkedArray]) -> np.ndarray:
+        """Rows that differ from the row before in any column; nulls are equal."""
+        out = np.zeros(max(len(columns[0]) - 1, 0), dtype=bool)
+        for c in columns:
+            c = c.combine_chunks()
+            a, b = c.slice(1), c.slice(0, max(len(c) - 1, 0))
+            same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+            out |= ~same.to_numpy(zero_copy_only=False)
+        return out
+
+    def join_words(t: pa.Table, first: np.ndarray) -> pa.RecordBatch:
+        """Whole blocks as rows: their text and their words with offsets; ``first`` has the places of first words."""
+        n, text, line = len(t), t["text"].combine_chunks(), t["line_no"].combine_chunks()
+        ends = np.append(first[1:], n)
+        last = np.zeros(n, dtype=bool)
+        last[ends - 1] = True
+        differs = pc.fill_null(pc.not_equal(line.slice(1), line.slice(0, n - 1)), False).to_numpy(zero_copy_only=False)
+        new_line = np.append(differs, False) & ~last
+        wraps = new_line & pc.and_(pc.greater(pc.utf8_length(text), 1), pc.ends_with(text, "-")).to_numpy(zero_copy_only=False)
+        kept = pc.if_else(pa.array(wraps), pc.utf8_slice_codeunits(text, 0, -1), text)
+        gap = pc.if_else(pa.array(last | wraps), "", pc.if_else(pa.array(new_line), "\n", " "))
+        piece = pc.binary_join_element_wise(kept, gap.cast(kept.type), pa.scalar("", kept.type))
+        size = pc.utf8_length(piece).to_numpy(zero_copy_only=False).astype(np.int64)
+        start = np.cumsum(size) - size
+        start -= np.repeat(start[first], ends - first)
+        end = start + pc.utf8_length(kept).to_numpy(zero_copy_only=False)
+        at = pa.array(np.append(first, n).astype(np.int32))
+        fields = {"text": kept, "start": pa.array(start.astype(np.int32)), "end": pa.array(end.astype(np.int32)), **{c: t[c].combine_chunks() for c in BOX}}
+        words = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays(list(fields.values()), names=list(fields)))
+        keys = [t[k].combine_chunks().take(pa.array(first)) for k in KEYS]
+        return pa.RecordBatch.from_arrays([*keys, pc.binary_join(pa.ListArray.from_arrays(at, piece), ""), words], names=[*KEYS, "text", "words"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted words to blocks; of a block that goes on in the next batch only its batches are held."""
+        held: list[pa.Table] = []
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if not len(t):
+                continue
+            tail = [held[-1].slice(len(held[-1]) - 1)] if held else []
+            seam = pa.concat_tables([*tail, t])
+            starts = np.flatnonzero(changes([seam[k] for k in KEYS])) + 1 - len(tail)  # in ``t``
+            if len(starts):
+                whole = pa.concat_tables([*held, t.slice(0, starts[-1])])
+                before = sum(map(len, held))
+                if len(whole):
+                    yield join_words(whole, np.unique(np.append(0, starts[:-1] + before)))
+                held, t = [], t.slice(starts[-1])
+            held.append(t)
+        if held:
+            yield join_words(pa.concat_tables(held), np.array([0]))
+
+    return read
 
 
 def blocks(words: DataFrame) -> DataFrame:
-    """(doc, page, origin, block_no, text, words): blocks in reading order of their words."""
-    clean = words.filter(F.trim("text") != "")
-    one = F.struct(F.col("line_no").cast("int").alias("line_no"), F.col("word_no").cast("int").alias("word_no"), "text", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")])
-    got = clean.groupBy(*KEYS).agg(F.sort_array(F.collect_list(one)).alias("w"))
-    return got.select(*KEYS, join_words(F.col("w")).alias("b")).select(*KEYS, "b.text", "b.words")
+    """(doc, page, origin, block_no, text, words): blocks in reading order of their words.
+
+    Words of a line are joined by a space, lines by a newline; a line that ends in a hyphen
+    attached to a word runs on into the next without either.  Words are sorted by Spark and joined
+    as they stream by, so that a task holds one block and a block costs its own length.
+    """
+    clean = words.filter(F.trim("text") != "").select(*KEYS, F.col("line_no").cast("int").alias("line_no"), F.col("word_no").cast("int").alias("word_no"), "text", *[F.col(c).cast("double").alias(c) for c in BOX])
+    schema = StructType([*[clean.schema[k] for k in KEYS], StructField("text", StringType()), StructField("words", ArrayType(DataType.fromDDL(WORD)))])
+    return clean.repartition(*KEYS).sortWithinPartitions(*KEYS, "line_no", "word_no", "text", *BOX).mapInArrow(_reader(), schema)
 
 
 def without_covered(ocr: DataFrame, layer: DataFrame) -> DataFrame:
