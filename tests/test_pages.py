@@ -50,6 +50,26 @@ def test_long_block(spark):
     assert [b.text for b in got] == [text] and [(x.text, x.start, x.end) for x in got[0].words] == places
 
 
+def test_blocks_over_batch_edges(spark):
+    """Blocks that end at, begin at or span Arrow batches, with null keys, agree with a plain loop; nothing is folded."""
+    import random
+
+    rnd, rows = random.Random(3), []
+    for p in (None, 0, 1):
+        for b in (None, 0, 1, 2, 3):
+            rows += [(p, b, rnd.randrange(4), i, rnd.choice(["-", "a-", "яб-", "слово", "x", "😀-"])) for i in range(rnd.choice([1, 2, 10, 25]))]
+    w = pages.page_words(words(spark, rows)).coalesce(1)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10")
+    try:
+        df = pages.blocks(w)
+        got = {(b.page, b.block_no): (b.text, [(x.text, x.start, x.end) for x in b.words]) for b in df.collect()}
+    finally:
+        spark.conf.unset(key)
+    assert got == {k: plain_join([r[2:] for r in rows if r[:2] == k]) for k in {r[:2] for r in rows}}
+    assert "aggregate(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_redaction(spark):
     rows = [(0, 0, 0, 0, "ИНН:"), (0, 0, 0, 1, "770708-"), (0, 0, 1, 0, "3893"), (1, 0, 0, 0, "см."), (1, 0, 0, 1, "https://a.example/x"), (1, 0, 0, 2, "a@b.ru")]
     w = pages.page_words(words(spark, rows))
