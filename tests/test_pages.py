@@ -90,6 +90,21 @@ def test_redaction(spark):
     assert sorted(r.text for r in pages.surviving_words(found).collect()) == ["https://a.example/x", "ИНН:", "см."]
 
 
+def mails(spark, n=20_000):
+    """One block of n words, every fifth a mail address."""
+    return pages.page_words(words(spark, [(0, 0, i // 7, i, f"u{i}@ex.org" if i % 5 == 0 else f"w{i}") for i in range(n)]))
+
+
+def test_many_entities_of_a_block(spark):
+    """Offsets and merging cost a text's spans, not their square."""
+    found = Engine(spark, CONFIG).detect(pages.blocks(mails(spark, 150_000)), kinds=["EMAIL"])
+    began = time.monotonic()
+    row = found.first()
+    assert time.monotonic() - began < 60
+    assert [row.text[s.start : s.end] for s in row.spans] == [s.text for s in row.spans] == [f"u{i}@ex.org" for i in range(0, 150_000, 5)]
+    assert [tuple(r) for r in pages.entity_counts(found).collect()] == [("d", 0, "EMAIL", 30_000)]
+
+
 def test_ocr_routing(spark):
     layer = words(spark, [(0, 0, 0, 0, "слой")])
     ocr = spark.createDataFrame([("d", 0, 0, 0, 0, "слой", 1.0, 1.0, 7.0, 7.0), ("d", 0, 0, 5, 0, "картинка", 0.0, 50.0, 8.0, 58.0), ("d", 1, 0, 0, 0, "скан", 0.0, 0.0, 8.0, 8.0)], WORD_SCHEMA)

@@ -36,6 +36,16 @@ def cut(text: Column, start: Column, end: Column) -> Column:
     return F.substr(text, start + 1, end - start)
 
 
+def running(xs: Column, use: Callable[[Column, Column], Column] = lambda before, x: before + x) -> Column:
+    """Running sum (or maximum and the like) of an array, in doubling steps: a fold that grows an array copies it for every element."""
+    steps = F.filter(F.array(*[F.lit(1 << n) for n in range(31)]), lambda p: p < F.size(xs))
+
+    def step(acc: Column, p: Column) -> Column:
+        return F.transform(acc, lambda x, i: F.when(i < p, x).otherwise(use(F.get(acc, i - p), x)))
+
+    return F.aggregate(steps, xs, step)
+
+
 def scan(text: Column, pattern: str) -> Column:
     """Every match from left to right: array of (start, end, text).
 
@@ -43,17 +53,14 @@ def scan(text: Column, pattern: str) -> Column:
     the offsets.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+    pairs = F.zip_with(found, F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), (F.length(g) + F.length(m)).alias("n")))
     pairs = F.filter(pairs, lambda p: p.m.isNotNull())
     kind = "array<struct<start:int,end:int,text:string>>"
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc.at + F.length(p.g)
-        end = start + F.length(p.m)
-        return F.struct(end.alias("at"), F.concat(acc.out, F.array(F.struct(start.alias("start"), end.alias("end"), p.m.alias("text")))).alias("out"))
+    def placed(ps: Column) -> Column:
+        return F.zip_with(ps, once(F.transform(ps, lambda p: p.n), lambda n: running(n)), lambda p, end: F.struct((end - F.length(p.m)).alias("start"), end.alias("end"), p.m.alias("text")))
 
-    run = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none(kind).alias("out")), step, lambda a: a.out)
-    return F.when(text.rlike(pattern), run).otherwise(none(kind))
+    return F.when(text.rlike(pattern), once(pairs, placed)).otherwise(none(kind))
 
 
 def in_order(spans: Column) -> Column:
@@ -62,21 +69,35 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: k.s)
 
 
+def groups(spans: Column, apart: Callable[[Column, Column], Column], use: Callable[[Column, Column, Column], Column]) -> Column:
+    """``use(first place, place after the last, end)`` of each group of sorted spans; one begins where ``apart(start, greatest end before)``."""
+
+    def heads(ends: Column) -> Column:
+        return F.filter(F.transform(spans, lambda s, i: i), lambda i: (i == 0) | apart(F.get(spans, i).start, F.get(ends, i - 1)))
+
+    def each(ends: Column, firsts: Column) -> Column:
+        after = lambda k: F.coalesce(F.get(firsts, k + 1), F.size(spans))
+        return F.transform(firsts, lambda i, k: use(i, after(k), F.get(ends, after(k) - 1)))
+
+    ends = once(F.transform(spans, lambda s: s.end), lambda e: running(e, F.greatest))
+    return once(ends, lambda e: once(heads(e), lambda firsts: each(e, firsts)))
+
+
 def merge(spans: Column, text: Column, prefer: Prefer) -> Column:
     """Union overlapping spans (touching ones stay apart); ``prefer`` gives type, source and confidence.
 
-    A fold from left to right: each span meets what has been merged so far.
+    A fold from left to right over each group of overlapping spans: each span meets what has been merged so far.
     """
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
+    def step(last: Column, s: Column) -> Column:
         end = F.greatest(last.end, s.end)
         won = prefer(last, s)
-        joined = make(last.start, end, cut(text, last.start, end), won.entity_type, won.source, won.confidence)
-        apart = (F.size(acc) == 0) | (s.start >= last.end)
-        return F.when(apart, F.concat(acc, F.array(s))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(joined)))
+        return make(last.start, end, cut(text, last.start, end), won.entity_type, won.source, won.confidence)
 
-    return once(spans, lambda all_: F.when(F.size(all_) < 2, all_).otherwise(F.aggregate(in_order(all_), none(), step)))
+    def merged(ss: Column) -> Column:
+        return groups(ss, lambda start, end: start >= end, lambda i, after, end: F.aggregate(F.slice(ss, i + 2, after - i - 1), F.get(ss, i), step))
+
+    return once(spans, lambda all_: F.when(F.size(all_) < 2, all_).otherwise(once(in_order(all_), merged)))
 
 
 def greater_end(kept: Column, new: Column) -> Column:
@@ -131,13 +152,7 @@ def subtract(span: Column, covering: Column, text: Column) -> Column:
 def union(ranges: Column) -> Column:
     """Union of ranges: overlapping and touching ones join, empty ones go."""
     bare = F.array_sort(F.transform(F.filter(ranges, lambda r: r.end > r.start), lambda r: F.struct(r.start.alias("start"), r.end.alias("end"))))
-
-    def step(acc: Column, r: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last.start.alias("start"), F.greatest(last.end, r.end).alias("end"))
-        return F.when((F.size(acc) == 0) | (r.start > last.end), F.concat(acc, F.array(r))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(grown)))
-
-    return F.aggregate(bare.cast(RANGES), none(RANGES), step)
+    return once(bare.cast(RANGES), lambda rs: groups(rs, lambda start, end: start > end, lambda i, after, end: F.struct(F.get(rs, i).start.alias("start"), end.alias("end"))))
 
 
 def overlap(start: Column, end: Column, ranges: Column) -> Column:
