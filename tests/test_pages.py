@@ -4,6 +4,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from veilspark.functions import spans as S
 from veilspark.operators import pages
 from veilspark.plans.engine import Engine
 from veilspark.config import EngineConfig
@@ -105,6 +106,34 @@ def test_many_entities_of_a_block(spark):
     assert [tuple(r) for r in pages.entity_counts(found).collect()] == [("d", 0, "EMAIL", 30_000)]
 
 
+def test_many_matched_words(spark):
+    """Words meet spans by a search, not one by one."""
+    m = pages.matched_words(Engine(spark, CONFIG).detect(pages.blocks(mails(spark)), kinds=["EMAIL"]))
+    began = time.monotonic()
+    row = m.select("words", F.size("hits").alias("n")).first()
+    assert time.monotonic() - began < 60
+    assert row.n == 4000 and [w.text for w in row.words if w.matched] == [f"u{i}@ex.org" for i in range(0, 20_000, 5)]
+
+
+def test_matches_agree_with_a_plain_loop(spark):
+    """Spans over parts of words, over gaps, over each other and out of order."""
+    import random
+
+    rnd, rows = random.Random(11), []
+    for n in range(60):
+        at, ws = 0, []
+        for i in range(rnd.randrange(0, 30)):
+            size = rnd.randint(1, 6)
+            ws.append((f"w{i}", at, at + size, 0.0, 0.0, 1.0, 1.0))
+            at += size + rnd.randint(0, 2)
+        rows.append((str(n), 0, "text", 0, ws, [(a := rnd.randrange(0, at + 3), a + rnd.randint(1, 9), "x", rnd.choice(["URL", "INN"]), "pattern", 0.9) for _ in range(rnd.randrange(0, 12))]))
+    df = spark.createDataFrame(rows, f"doc string, page int, origin string, block_no int, words array<{pages.WORD}>, spans {S.SPANS}")
+    got = {r.doc: ([tuple(s) for s in r.hits], [w.matched for w in r.words]) for r in pages.matched_words(df).collect()}
+    for doc, _, _, _, ws, spans in rows:
+        hits = [s for s in spans if s[3] != "URL" and any(w[1] < s[1] and w[2] > s[0] for w in ws)]
+        assert got[doc] == (hits, [any(w[1] < s[1] and w[2] > s[0] for s in hits) for w in ws])
+
+
 def test_ocr_routing(spark):
     layer = words(spark, [(0, 0, 0, 0, "слой")])
     ocr = spark.createDataFrame([("d", 0, 0, 0, 0, "слой", 1.0, 1.0, 7.0, 7.0), ("d", 0, 0, 5, 0, "картинка", 0.0, 50.0, 8.0, 58.0), ("d", 1, 0, 0, 0, "скан", 0.0, 0.0, 8.0, 8.0)], WORD_SCHEMA)

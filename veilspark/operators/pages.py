@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DataType, StringType, StructField, StructType
 
-from veilspark.functions import fixed as X
+from veilspark.functions import fixed as X, spans as S
 from veilspark.operators.detect import detect
 
 KEYS = ("doc", "page", "origin", "block_no")
@@ -140,14 +140,23 @@ def wanted_types(kind: Column, entity_types: Sequence[str] | None = None, redact
     return F.lit(True) if redact_urls else kind != "URL"
 
 
+def _touching(ranges: Column, use: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``use(touches)``: whether a range touches any of ``ranges`` (sorted, apart), by a binary search for the last that begins before its end."""
+
+    def search(rs: Column, starts: Column, steps: Column) -> Column:
+        begun = lambda x: F.aggregate(steps, F.lit(0), lambda n, p: F.when(F.get(starts, n + p - 1) < x.end, n + p).otherwise(n))
+        return use(lambda x: F.coalesce(F.get(rs, begun(x) - 1).end > x.start, F.lit(False)))
+
+    steps = lambda rs: F.filter(F.array(*[F.lit(1 << n) for n in range(30, -1, -1)]), lambda p: p <= F.size(rs))
+    return S.once(ranges, lambda rs: S.once(F.transform(rs, lambda r: r.start), lambda starts: S.once(steps(rs), lambda ps: search(rs, starts, ps))))
+
+
 def matched_words(detected_blocks: DataFrame, entity_types: Sequence[str] | None = None, redact_urls: bool = False) -> DataFrame:
     """Blocks with ``hits`` (spans that touch a word) and words flagged ``matched``."""
-    touches = lambda w, s: (w.start < s.end) & (w.end > s.start)
     want = F.filter("spans", lambda s: wanted_types(s.entity_type, entity_types, redact_urls))
-    hits = F.filter(want, lambda s: F.exists("words", lambda w: touches(w, s)))
-    out = detected_blocks.withColumn("hits", hits)
-    flagged = F.transform("words", lambda w: F.struct(*[w[c].alias(c) for c in ("text", "start", "end", "x0", "y0", "x1", "y1")], F.exists("hits", lambda s: touches(w, s)).alias("matched")))
-    return out.withColumn("words", flagged)
+    out = detected_blocks.withColumn("hits", _touching(F.col("words"), lambda touches: F.filter(want, touches)))
+    flag = lambda w, touches: F.struct(*[w[c].alias(c) for c in ("text", "start", "end", *BOX)], touches(w).alias("matched"))
+    return out.withColumn("words", _touching(S.union(F.col("hits")), lambda touches: F.transform("words", lambda w: flag(w, touches))))
 
 
 def redaction_boxes(matched: DataFrame, padding: float = X.REDACTION_PADDING) -> DataFrame:
