@@ -134,6 +134,15 @@ def test_matches_agree_with_a_plain_loop(spark):
         assert got[doc] == (hits, [any(w[1] < s[1] and w[2] > s[0] for s in hits) for w in ws])
 
 
+def test_many_boxes(spark):
+    """Boxes of a long block, each with its padding."""
+    boxes = pages.redaction_boxes(pages.matched_words(Engine(spark, CONFIG).detect(pages.blocks(mails(spark)), kinds=["EMAIL"])))
+    began = time.monotonic()
+    got = {(b.text, b.x0, b.y0, b.x1, b.y1) for b in boxes.collect()}
+    assert time.monotonic() - began < 60
+    assert got == {(f"u{i}@ex.org", 10.0 * i - 2, 10.0 * (i // 7) - 2, 10.0 * i + 10, 10.0 * (i // 7) + 10) for i in range(0, 20_000, 5)}
+
+
 def test_ocr_routing(spark):
     layer = words(spark, [(0, 0, 0, 0, "слой")])
     ocr = spark.createDataFrame([("d", 0, 0, 0, 0, "слой", 1.0, 1.0, 7.0, 7.0), ("d", 0, 0, 5, 0, "картинка", 0.0, 50.0, 8.0, 58.0), ("d", 1, 0, 0, 0, "скан", 0.0, 0.0, 8.0, 8.0)], WORD_SCHEMA)
