@@ -143,6 +143,14 @@ def test_many_boxes(spark):
     assert got == {(f"u{i}@ex.org", 10.0 * i - 2, 10.0 * (i // 7) - 2, 10.0 * i + 10, 10.0 * (i // 7) + 10) for i in range(0, 20_000, 5)}
 
 
+def test_summary_of_a_long_block(spark):
+    _, summary = pages.redact(mails(spark), config=CONFIG, kinds=["EMAIL"])
+    began = time.monotonic()
+    s = summary.first()
+    assert time.monotonic() - began < 60
+    assert (s.pages_processed, s.total_spans_redacted, s.redacted_by_type) == (1, 4000, {"EMAIL": 4000})
+
+
 def test_ocr_routing(spark):
     layer = words(spark, [(0, 0, 0, 0, "слой")])
     ocr = spark.createDataFrame([("d", 0, 0, 0, 0, "слой", 1.0, 1.0, 7.0, 7.0), ("d", 0, 0, 5, 0, "картинка", 0.0, 50.0, 8.0, 58.0), ("d", 1, 0, 0, 0, "скан", 0.0, 0.0, 8.0, 8.0)], WORD_SCHEMA)
