@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 
@@ -123,3 +124,15 @@ def test_equal_rows_of_one_id_in_different_batches(spark, same_id):
         rows += [(1, word(90) + p + word(90)), (same_id, x + p + y), (same_id, x + p + y)]
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "doc_id long, text string")
     same(rows_of(suffix_dedup.digests(docs), *COLS7), brute_bytes(rows))
+
+
+@pytest.mark.parametrize("span, width", [(0, 1), (255, 1), (256, 2), (65_535, 2), (65_536, 4), (2**32 - 1, 4), (2**32, 8), (BIG, 8)])
+def test_numbers_are_sent_no_wider_than_needed(span, width):
+    for low in (-7, 0, 10**6):
+        x = np.array([low, min(low + span, BIG), low], np.int64)
+        if span == BIG and low > 0:
+            continue
+        got, base, raw = bucket_pointers._ints(x)
+        assert got == width and len(raw) == 3 * width or span == BIG
+        assert bucket_pointers._from_ints(raw, 3, got, base, 0).tolist() == x.tolist()
+    assert bucket_pointers._from_ints(b"", 0, *bucket_pointers._ints(x[:0])[:2], 0).tolist() == []

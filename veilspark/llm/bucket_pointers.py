@@ -141,19 +141,24 @@ class Batch:
 
 _MESSAGE = pa.schema([("batch_id", pa.int64()), ("rng", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _MESSAGE_DDL = "batch_id long, rng int, kind int, blob binary"
-_HEAD = "<IIBq"
+_HEAD, _RUNS_HEAD, _OPEN_HEAD = "<IIBq", "<IIBBq", "<IBq"
 _CODE = np.dtype([("i", "<u4"), ("c", "u1")])
 
 
+_WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
+
+
 def _ints(x: np.ndarray) -> tuple[int, int, bytes]:
+    """(bytes of a number, base, the numbers less the base): as narrow as they fit, since shuffles do not compress them."""
     base = int(x.min()) if len(x) else 0
-    wide = len(x) and int(x.max()) - base >= 2**32
-    return 8 if wide else 4, base, (x if wide else (x - base).astype(np.uint32)).tobytes()
+    span = int(x.max()) - base if len(x) else 0
+    width = next((w for w in (1, 2, 4) if span < 1 << 8 * w), 8)
+    return width, base, (x if width == 8 else (x - base).astype(_WIDTHS[width])).tobytes()
 
 
 def _from_ints(v: pa.Buffer, n: int, width: int, base: int, p: int) -> np.ndarray:
-    x = np.frombuffer(v, np.uint32 if width == 4 else np.int64, n, p)
-    return x.astype(np.int64) + base if width == 4 else x
+    x = np.frombuffer(v, _WIDTHS[width], n, p)
+    return x if width == 8 else x.astype(np.int64) + base
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -229,7 +234,8 @@ def send_runs(plan: Plan, id_col: str):
         rows = []
         for s, e, rng in _slices(ka):
             width, base, d = _ints(kd[s:e])
-            rows.append((bid, rng, 0, struct.pack(_HEAD, e - s, 0, width, base) + on[s:e].astype(np.uint32).tobytes() + ka[s:e].astype(np.uint32).tobytes() + kr[s:e].tobytes() + d))
+            step, _, steps = _ints(np.diff(on[s:e], prepend=on[s]))  # from 0
+            rows.append((bid, rng, 0, struct.pack(_RUNS_HEAD, e - s, on[s], step, width, base) + steps + ka[s:e].astype(np.uint32).tobytes() + kr[s:e].tobytes() + d))
         del b
         trim()
         return _table(rows)
@@ -250,12 +256,13 @@ def judge_runs(plan: Plan):
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         A, R, D, I, B = [], [], [], [], []
         for bid, _, v in rows:
-            n, _, width, base = struct.unpack_from(_HEAD, v)
-            p = struct.calcsize(_HEAD)
-            I.append(np.frombuffer(v, np.uint32, n, p))
-            A.append(np.frombuffer(v, np.uint32, n, p + 4 * n))
-            R.append(np.frombuffer(v, np.uint64, n, p + 8 * n))
-            D.append(_from_ints(v, n, width, base, p + 16 * n))
+            n, start, step, width, base = struct.unpack_from(_RUNS_HEAD, v)
+            p = struct.calcsize(_RUNS_HEAD)
+            I.append((start + np.cumsum(_from_ints(v, n, step, 0, p))).astype(np.uint32))
+            p += step * n
+            A.append(np.frombuffer(v, np.uint32, n, p))
+            R.append(np.frombuffer(v, np.uint64, n, p + 4 * n))
+            D.append(_from_ints(v, n, width, base, p + 12 * n))
             B.append(np.full(n, bid, np.int64))
         a, r, d, idx, bid = (np.concatenate(x) for x in (A, R, D, I, B))
         o = K.by_key(a.astype(np.uint64) << U(32) | r >> U(32), r, d, bid)
@@ -298,7 +305,7 @@ def _answers(bid: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- step 4: open contents
 
-_RUN = np.dtype([("k", "<u4"), ("a", "<u4"), ("d", "<i8"), ("n", "<u2")])
+_RUN = np.dtype([("k", "<u4"), ("a", "<u4"), ("n", "u1")])
 _GRAM = np.dtype([("k", "<u4"), ("g", "<u8"), ("h", "<u8"), ("d", "<i8")])
 
 
@@ -373,14 +380,15 @@ def _spread(left: pa.Table, plan: Plan, id_col: str, answers: list | tuple = ())
     bid = left["batch_id"][0].as_py()
     b = Batch(left["side"][0].as_py(), left["body"][0].as_py(), plan, id_col)
     b.scan()
-    got, rows = settle(b, plan, list(answers)), []
+    got, rows, zip_ = settle(b, plan, list(answers)), [], zstandard.ZstdCompressor(level=1)
     for s, e, rng in _slices(b.ka[b.key_of[got.sent]]):
         x = got.sent[s:e]
         head = np.zeros(len(x), _RUN)
-        head["k"], head["n"], head["d"] = b.key_of[x], b.s2[x] - b.s1[x] + 1, b.kd[b.key_of[x]]
+        head["k"], head["n"] = b.key_of[x], b.s2[x] - b.s1[x] + 1
         head["a"] = b.ka[b.key_of[x]].astype(np.uint32)
         data = b.buf[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
-        rows.append((bid, rng, 1, struct.pack("<I", len(x)) + head.tobytes() + data))
+        width, base, d = _ints(b.kd[b.key_of[x]])
+        rows.append((bid, rng, 1, struct.pack(_OPEN_HEAD, len(x), width, base) + head.tobytes() + d + zip_.compress(data)))
     for s, e, rng in _slices(got.grams["g"] >> U(32 - plan.bits)):
         rows.append((bid, rng, 2, got.grams[s:e].tobytes()))
     del b, got
@@ -485,13 +493,16 @@ def judge_windows(plan: Plan):
     def of_runs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        heads, bytes_, bids = [], [], []
+        heads, ids, bytes_, bids, unzip = [], [], [], [], zstandard.ZstdDecompressor()
         for bid, v in rows:
-            (n,) = struct.unpack_from("<I", v)
-            heads.append(np.frombuffer(v, _RUN, n, 4))
-            bytes_.append(np.frombuffer(v, np.uint8, offset=4 + n * _RUN.itemsize))
+            n, width, base = struct.unpack_from(_OPEN_HEAD, v)
+            p = struct.calcsize(_OPEN_HEAD)
+            heads.append(np.frombuffer(v, _RUN, n, p))
+            p += n * _RUN.itemsize
+            ids.append(_from_ints(v, n, width, base, p))
+            bytes_.append(np.frombuffer(unzip.decompress(memoryview(v)[p + n * width :]), np.uint8))
             bids.append(np.full(n, bid, np.int64))
-        head, data, bid = np.concatenate(heads), np.concatenate(bytes_), np.concatenate(bids)
+        head, d, data, bid = (np.concatenate(x) for x in (heads, ids, bytes_, bids))
         n = head["n"].astype(np.int64)
         full = n + plan.window - 1
         s1 = np.cumsum(full) - full
@@ -505,7 +516,7 @@ def judge_windows(plan: Plan):
             x = order[cut[i] : cut[j] if j < len(cut) else len(order)]
             own = np.cumsum(full[x]) - full[x]
             at, run = _windows_of(own, own + n[x] - 1), np.repeat(np.arange(len(x)), n[x])
-            hit = np.flatnonzero(smallest_elsewhere(data[_windows_of(s1[x], s1[x] + full[x] - 1)], at, head["d"][x][run], plan.window))
+            hit = np.flatnonzero(smallest_elsewhere(data[_windows_of(s1[x], s1[x] + full[x] - 1)], at, d[x][run], plan.window))
             np.bitwise_or.at(mask, x[run[hit]], U(1) << (at[hit] - own[run[hit]]).astype(np.uint64))
             i = j
         keep = np.flatnonzero(mask)
