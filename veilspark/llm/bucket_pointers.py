@@ -141,24 +141,47 @@ class Batch:
 
 _MESSAGE = pa.schema([("batch_id", pa.int64()), ("rng", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 _MESSAGE_DDL = "batch_id long, rng int, kind int, blob binary"
-_HEAD, _RUNS_HEAD, _OPEN_HEAD = "<IIBq", "<IIBBq", "<IBq"
+_HEAD, _COLUMN = "<II", "<Bq"
 _CODE = np.dtype([("i", "<u4"), ("c", "u1")])
 
 
-_WIDTHS = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.int64}
-
-
 def _ints(x: np.ndarray) -> tuple[int, int, bytes]:
-    """(bytes of a number, base, the numbers less the base): as narrow as they fit, since shuffles do not compress them."""
+    """(bits of a number, base, the numbers less the base): as narrow as they fit, since shuffles do not compress them."""
     base = int(x.min()) if len(x) else 0
-    span = int(x.max()) - base if len(x) else 0
-    width = next((w for w in (1, 2, 4) if span < 1 << 8 * w), 8)
-    return width, base, (x if width == 8 else (x - base).astype(_WIDTHS[width])).tobytes()
+    bits = (int(x.max()) - base).bit_length() if len(x) else 0
+    v = (x.astype(np.int64) - np.int64(base)).view(U)  # wraps around where 63 bits do not hold it
+    wide = v.astype("<u4" if bits <= 32 else "<u8").reshape(-1, 1).view(np.uint8)
+    return bits, base, np.packbits(np.unpackbits(wide, axis=1, bitorder="little")[:, :bits], bitorder="little").tobytes()
+
+
+def _from_ints(v: pa.Buffer, n: int, bits: int, base: int, p: int) -> np.ndarray:
+    size = 32 if bits <= 32 else 64
+    on = np.zeros((n, size), np.uint8)
+    on[:, :bits] = np.unpackbits(np.frombuffer(v, np.uint8, (n * bits + 7) // 8, p), count=n * bits, bitorder="little").reshape(n, bits)
+    return np.packbits(on, axis=1, bitorder="little").reshape(-1).view(f"<u{size // 8}").astype(np.int64) + np.int64(base)
+
+
+def _column(x: np.ndarray) -> bytes:
+    bits, base, raw = _ints(x)
+    return struct.pack(_COLUMN, bits, base) + raw
 
 
-def _from_ints(v: pa.Buffer, n: int, width: int, base: int, p: int) -> np.ndarray:
-    x = np.frombuffer(v, _WIDTHS[width], n, p)
-    return x if width == 8 else x.astype(np.int64) + base
+def _read(v: pa.Buffer, n: int, p: int) -> tuple[np.ndarray, int]:
+    """A column of n numbers, and the place after it."""
+    bits, base = struct.unpack_from(_COLUMN, v, p)
+    p += struct.calcsize(_COLUMN)
+    return _from_ints(v, n, bits, base, p), p + (n * bits + 7) // 8
+
+
+def _rising(x: np.ndarray) -> bytes:
+    """Sorted numbers as their steps."""
+    x = x.astype(np.int64)
+    return struct.pack("<q", x[0]) + _column(np.diff(x))
+
+
+def _read_rising(v: pa.Buffer, n: int, p: int) -> tuple[np.ndarray, int]:
+    steps, after = _read(v, n - 1, p + 8)
+    return np.cumsum(np.r_[struct.unpack_from("<q", v, p)[0], steps]), after
 
 
 def _table(rows: list[tuple]) -> pa.Table:
@@ -177,8 +200,7 @@ def send_buckets(plan: Plan, id_col: str):
                 key, _, low, more = b.buckets()
                 rows = []
                 for s, e, rng in _slices(key):
-                    width, base, d = _ints(low[s:e])
-                    rows.append((bid, rng, 0, struct.pack(_HEAD, e - s, s, width, base) + key[s:e].astype(np.uint32).tobytes() + np.packbits(more[s:e]).tobytes() + d))
+                    rows.append((bid, rng, 0, struct.pack(_HEAD, e - s, s) + _rising(key[s:e].astype(np.uint32)) + _column(low[s:e]) + np.packbits(more[s:e]).tobytes()))
                 del b, key, low, more
                 trim()
                 yield from _table(rows).to_batches()
@@ -192,11 +214,12 @@ def judge_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, rows in _by_range(it):
         heads = [struct.unpack_from(_HEAD, v) for _, _, v in rows]
         A, M, D = [], [], []
-        for (n, _, width, base), (_, _, v) in zip(heads, rows):
-            p = struct.calcsize(_HEAD)
-            A.append(np.frombuffer(v, np.uint32, n, p))
-            M.append(np.unpackbits(np.frombuffer(v, np.uint8, (n + 7) // 8, p + 4 * n), count=n))
-            D.append(_from_ints(v, n, width, base, p + 4 * n + (n + 7) // 8))
+        for (n, _), (_, _, v) in zip(heads, rows):
+            x, p = _read_rising(v, n, struct.calcsize(_HEAD))
+            A.append(x.astype(np.uint32))
+            x, p = _read(v, n, p)
+            D.append(x)
+            M.append(np.unpackbits(np.frombuffer(v, np.uint8, (n + 7) // 8, p), count=n))
         a, more, d = (np.concatenate(x) for x in (A, M, D))
         o = np.argsort(a, kind="stable")
         cut = np.flatnonzero(K.firsts(a[o]))
@@ -205,7 +228,7 @@ def judge_buckets(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = np.empty(len(a), bool)
         hit[o] = np.repeat(open_, np.diff(np.r_[cut, len(a)]))
         at, out = 0, []
-        for (n, start, _, _), (bid, _, _) in zip(heads, rows):
+        for (n, start), (bid, _, _) in zip(heads, rows):
             if hit[at : at + n].any():
                 out.append((bid, 0, 0, struct.pack("<II", n, start) + np.packbits(hit[at : at + n]).tobytes()))
             at += n
@@ -233,9 +256,7 @@ def send_runs(plan: Plan, id_col: str):
         ka, kr, kd = b.ka[on], b.kr[on], b.kd[on]
         rows = []
         for s, e, rng in _slices(ka):
-            width, base, d = _ints(kd[s:e])
-            step, _, steps = _ints(np.diff(on[s:e], prepend=on[s]))  # from 0
-            rows.append((bid, rng, 0, struct.pack(_RUNS_HEAD, e - s, on[s], step, width, base) + steps + ka[s:e].astype(np.uint32).tobytes() + kr[s:e].tobytes() + d))
+            rows.append((bid, rng, 0, struct.pack("<I", e - s) + _rising(on[s:e]) + _rising(ka[s:e].astype(np.uint32)) + _column(kd[s:e]) + kr[s:e].tobytes()))
         del b
         trim()
         return _table(rows)
@@ -256,13 +277,14 @@ def judge_runs(plan: Plan):
     def one(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         A, R, D, I, B = [], [], [], [], []
         for bid, _, v in rows:
-            n, start, step, width, base = struct.unpack_from(_RUNS_HEAD, v)
-            p = struct.calcsize(_RUNS_HEAD)
-            I.append((start + np.cumsum(_from_ints(v, n, step, 0, p))).astype(np.uint32))
-            p += step * n
-            A.append(np.frombuffer(v, np.uint32, n, p))
-            R.append(np.frombuffer(v, np.uint64, n, p + 4 * n))
-            D.append(_from_ints(v, n, width, base, p + 12 * n))
+            (n,) = struct.unpack_from("<I", v)
+            i, p = _read_rising(v, n, 4)
+            x, p = _read_rising(v, n, p)
+            I.append(i.astype(np.uint32))
+            A.append(x.astype(np.uint32))
+            x, p = _read(v, n, p)
+            D.append(x)
+            R.append(np.frombuffer(v, np.uint64, n, p))
             B.append(np.full(n, bid, np.int64))
         a, r, d, idx, bid = (np.concatenate(x) for x in (A, R, D, I, B))
         o = K.by_key(a.astype(np.uint64) << U(32) | r >> U(32), r, d, bid)
@@ -305,7 +327,6 @@ def _answers(bid: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
 
 # ---------------------------------------------------------------- step 4: open contents
 
-_RUN = np.dtype([("k", "<u4"), ("a", "<u4"), ("n", "u1")])
 _GRAM = np.dtype([("k", "<u4"), ("g", "<u8"), ("h", "<u8"), ("d", "<i8")])
 
 
@@ -383,12 +404,10 @@ def _spread(left: pa.Table, plan: Plan, id_col: str, answers: list | tuple = ())
     got, rows, zip_ = settle(b, plan, list(answers)), [], zstandard.ZstdCompressor(level=1)
     for s, e, rng in _slices(b.ka[b.key_of[got.sent]]):
         x = got.sent[s:e]
-        head = np.zeros(len(x), _RUN)
-        head["k"], head["n"] = b.key_of[x], b.s2[x] - b.s1[x] + 1
-        head["a"] = b.ka[b.key_of[x]].astype(np.uint32)
+        k = b.key_of[x]
+        head = _rising(k) + _rising(b.ka[k].astype(np.uint32)) + _column(b.s2[x] - b.s1[x] + 1) + _column(b.kd[k])
         data = b.buf[_windows_of(b.s1[x], b.s2[x] + plan.window - 1)].tobytes()
-        width, base, d = _ints(b.kd[b.key_of[x]])
-        rows.append((bid, rng, 1, struct.pack(_OPEN_HEAD, len(x), width, base) + head.tobytes() + d + zip_.compress(data)))
+        rows.append((bid, rng, 1, struct.pack("<I", len(x)) + head + zip_.compress(data)))
     for s, e, rng in _slices(got.grams["g"] >> U(32 - plan.bits)):
         rows.append((bid, rng, 2, got.grams[s:e].tobytes()))
     del b, got
@@ -493,21 +512,20 @@ def judge_windows(plan: Plan):
     def of_runs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
             return
-        heads, ids, bytes_, bids, unzip = [], [], [], [], zstandard.ZstdDecompressor()
+        K_, A, N, D, B, bytes_, unzip = [], [], [], [], [], [], zstandard.ZstdDecompressor()
         for bid, v in rows:
-            n, width, base = struct.unpack_from(_OPEN_HEAD, v)
-            p = struct.calcsize(_OPEN_HEAD)
-            heads.append(np.frombuffer(v, _RUN, n, p))
-            p += n * _RUN.itemsize
-            ids.append(_from_ints(v, n, width, base, p))
-            bytes_.append(np.frombuffer(unzip.decompress(memoryview(v)[p + n * width :]), np.uint8))
-            bids.append(np.full(n, bid, np.int64))
-        head, d, data, bid = (np.concatenate(x) for x in (heads, ids, bytes_, bids))
-        n = head["n"].astype(np.int64)
+            (n,) = struct.unpack_from("<I", v)
+            p = 4
+            for out, get in ((K_, _read_rising), (A, _read_rising), (N, _read), (D, _read)):
+                x, p = get(v, n, p)
+                out.append(x)
+            bytes_.append(np.frombuffer(unzip.decompress(memoryview(v)[p:]), np.uint8))
+            B.append(np.full(n, bid, np.int64))
+        key, a, n, d, bid, data = (np.concatenate(x) for x in (K_, A, N, D, B, bytes_))
         full = n + plan.window - 1
         s1 = np.cumsum(full) - full
-        order = np.argsort(head["a"], kind="stable")  # windows of different buckets differ: some buckets at a time
-        cut = np.flatnonzero(K.firsts(head["a"][order]))
+        order = np.argsort(a, kind="stable")  # windows of different buckets differ: some buckets at a time
+        cut = np.flatnonzero(K.firsts(a[order]))
         size = np.r_[0, np.cumsum(full[order])]
         mask = np.zeros(len(n), np.uint64)
         i = 0
@@ -521,7 +539,7 @@ def judge_windows(plan: Plan):
             i = j
         keep = np.flatnonzero(mask)
         keep = keep[np.argsort(bid[keep], kind="stable")]
-        yield from _answers(bid[keep], np.rec.fromarrays([head["k"][keep], np.full(len(keep), 1), mask[keep]], dtype=_REPLY))
+        yield from _answers(bid[keep], np.rec.fromarrays([key[keep], np.full(len(keep), 1), mask[keep]], dtype=_REPLY))
 
     def of_names(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         if not rows:
