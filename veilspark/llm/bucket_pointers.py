@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from veilspark.llm import kernels as K
 from veilspark.llm.common import Scratch, fresh_worker, input_bytes, parts_for, trim
 
-BATCH_BYTES, RANGE_BYTES, CHUNK_BYTES = 4 << 20, 1 << 20, 1 << 18
+BATCH_BYTES, RANGE_BYTES, CHUNK_BYTES = 4 << 20, 4 << 20, 1 << 18
 HOT = 256
 NO_ID = np.iinfo(np.int64).max
 U = np.uint64
